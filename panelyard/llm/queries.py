@@ -15,11 +15,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.suffix_dedup import removals
+
+    return removals(_read(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.packing import best_fit_packing
+
+    return best_fit_packing(_read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.simhash import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op7_suffix_dedup, op8_packing, op10_simhash)}
 SQL: dict[str, str] = {}
