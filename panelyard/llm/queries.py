@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import decontamination
+from panelyard.llm import decontamination, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.quality_rules import verdicts
+
+    return verdicts(_read(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.suffix_dedup import removals
 
@@ -41,5 +47,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op7_suffix_dedup, op8_packing, op10_simhash)}
-SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_quality_rules, op7_suffix_dedup, op8_packing, op10_simhash)}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op4_quality_rules": quality_rules.SQL}
