@@ -29,6 +29,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(_read(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.toxicity import scores
+
+    return scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.suffix_dedup import removals
 
@@ -41,11 +47,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.quality_classifier import scores
+
+    return scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.simhash import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_quality_rules, op7_suffix_dedup, op8_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_quality_rules, op5_toxicity, op7_suffix_dedup, op8_packing, op9_quality_classifier, op10_simhash)}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op4_quality_rules": quality_rules.SQL}

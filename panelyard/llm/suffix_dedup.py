@@ -329,7 +329,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 a, b = runs_of(starts, counts)
                 sha = hashlib.sha256(kept(raw, a, b)).hexdigest()
                 out.append((doc, len(raw), int((b - a).sum()), len(a), sha, a.tolist(), b.tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]).astype({"doc_id": "Int64", "kept_sha256": object})
 
     docs = keyed(docs, id_col, text_col)
     both = docs.join(_spans(docs), ["doc_id", "dk"], "left").select("doc_id", "text", "starts", "counts")
