@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import decontamination, quality_rules
+from panelyard.llm import decontamination, quality_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.warc import archived
+
+    return archived(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.suffix_dedup import removals
 
@@ -59,5 +65,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_quality_rules, op5_toxicity, op7_suffix_dedup, op8_packing, op9_quality_classifier, op10_simhash)}
-SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op4_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_quality_rules, op5_toxicity, op6_warc, op7_suffix_dedup, op8_packing, op9_quality_classifier, op10_simhash)}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op4_quality_rules": quality_rules.SQL, "op6_warc": warc.SQL}
