@@ -17,6 +17,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelyard.llm.html_text import main_text
+
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelyard.llm.decontamination import contamination
 
@@ -65,5 +71,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_quality_rules, op5_toxicity, op6_warc, op7_suffix_dedup, op8_packing, op9_quality_classifier, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_html_text, op3_decontamination, op4_quality_rules, op5_toxicity, op6_warc, op7_suffix_dedup, op8_packing, op9_quality_classifier, op10_simhash)}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op4_quality_rules": quality_rules.SQL, "op6_warc": warc.SQL}
