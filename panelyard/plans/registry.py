@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from panelyard.plans import window_queries
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (window_queries,):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
