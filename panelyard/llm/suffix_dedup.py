@@ -43,11 +43,11 @@ from panelyard.llm.runtime import bounded_batches, removed, swept, width, writte
 WINDOW = 100
 K = 32
 CHUNK = 512
-BLOCK = 8
+BLOCK = 32
 #: Bytes that are hashed together, and the longest piece of a text that is handled as one.
 TOGETHER, LONGEST = 1 << 20, 8 << 20
 PLACE = np.uint64((1 << 24) - 1)
-PIECES_PER_TASK, HOT = 40_000, 20_000
+PIECES_PER_TASK, HOT = 20_000, 20_000
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
