@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,40 +32,74 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.runtime import bounded_batches, removed, written
+from panelyard.llm.runtime import bounded_batches, written
+from panelyard.llm.token_counts import byte_symbols
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END = 1
-CACHED = 300_000
+CACHED = 500_000
 GROUP = 512
 #: A sequence with more room than this is opened again in the next round.
 ROOM = 16
-NODES, FILLINGS, STEPS = 4000, 6, 3000
+NODES, FILLINGS, STEPS = 400, 6, 400
 #: Split by Python as white space, but not by the library.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@[-`{-~]*)").fullmatch
+
+class Encoder:
+    """The library's ids, remembered for the runs of text between white space. White space is
+    dropped by the vocabulary and nothing is joined across it, so each run stands alone. A run of
+    Latin letters and closing ASCII punctuation is two pre-tokens, which go to the library's model
+    as they are; any other run takes the library's whole way."""
+
+    def __init__(self, path: str):
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.letters = {chr(b): c for c, b in byte_symbols().items()}
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-token, already in lower case."""
+        own = word if word.isascii() else "".join(self.letters[chr(b)] for b in word.encode())
+        got = self.words[word] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(own)]) else b""
+        return got
+
+    def run(self, run: str) -> bytes:
+        if (m := SIMPLE(run)) and (low := m.group(1).lower()).isalpha() and max(low) < "\u0250":
+            words, end = self.words, m.group(2)
+            got = words.get(low) or self.word(low)
+            if end:
+                got += words.get(end) or self.word(end)
+        else:
+            got = np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        self.runs[run] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        if SEPARATORS.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.runs) > CACHED:
+            self.runs.clear()
+        if len(self.words) > CACHED:
+            self.words.clear()
+        runs = text.split()
+        ids = list(map(self.runs.get, runs))
+        if None in ids:
+            known = self.runs.get
+            ids = [i if i is not None else known(r) or self.run(r) for r, i in zip(runs, ids)]
+        return b"".join(ids)
+
 
-_READY: dict[str, tuple[tokenizers.Tokenizer, dict[str, bytes]]] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers. The library drops white space and
-    never joins what it separates, so each run between is encoded once and remembered."""
-    if path not in _READY:
-        _READY[path] = (tokenizers.Tokenizer.from_file(path), {})
-    library, cache = _READY[path]
-
-    def encoded(words: list[str]) -> Iterator[bytes]:
-        for e in library.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
-
-    split = [[t] if SEPARATORS.search(t) else t.split() for t in texts]
-    new = list(set().union(*split).difference(cache))
-    if len(cache) + len(new) > CACHED:
-        cache.clear()
-        new = list(set().union(*split))
-    cache.update(zip(new, encoded(new)))
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    """Each text's ids as little-endian unsigned 32-bit numbers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return list(map(_ENCODERS[path].encode, texts))
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -104,7 +104,7 @@ def word_vectors(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                     np.add.at(sums, at[k:], index[at[:-k]])
                     np.add.at(sums, at[:-k], index[at[k:]])
                 np.add.at(sums, at, context)
-            yield pd.DataFrame({"word": pd.Series(names, dtype=object), "n": times, "v": list(sums.astype(np.float64))})
+            yield pd.DataFrame({"word": pd.Series(names, dtype=object), "n": times, "v": pd.Series(list(sums.astype(np.float64)), dtype=object)})
 
     parts = rows.select("text").mapInPandas(around, "word string, n long, v array<double>")
     total = parts.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)))
@@ -170,7 +170,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     def pooled(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vectors = Vectors(*table.value)
         for texts in parts:
-            yield pd.Series([vectors.document(t) for t in texts])
+            yield pd.Series([vectors.document(t) for t in texts], dtype=object)
 
     taught = rows.select("doc_id", "y", pooled("text").alias("x")).toPandas().sort_values("doc_id")  # at most 2 * PER_CLASS rows
     rows.unpersist()

@@ -3,7 +3,7 @@
 Writing: each page becomes one record, its payload the html. Of equal payloads of min_payload
 bytes or more the row with the smallest page_id is stored as a response, the others as revisits
 that refer to it. Records are sorted by URL key and time within each task, and Spark writes them
-as plain WARC files of at most FILE_RECORDS records (a record ends in a blank line, so files are
+as gzipped WARC files of at most FILE_RECORDS records (a record ends in a blank line, so files are
 text with that separator).
 
 Reading: files are parsed by their Content-Length, and stored digests are checked against the
@@ -21,6 +21,7 @@ empty result. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm.runtime import bounded_batches, swept, table_path, width
+from panelyard.llm.runtime import bounded_batches, swept, table_path, width, written
 
 FILE_RECORDS = 2000
 BREAK = "\r\n\r\n"
@@ -84,12 +85,12 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, time_col:
     bounded_batches(pages.sparkSession)
     rows = captures(pages, min_payload, time_col).sortWithinPartitions("urlkey", "time", "page_id")
     records = rows.select("page_id", "url", "time", "payload", "sha1", "refers_to").mapInPandas(_records, "value string")
-    records.write.option("lineSep", BREAK).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", BREAK).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
     return path
 
 
 def records_of(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, payload) of each record in a WARC file."""
+    """(offset, headers, payload) of each record in a WARC file, unpacked."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -111,7 +112,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, data in zip(batch.path, batch.content):
             out = []
-            for at, head, payload in records_of(data):
+            for at, head, payload in records_of(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 kind = head["WARC-Type"]
                 if kind == "response" and base32(hashlib.sha1(payload).digest()) != digest:
@@ -200,7 +201,8 @@ def archived(pages: DataFrame, path: str | None = None, min_payload: int = 0) ->
     spark = pages.sparkSession
     path = write_archives(pages, path or table_path(spark, "warc"), min_payload)
     swept(spark)
-    return capture_histories(read_archives(spark, path))
+    # the index is small beside the archives, and dealing it by ranges reads it twice
+    return capture_histories(written(read_archives(spark, path), "captures"))
 
 
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
