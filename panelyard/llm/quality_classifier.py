@@ -18,6 +18,7 @@ too. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,31 +88,46 @@ class Vectors:
 
 
 def word_vectors(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The VOCABULARY most frequent words of the training texts and their unit vectors."""
+    """The VOCABULARY most frequent words of the training texts and their unit vectors. Words are
+    counted first, so that vectors are summed, shuffled and fetched for those alone."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = Counter(token for text in batch.text for token in TOKEN.findall(text))
+            yield pd.DataFrame({"word": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
+
+    counts = rows.select("text").mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    places = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # VOCABULARY words at most
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = places.value
+        total, met = np.zeros((len(of), DIM)), np.zeros(len(of), bool)
         for batch in batches:
             texts = [TOKEN.findall(t) for t in batch.text]
             names = sorted(set().union(*texts))
             place = {w: i for i, w in enumerate(names)}
             index = np.stack([index_vector(w) for w in names]) if names else np.zeros((0, DIM), np.float32)
-            sums, times = index * 0, np.zeros(len(names), np.int64)
+            sums = index * 0
             for tokens in texts:
                 at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-                np.add.at(times, at, 1)
-                context = index[at]
                 for k in range(1, AROUND + 1):
                     np.add.at(sums, at[k:], index[at[:-k]])
                     np.add.at(sums, at[:-k], index[at[k:]])
-                np.add.at(sums, at, context)
-            yield pd.DataFrame({"word": pd.Series(names, dtype=object), "n": times, "v": pd.Series(list(sums.astype(np.float64)), dtype=object)})
-
-    parts = rows.select("text").mapInPandas(around, "word string, n long, v array<double>")
-    total = parts.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)))
-    found = total.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()  # VOCABULARY rows
-    v = found[[f"v{i}" for i in range(DIM)]].to_numpy(np.float32)
+                np.add.at(sums, at, index[at])
+            known = np.array([i for i, w in enumerate(names) if w in of], np.int64)
+            row = np.array([of[names[i]] for i in known], np.int64)
+            total[row] += sums[known]
+            met[row] = True
+        at = np.flatnonzero(met)
+        yield pd.DataFrame({"at": at, "v": pd.Series(list(total[at]), dtype=object)})
+
+    parts = rows.select("text").mapInPandas(around, "at long, v array<double>")
+    found = parts.groupBy("at").agg(*(F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM))).toPandas()  # VOCABULARY rows at most
+    v = np.zeros((len(words), DIM), np.float32)
+    v[found["at"].to_numpy(np.int64)] = found[[f"v{i}" for i in range(DIM)]].to_numpy(np.float32)
     # as long as an index vector, so that rare and frequent words weigh alike
-    return found.word.tolist(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) * np.float32(NONZERO**0.5)
+    return words, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) * np.float32(NONZERO**0.5)
 
 
 class Network:
