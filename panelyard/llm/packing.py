@@ -91,6 +91,10 @@ class Encoder:
             ids = [i if i is not None else known(r) or self.run(r) for r, i in zip(runs, ids)]
         return b"".join(ids)
 
+    def forget(self) -> None:
+        self.runs.clear()
+        self.words.clear()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -116,6 +120,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        if path in _ENCODERS:  # the worker lives on, and later tasks need its memory
+            _ENCODERS[path].forget()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
