@@ -11,7 +11,8 @@ rest. Pieces are packed in groups of bounded size, dealt by hash, so no task see
   budget; without a better solution the incumbent holds.
 
 Sequences that end up with room are opened again and their pieces packed in fewer groups, until
-one group is left, so the loss of a group's last sequence does not add up over the groups.
+one group is left, so the loss of a group's last sequence does not add up over the groups. Where
+that stalls, groups double up to LARGEST times GROUP; what still stalls then stays as it is.
 
 Rows: a null or empty text is the end id alone. Repeated rows and ids are packed as often as they
 occur. A null id stays null. An empty table gives an empty result. Other columns are ignored.
@@ -39,7 +40,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END = 1
 CACHED = 500_000
-GROUP = 512
+GROUP, LARGEST = 512, 8
 #: A sequence with more room than this is opened again in the next round.
 ROOM = 16
 NODES, FILLINGS, STEPS = 400, 6, 400
@@ -245,9 +246,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     done, left = [], pieces
     count = left.count()
-    level = 0
+    level, size = 0, GROUP
     while True:
-        groups = max(1, -(-count // GROUP))
+        groups = max(1, -(-count // size))
         dealt = left.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)))
         table = written(dealt.groupBy("_group").applyInPandas(solver(level), _PACKED), "packed")
         if groups == 1:
@@ -256,12 +257,14 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         done.append(table.where(F.col("room") <= ROOM))
         left = table.where(F.col("room") > ROOM).select(columns)
         after = left.count()
-        # rounds go on while opened sequences become fewer; the rest is then packed in what groups it needs
+        # rounds go on while opened sequences become fewer; then groups grow, up to LARGEST times GROUP
         if after == 0:
             break
         if after > 0.9 * count and level:
-            done[-1] = table
-            break
+            if size >= LARGEST * GROUP:
+                done[-1] = table
+                break
+            size *= 2
         count, level = after, level + 1
     out = done[0]
     for table in done[1:]:
