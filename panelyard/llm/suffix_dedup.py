@@ -284,6 +284,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.where("doc_id is not null")
+    again = written(docs.groupBy("doc_id", "dk").count().where("count > 1").select("doc_id", "dk"), "again")
+    if not again.isEmpty():  # one row of each document, else its rows would repeat each other
+        once = docs.join(again, ["doc_id", "dk"], "left_semi").groupBy("doc_id", "dk").agg(F.first("text").alias("text"))
+        docs = docs.join(again, ["doc_id", "dk"], "left_anti").union(once)
     chunks = written(docs.where(F.octet_length("text") >= WINDOW).mapInArrow(_chunks, CHUNKS), "chunks")
     place = ["doc_id", "dk", "start"]
     earliest = written(chunks.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("at")).select("h1", "h2", "at.*"), "earliest")

@@ -58,6 +58,24 @@ def test_edges(docs, edges):
     assert sd.removals(docs([])).count() == 0
 
 
+def test_repeated_rows_with_the_first_occurrence(docs, spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passage = own(40)
+    rows = [(5, f"{own(90)} {passage} {own(80)}"), (8, f"{own(70)} {passage} {own(95)}"), (9, own(50))]
+    want = brute([(i, t.encode()) for i, t in rows])
+    assert not sum(want[5]) and sum(want[8]) >= len(passage)
+    texts = dict(rows)
+    for parts in (1, 4):
+        out = sd.removals(docs([rows[0], *rows, rows[0]]).repartition(parts)).collect()
+        assert sorted(x.doc_id for x in out) == [5, 5, 5, 8, 9]
+        for x in out:
+            raw, mask = texts[x.doc_id].encode(), want[x.doc_id]
+            assert x.n_removed == sum(mask)
+            assert x.kept_sha256 == hashlib.sha256(bytes(b for b, m in zip(raw, mask) if not m)).hexdigest()
+
+
 def test_cut_texts(docs):
     text = " ".join(f"w{i}" for i in range(80))
     rows = docs([text, f"before {text} after", text, None, "short"])
