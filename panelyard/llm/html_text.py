@@ -41,7 +41,8 @@ CACHED = 50_000
 # fixed values: tags of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object textarea select head".split())
+SKIPPED = frozenset("script style noscript template svg math iframe object textarea select".split())
+RAW, HEAD = frozenset("script style".split()), frozenset("base basefont bgsound link meta title script style noscript template".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset(["option"])}
 BOUNDS = frozenset("ul ol table div article section body".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -62,6 +63,41 @@ class _Open:
     marks: list[str] = field(default_factory=list)
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """{end of a start tag: end of its end tag}; elements that are never closed are left out."""
+    out, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?![\w:-])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I):
+        if not m.group(1):
+            if not m.group().endswith("/>"):
+                opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
+def _after(page: str, tag: str, at: int) -> int | None:
+    """Behind the next end tag of an element in whose content no tags count."""
+    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else None
+
+
+def _after_head(page: str, at: int) -> int:
+    """Where a head ends that starts before at: behind </head>, or before <body>, the first other
+    element that is no metadata or the first text outside of elements."""
+    while m := TOKEN.search(page, at):
+        if page[at : m.start()].strip():
+            break
+        closing, tag = m.group(1), (m.group(2) or "").lower()
+        if closing and tag == "head":
+            return m.end()
+        if tag and not closing and tag not in HEAD:
+            return m.start()
+        at = m.end()
+        if tag in HEAD and not closing and tag in ("title", "script", "style", "noscript", "template") and not m.group(3).endswith("/"):
+            at = _after(page, tag, at) or (len(page) if tag in RAW else at)
+    return at
+
+
 def blocks(page: str) -> list[Block]:
     """The page's non-empty leaf blocks in order, white space inside turned into one space."""
     stack: list[_Open] = []
@@ -70,6 +106,7 @@ def blocks(page: str) -> list[Block]:
     linked = at = 0
     path: list[str] = []
     depth_a = 0
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -104,8 +141,17 @@ def blocks(page: str) -> list[Block]:
         if tag in SKIPPED:
             if not closing and not m.group(3).endswith("/"):
                 flush()
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if tag in RAW:
+                    at = _after(page, tag, at) or len(page)
+                else:  # without an end tag the element is a container like any other
+                    if tag not in ends:
+                        ends[tag] = _ends(page, tag)
+                    at = ends[tag].get(at, at)
+            continue
+        if tag == "head":
+            if not closing:
+                flush()
+                at = _after_head(page, at)
             continue
         if tag == "br":
             parts.append(" ")

@@ -30,6 +30,20 @@ def test_blocks():
     assert html_text.blocks("") == [] and [b.text for b in html_text.blocks("a<br>b")] == ["a b"]
 
 
+def test_elements_without_end_tags_keep_the_rest():
+    own = lambda page: [b.text for b in html_text.blocks(page)]
+    for head in ("<head><title>T</title>", "<head><meta charset=x><script>'</head><p>'</script>", "<head>"):
+        assert own(f"<html>{head}<body><article><p>One.<p>Two.</article>") == ["One.", "Two."]
+        assert own(f"<html>{head}<p>One.<p>Two.") == ["One.", "Two."]
+    assert own("<head><title>T</title>Plain text.") == ["Plain text."]
+    assert own("<head><title>T</title><style>p{}</style></head>Text.") == ["Text."]
+    for tag in ("select", "svg", "object", "iframe", "noscript", "template", "math", "textarea"):
+        assert own(f"<p>One.</p><{tag} a='b'><p>Two.</p>") == ["One.", "Two."]
+        assert own(f"<p>One.</p><{tag}><p>Two.</p><{tag}>no</{tag}><p>Three.</p>") == ["One.", "Two.", "Three."]
+        assert own(f"<p>One.</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>Two.</p>") == ["One.", "Two."]
+    assert own("<p>One.</p><script>var a;<p>Two.</p>") == ["One."]
+
+
 def test_main_text(pages, spark):
     out = {r.page_id: r for r in html_text.main_text(pages(ROWS)).collect()}
     want = "A title & more\nFirst text here.\nSecond bold text <ok> goes on for some more words here.\npoint one is said."
