@@ -9,7 +9,10 @@ placeholders repeat in the same places on both sides, so one value always stands
 Windows with fewer than LITERAL of their tokens literal say too little and are not used.
 
 A document is contaminated by an item if it matches REQUIRED different windows of it (all, if the
-item has fewer). The items' windows are broadcast only when a count shows at most BROADCAST_ROWS
+item has fewer). clean() also finds what stands elsewhere in a text: an item's first word is typed
+both as a literal and, if capitalised, as the <name> it becomes after words without a full stop,
+and items without a telling window are known by the windows of their very words, of any number, so
+that no verbatim copy is missed. contamination() stays without both, as its SQL is. The items' windows are broadcast only when a count shows at most BROADCAST_ROWS
 of them; otherwise the same join shuffles by hash.
 
 Rows: a null or empty text matches nothing. Repeated rows and ids give a row each (windows of
@@ -102,17 +105,57 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return told.join(needed, "item_id")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _cuts(items: DataFrame) -> DataFrame:
+    """(item_id, size, i, tokens, slots) for each window of items (item_id, tokens, slots), i from 1."""
+    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("tokens")))
+    cut = items.select("*", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)).alias("i"))
+    return cut.select("item_id", "size", "i", *(F.slice(c, F.col("i"), F.col("size")).alias(c) for c in ("tokens", "slots")))
+
+
+def _hashed(tokens: str) -> Column:
+    return F.xxhash64(F.transform(tokens, lambda t: F.xxhash64(t)))
+
+
+def verbatim(rows: DataFrame) -> DataFrame:
+    """templates() with every token a literal: the words themselves."""
+    values = F.transform(F.arrays_zip("tokens", "slots"), lambda z: F.coalesce(z["slots"], z["tokens"]))
+    return rows.withColumn("tokens", values).withColumn("slots", F.transform("slots", lambda s: F.lit(None).cast("string")))
+
+
+def anywhere_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_windows() for items that stand anywhere in a text, with w, which is one for both forms
+    of a window. The sizes of windows of very words are negative."""
+    texts = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    items = templates(texts, "item_id", "text").where(F.size("tokens") > 0)
+    cuts = _cuts(items.where(F.size("tokens") >= SHORTEST)).where(F.size(F.filter("slots", lambda s: s.isNull())) >= LITERAL * F.col("size"))
+    told = cuts.select("item_id", "size", _hashed("tokens").alias("h"), _pattern(F.col("slots")).alias("p"), _hashed("tokens").alias("w")).distinct()
+    word = F.btrim(F.get(_words(F.col("text")), 0), F.lit(OUTER))
+    capital = (F.left(word, F.lit(1)) != F.lower(F.left(word, F.lit(1)))) & (F.char_length(word) > 1) & (F.substr(word, F.lit(2)) == F.lower(F.substr(word, F.lit(2))))
+    heads = texts.where(capital).select("item_id", F.lower(word).alias("word")).distinct()
+    inside = cuts.where("i = 1").join(heads, "item_id").where(F.coalesce(F.element_at("slots", 1), F.element_at("tokens", 1)) == F.col("word"))
+    rest = lambda c, n: F.slice(c, F.lit(2), F.greatest(n, F.lit(0)))
+    inside = inside.withColumn("w", _hashed("tokens")).withColumn("tokens", F.concat(F.array(F.lit("<name>")), rest("tokens", F.col("size") - 1))).withColumn("slots", F.concat(F.array("word"), rest("slots", F.col("size") - 1)))
+    told = told.union(inside.select("item_id", "size", _hashed("tokens").alias("h"), _pattern(F.col("slots")).alias("p"), "w").distinct())
+    mute = _cuts(verbatim(items.join(told.select("item_id").distinct(), "item_id", "left_anti")))
+    told = told.union(mute.select("item_id", -F.col("size"), _hashed("tokens").alias("h"), F.lit("").alias("p"), _hashed("tokens").alias("w")).distinct())
+    needed = told.groupBy("item_id").agg(F.least(F.lit(REQUIRED), F.count_distinct("w")).alias("needed"))
+    return told.join(needed, "item_id")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, anywhere: bool = False) -> DataFrame:
     """(doc_id, item_id, n_windows) for each item that contaminates a document."""
-    known = item_windows(benchmark).persist()
+    known = (anywhere_windows(benchmark) if anywhere else item_windows(benchmark).withColumn("w", F.col("h"))).persist()
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most WINDOW
     if known.count() <= BROADCAST_ROWS:
         side = F.broadcast(known)
     else:
         side = known
-    own = windows(templates(docs.where("doc_id is not null"), "doc_id", "text"), "doc_id", sizes or [WINDOW])
+    texts = templates(docs.where("doc_id is not null"), "doc_id", "text")
+    own = windows(texts, "doc_id", [n for n in sizes if n > 0] or [WINDOW])
+    if words := [-n for n in sizes if n < 0]:
+        own = own.union(windows(verbatim(texts), "doc_id", words).withColumn("size", -F.col("size")))
     same = own.withColumnRenamed("p", "q").join(side, ["size", "h"]).where("p = q")
-    counted = same.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n_windows"), F.first("needed").alias("needed"))
+    counted = same.groupBy("doc_id", "item_id").agg(F.count_distinct("w").alias("n_windows"), F.first("needed").alias("needed"))
     return counted.where("n_windows >= needed").select("doc_id", "item_id", "n_windows")
 
 
@@ -125,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no benchmark item contaminates, all columns kept."""
-    return docs.join(matches(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id") == F.col("_hit"), "left_anti")
+    return docs.join(matches(docs, benchmark, anywhere=True).select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id") == F.col("_hit"), "left_anti")
 
 
 _OUTER = OUTER.replace("'", "''")

@@ -29,6 +29,15 @@ def test_reparameterised_questions(docs, bench):
     assert kept.columns == docs(texts).columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 7}
 
 
+def test_clean_finds_verbatim_copies_anywhere(docs, spark):
+    items = ["What is the largest planet in the solar system?", "Paris is 9 km from Berlin by 2 roads and then 7 Rivers to Rome.", "Name Three Great Lakes Of Old Africa Today.", "3 km 4 km 5 km 6 km 7 km", "Who ran?", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"{before} {item} {after}" for item in items[:5] for before in ("Question:", '"', "so,", "End.", "and (") for after in ("", "And more follows here.")]
+    clean = ["The largest planet in the system is what we saw.", "Who ever ran?", "3 km 5 km 4 km 6 km 7 km", "Question: What was the largest planet in the solar system?", None, ""]
+    kept = decontamination.clean(docs([*texts, *clean]), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(texts), len(texts) + len(clean)))
+
+
 def test_broadcast_and_shuffle_agree(docs, bench, monkeypatch):
     texts = ["The train left Paris at 9 in the morning and was due after 450 km at noon.", "nothing"]
     one = decontamination.contamination(docs(texts), bench).collect()
