@@ -38,16 +38,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.runtime import bounded_batches, removed, swept, width, written
+from panelyard.llm.runtime import bounded_batches, removed, settled, swept, width, written
 
 WINDOW = 100
 K = 32
 CHUNK = 512
 BLOCK = 32
 #: Bytes that are hashed together, and the longest piece of a text that is handled as one.
-TOGETHER, LONGEST = 1 << 20, 8 << 20
+TOGETHER, LONGEST = 1 << 20, 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
-PIECES_PER_TASK, HOT = 20_000, 20_000
+PIECES_PER_TASK, HOT = 10_000, 20_000
+#: Rows that a task gathers before it hands them on.
+ROWS = 4096
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,17 +156,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(low), pa.array(high), ids.take(row), keys.take(row), pa.array((bounds - offset[whose] + base[whose]).astype(np.int32)), pa.array((stop - bounds).astype(np.int32)), pa.ListArray.from_arrays(pa.array(lists), pa.array(h[spot].view(np.int64))), pa.ListArray.from_arrays(pa.array(lists), pa.array(absolute.astype(np.int32)))],
                 schema=_CHUNKS,
             )
+    settled()
 
 
 PIECES = "core long, doc_id long, dk long, start int, n int, data binary"
 
 
+def _rows(out: list[tuple]) -> pd.DataFrame:
+    rows = pd.DataFrame(out, columns=["core", "doc_id", "dk", "start", "n", "data"])
+    out.clear()
+    return rows
+
+
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The suffixes at shared anchors, in pieces of up to BLOCK starts. Of equal pieces in a batch
-    the earliest carries its bytes; the others are repeats, so theirs are null."""
+    (by 128-bit digests) the earliest carries its bytes; the others are repeats, theirs are null."""
+    out: list[tuple] = []
     for batch in batches:
-        seen: dict[bytes, bool] = {}
-        out = []
+        seen: set[int] = set()
         batch = batch.sort_values(["doc_id", "dk"])
         for doc, key, text, spots in zip(batch.doc_id, batch.dk, batch.text, batch.spots):
             wanted = np.unique(np.asarray(spots, np.int64))
@@ -182,28 +191,36 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 first = np.flatnonzero(new)
                 count = np.diff(np.append(first, len(starts)))
                 for s, n, a, b in zip(starts[first].tolist(), count.tolist(), anchors[first].tolist(), block[first].tolist()):
+                    if len(out) >= ROWS:
+                        yield _rows(out)
                     data = part[s : s + n - 1 + WINDOW]
-                    if data in seen:
+                    digest = xxhash.xxh3_128_intdigest(data)
+                    if digest in seen:
                         out.append((0, doc, key, at + s, n, None))
                         continue
-                    seen[data] = True
+                    seen.add(digest)
                     shared = part[a - b * BLOCK : a - b * BLOCK - BLOCK + 1 + WINDOW]
                     out.append((xxhash.xxh64_intdigest(shared) - (1 << 63), doc, key, at + s, n, data))
-        yield pd.DataFrame(out, columns=["core", "doc_id", "dk", "start", "n", "data"])
+    yield _rows(out)
+    settled()
 
 
 def _singly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces of large keys, suffix by suffix, each keyed by all of its bytes."""
+    out: list[tuple] = []
     for batch in batches:
-        seen: set[bytes] = set()
-        out = []
+        seen: set[int] = set()
         batch = batch.sort_values(["doc_id", "dk", "start"])
         for doc, key, start, n, data in zip(batch.doc_id, batch.dk, batch.start, batch.n, batch.data):
+            if len(out) >= ROWS:
+                yield _rows(out)
             for i in range(n):
                 one = data[i : i + WINDOW]
-                out.append((xxhash.xxh64_intdigest(one) - (1 << 63), doc, key, start + i, 1, None if one in seen else one))
-                seen.add(one)
-        yield pd.DataFrame(out, columns=["core", "doc_id", "dk", "start", "n", "data"])
+                digest = xxhash.xxh3_128_intdigest(one)
+                out.append(((digest >> 64) - (1 << 63), doc, key, start + i, 1, None if digest in seen else one))
+                seen.add(digest)
+    yield _rows(out)
+    settled()
 
 
 class IndexFamily:
@@ -256,6 +273,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = np.flatnonzero(head)
         owner = row[first]
         yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy()[owner], "dk": batch.dk.to_numpy()[owner], "start": batch.start.to_numpy()[owner] + step[first], "n": np.diff(np.append(first, len(row)))})
+    family.levels.clear()
+    settled()
 
 
 def _sortable(suffixes: np.ndarray) -> np.ndarray:

@@ -101,3 +101,21 @@ def test_index_family_levels():
             seen.add(one)
         sizes = [len(x) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+def test_repeated_rows_of_the_first_occurrence(docs):
+    """A document that stands there twice keeps its passage; the others lose it, wherever they are."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7)))
+    passage, own = " ".join(word() for _ in range(60)), [" ".join(word() for _ in range(300)) for _ in range(3)]
+    rows = [(1, f"{own[0]} {passage}"), (1, f"{own[0]} {passage}"), (2, f"{passage} {own[1]}"), (3, f"{own[2]} {passage}"), (3, f"{own[2]} {passage}")]
+    out = sd.removals(docs(rows)).collect()
+    want = {k: sum(v) for k, v in brute([(i, t.encode()) for i, t in rows]).items()}
+    assert sorted((x.doc_id, x.n_removed) for x in out) == [(1, 0), (1, 0), (2, want[2]), (3, want[3]), (3, want[3])] and want[2] >= len(passage)
+
+
+def test_tasks_hand_rows_on_as_they_go(docs, monkeypatch):
+    monkeypatch.setattr(sd, "ROWS", 3)
+    monkeypatch.setattr(sd, "HOT", 2)
+    texts = corpus()
+    want = {k: sum(v) for k, v in brute([(i, t.encode()) for i, t in enumerate(texts)]).items()}
+    assert {x.doc_id: x.n_removed for x in sd.removals(docs(texts)).collect()} == want
