@@ -7,8 +7,11 @@ rest. Pieces are packed in groups of bounded size, dealt by hash, so no task see
 * the incumbent of a group is its best-fit-decreasing solution;
 * if that has more sequences than the lower bound, branch and bound looks for a better one: the
   largest piece left opens a sequence, undominated fillings around it are tried fullest first, and
-  a branch ends when its waste exceeds what one sequence less would leave. The search has a node
-  budget; without a better solution the incumbent holds.
+  a branch ends when its waste exceeds what one sequence less would leave. The search may open
+  NODES sequences for each one of the incumbent; without a better solution the incumbent holds.
+
+Groups are dealt by a number that each written piece has of its own, so rows that share an id (or
+have none) spread like all others.
 
 Sequences that end up with room are opened again and their pieces packed in fewer groups, until
 one group is left, so the loss of a group's last sequence does not add up over the groups. Where
@@ -33,21 +36,22 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.runtime import bounded_batches, written
+from panelyard.llm.runtime import bounded_batches, settled, written
 from panelyard.llm.token_counts import byte_symbols
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END = 1
-CACHED = 500_000
+CACHED = 250_000
 GROUP, LARGEST = 512, 8
 #: A sequence with more room than this is opened again in the next round.
 ROOM = 16
-NODES, FILLINGS, STEPS = 400, 6, 400
+NODES, LEAST_NODES, FILLINGS, STEPS = 4, 400, 6, 400
 #: Split by Python as white space, but not by the library.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@[-`{-~]*)").fullmatch
 
+
 class Encoder:
     """The library's ids, remembered for the runs of text between white space. White space is
     dropped by the vocabulary and nothing is joined across it, so each run stands alone. A run of
@@ -123,6 +127,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
         if path in _ENCODERS:  # the worker lives on, and later tasks need its memory
             _ENCODERS[path].forget()
+        settled()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -191,53 +196,63 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     best = best_fit(ordered, capacity)
     total = sum(ordered)
     bound = max(-(-total // capacity), sum(2 * s > capacity for s in ordered))
-    nodes = 0
-
-    def search(left: list[int], bins: list[list[int]], waste: int) -> bool:
-        nonlocal best, nodes
-        nodes += 1
-        if not left:
-            if len(bins) < len(best):
-                best = [list(b) for b in bins]
-            return len(best) == bound
-        if nodes > NODES:
-            return True
-        options = fillings(ordered, left[1:], capacity - ordered[left[0]]) or [(capacity - ordered[left[0]], [])]
-        for room, chosen in options:
-            allowed = (len(best) - 1) * capacity - total
-            if waste + room > allowed:  # more waste than one sequence less would leave
-                break
-            taken = {left[0], *chosen}
-            bins.append([left[0], *chosen])
-            done = search([i for i in left if i not in taken], bins, waste + room)
-            bins.pop()
-            if done:
-                return True
-        return False
+    nodes = max(LEAST_NODES, NODES * len(best))  # so many sequences may be opened
+
+    def options(left: list[int]) -> Iterator[tuple[int, list[int]]]:
+        room = capacity - ordered[left[0]]
+        return iter(fillings(ordered, left[1:], room) or [(room, [])])
 
+    # a depth-first walk; for each open sequence: its pieces, the pieces left, the waste before it
+    # and its fillings not yet tried
+    walk: list[tuple[list[int], int, Iterator]] = []
+    bins: list[list[int]] = []
     if len(best) > bound and total <= (len(best) - 1) * capacity:
-        deep = [i for i in range(len(ordered))]
-        search(deep, [], 0)
+        left = list(range(len(ordered)))
+        walk.append((left, 0, options(left)))
+    while walk and nodes and len(best) > bound:
+        left, waste, untried = walk[-1]
+        room, chosen = next(untried, (None, None))
+        # none left, or more waste than one sequence less would leave (the rest waste more)
+        if room is None or waste + room > (len(best) - 1) * capacity - total:
+            walk.pop()
+            if bins:
+                bins.pop()
+            continue
+        nodes -= 1
+        taken = {left[0], *chosen}
+        bins.append([left[0], *chosen])
+        rest = [i for i in left if i not in taken]
+        if rest:
+            walk.append((rest, waste + room, options(rest)))
+            continue
+        if len(bins) < len(best):
+            best = [list(b) for b in bins]
+        bins.pop()
     return [[order[i] for i in b] for b in best]
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, room long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, room long"
+#: Bits of a sequence_id: level, group (of hundreds of pieces), number in the group.
+LEVEL_BITS, NUMBER_BITS = 58, 16
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id (any numbers) and offset (gapless from 0 in a sequence)."""
+    """pieces with sequence_id (any numbers) and offset (gapless from 0 in a sequence), for a
+    written table of token_pieces() with row, a number that no two rows share."""
     spark = pieces.sparkSession
     columns = pieces.columns
 
     def solver(level: int):
         def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["doc_id", "piece", "start", "ids_crc32"], ignore_index=True)
+            group = group.sort_values("row", ignore_index=True)
             sizes = group["length"].tolist()
             bins = pack(sizes, capacity)
             at = np.concatenate([np.asarray(b, np.int64) for b in bins])
             out = group[columns].iloc[at].copy()
             number = np.repeat(np.arange(len(bins), dtype=np.int64), [len(b) for b in bins])
-            out["sequence_id"] = (level << 56) | (int(key[0]) << 16) | number
+            if len(bins) >> NUMBER_BITS or int(key[0]) >> (LEVEL_BITS - NUMBER_BITS):
+                raise OverflowError("a sequence_id has no room for this group")
+            out["sequence_id"] = (level << LEVEL_BITS) | (int(key[0]) << NUMBER_BITS) | number
             out["offset"] = np.concatenate([np.cumsum([0] + [sizes[i] for i in b[:-1]]) for b in bins])
             out["room"] = np.repeat([capacity - sum(sizes[i] for i in b) for b in bins], [len(b) for b in bins])
             return out
@@ -249,7 +264,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     level, size = 0, GROUP
     while True:
         groups = max(1, -(-count // size))
-        dealt = left.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)))
+        dealt = left.withColumn("_group", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
         table = written(dealt.groupBy("_group").applyInPandas(solver(level), _PACKED), "packed")
         if groups == 1:
             done.append(table)
@@ -269,10 +284,10 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = done[0]
     for table in done[1:]:
         out = out.unionByName(table)
-    return out.drop("room")
+    return out.drop("room", "row")
 
 
 def best_fit_packing(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """Per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(token_pieces(docs, path=path, capacity=capacity), "pieces")
+    pieces = written(token_pieces(docs, path=path, capacity=capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return packed(pieces, capacity)

@@ -46,3 +46,25 @@ def test_rows(docs, edges, monkeypatch):
     assert by.length.sum().max() <= 4096
     assert by.ngroups <= -(-total // 4096) + 1
     assert packing.best_fit_packing(docs([])).count() == 0
+
+
+def test_one_id_for_all_rows_is_dealt_and_packed_like_any(spark):
+    """100,000 pieces without an id: no group takes them all, no sequence is over the capacity."""
+    from pyspark.sql import functions as F
+
+    for size in (4000, 700):
+        rows = spark.range(100_000, numPartitions=8)
+        pieces = rows.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(size).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"), F.col("id").alias("row"))
+        out = packing.packed(pieces).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.expr("offset + length")).alias("end"), F.count("*").alias("k"))
+        got = out.agg(F.max("n").alias("n"), F.max(F.expr("end - n")).alias("gap"), F.count("*").alias("sequences"), F.sum("k").alias("pieces")).first()
+        per = 4096 // size
+        assert got.n <= 4096 and got.gap == 0 and got.pieces == 100_000
+        assert got.sequences <= 1.01 * (100_000 / per)
+
+
+def test_large_groups_are_searched_to_the_end():
+    """Seven hundred pieces near the capacity: a complete solution lies deeper than 400 sequences."""
+    sizes = [2 * 44, 2 * 41, 2 * 30, 2 * 29, 2 * 28, 2 * 28] + [195 + i % 6 for i in range(700)]
+    bins = packing.pack(sizes, 200)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 200 for b in bins)
+    assert len(bins) == 702
