@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.runtime import bounded_batches, removed, written
+from panelyard.llm.runtime import bounded_batches, removed, settled, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for texts in parts:
             got = np.array([fingerprint(t.encode()) for t in texts], np.uint64)
             yield pd.Series(got.view(np.int64))
+        settled()
 
     return docs.select(F.col(id_col).alias("doc_id"), simhash(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
 
@@ -135,7 +136,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
     else:
         raise RuntimeError(f"links did not settle in {ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
