@@ -33,4 +33,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     known = _known(labels, label)
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))
-    return docs.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))  # no other column can clash
+    return texts.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
