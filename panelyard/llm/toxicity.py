@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become classes (insult, threat, target, negation, report, other), marks of punctuation end
-clauses. Three transducers read a clause's classes: a target beside an insult or threat raises its
-weight, a negation before it and reported speech lower it. They are composed into one machine,
-whose output is the clause's score; a document's score is a logistic function of its clauses.
+clauses. Two transducers match clauses: an insult clause (an insult, worth more with a target
+before or after it) and a threat clause (a threat and its target, in any order; either alone is
+worth nothing). Two others change what they put out: a negation lowers what follows it, reported
+speech lowers the rest of its clause. They are composed into one machine, whose output is the
+clause's score; a document's score is a logistic function of its matched clauses. Words outside
+of a matched clause score nothing.
 
 Insults are word stems that the training labels point to: prefixes of at least STEM letters that
 toxic training texts hold far oftener than others, weighted by their log odds. A few fixed words
@@ -30,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.folds import held_out, prior_shift, training_rows
-from panelyard.llm.runtime import bounded_batches
+from panelyard.llm.runtime import bounded_batches, settled
 
 PER_CLASS = 4000
 STEM, LONGEST = 3, 12
 SUPPORT, PURITY = 6, 0.75
 STEMS = 5000
-CACHED = 300_000
+CACHED = 150_000
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
 TOKEN = re.compile(r"[^\W\d_]+|[.,;:!?\n]")
 # fixed values: words of each class
@@ -52,36 +55,47 @@ DEFAULT = np.array([-3.5, 3.0, 1.5, 0.4, 0.2, 0.0])
 
 @dataclass(frozen=True)
 class Transducer:
-    """Reads classes. moves: (state, class) -> (state, factor); other classes keep the state at
-    factor 1, and STOP leads back to the start."""
+    """Reads classes. moves: (state, class) -> (state, output); other classes keep the state and
+    put out the neutral value, and STOP leads back to the start. Patterns put out shares of the
+    weight at hand (neutral 0), changes put out factors (neutral 1)."""
 
     moves: dict[tuple[int, int], tuple[int, float]]
+    neutral: float
     start: int = 0
 
     def step(self, state: int, symbol: int) -> tuple[int, float]:
-        return self.moves.get((state, symbol), (self.start if symbol == STOP else state, 1.0))
+        return self.moves.get((state, symbol), (self.start if symbol == STOP else state, self.neutral))
+
+
+def insult_clause(raised: float = 1.25) -> Transducer:
+    """States: nothing yet, a target, an insult without a target. A target that comes after the
+    insult puts out what it would have raised."""
+    moves = {(0, TARGET): (1, 0.0), (0, INSULT): (2, 1.0), (1, INSULT): (1, raised), (2, INSULT): (2, 1.0), (2, TARGET): (1, raised - 1.0)}
+    return Transducer(moves, 0.0)
+
+
+def threat_clause(worth: float = 1.25) -> Transducer:
+    """States: nothing yet, a target, a threat without a target."""
+    return Transducer({(0, TARGET): (1, 0.0), (0, THREAT): (2, 0.0), (1, THREAT): (1, worth), (2, TARGET): (1, worth)}, 0.0)
 
 
 def negation(span: int = 3, factor: float = 0.35) -> Transducer:
     """Lowers what follows a negation within span words."""
     moves = {(s, NEGATION): (span, 1.0) for s in range(span + 1)}
     for s in range(1, span + 1):
-        moves |= {(s, c): (s - 1, factor if c in (INSULT, THREAT) else 1.0) for c in (OTHER, INSULT, THREAT, TARGET, REPORT)}
-    return Transducer(moves)
+        moves |= {(s, c): (s - 1, 1.0 if c == OTHER else factor) for c in (OTHER, INSULT, THREAT, TARGET, REPORT)}
+    return Transducer(moves, 1.0)
 
 
 def reported(factor: float = 0.5) -> Transducer:
-    return Transducer({(0, REPORT): (1, 1.0), (1, INSULT): (1, factor), (1, THREAT): (1, factor)})
-
-
-def targeted(factor: float = 1.25) -> Transducer:
-    """Raises an insult or threat once the clause has named a target."""
-    return Transducer({(0, TARGET): (1, 1.0), (1, INSULT): (1, factor), (1, THREAT): (1, factor)})
+    """Lowers the rest of a clause after a word of reporting."""
+    return Transducer({(0, REPORT): (1, 1.0)} | {(1, c): (1, factor) for c in (INSULT, THREAT, TARGET)}, 1.0)
 
 
-def composed(*machines: Transducer) -> dict[tuple, list[tuple[tuple, float]]]:
-    """The product machine: state -> (state, factor) for each class."""
-    start = tuple(m.start for m in machines)
+def composed(patterns: list[Transducer], changes: list[Transducer]) -> dict[tuple, list[tuple[tuple, float]]]:
+    """The product machine: state -> (state, output) for each class; its output is what the
+    patterns put out together times what each change makes of it."""
+    start = tuple(m.start for m in (*patterns, *changes))
     table: dict[tuple, list[tuple[tuple, float]]] = {}
     todo = [start]
     while todo:
@@ -90,22 +104,25 @@ def composed(*machines: Transducer) -> dict[tuple, list[tuple[tuple, float]]]:
             continue
         row = []
         for symbol in range(STOP + 1):
-            moves = [m.step(s, symbol) for m, s in zip(machines, state)]
-            row.append((tuple(s for s, _ in moves), math.prod(f for _, f in moves)))
+            moves = [m.step(s, symbol) for m, s in zip((*patterns, *changes), state)]
+            puts = [o for _, o in moves]
+            row.append((tuple(s for s, _ in moves), sum(puts[: len(patterns)]) * math.prod(puts[len(patterns) :])))
         table[state] = row
         todo += [s for s, _ in row]
     return table
 
 
-GRAMMAR = composed(targeted(), negation(), reported())
-START = (0, 0, 0)
+GRAMMAR = composed([insult_clause(), threat_clause()], [negation(), reported()])
+START = (0, 0, 0, 0)
 
 
 class Scorer:
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         self.words: dict[str, tuple[int, float]] = {}
-        for words, kind in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)):
+        for words, kind in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+            self.words |= {w: (kind, 0.0) for w in words}
+        for words, kind in ((THREATS, THREAT), (INSULTS, INSULT)):
             self.words |= {w: (kind, stems.get(w, SEED_WEIGHT)) for w in words}
         self.words |= {c: (STOP, 0.0) for c in ".,;:!?\n"}
         self.cache = dict(self.words)
@@ -117,7 +134,8 @@ class Scorer:
         return OTHER, 0.0
 
     def features(self, text: str) -> tuple[float, ...]:
-        """any match, log of the clauses' total, the largest clause, per 100 words, log of words."""
+        """any matched clause, log of the clauses' total, the largest clause, per 100 words, log of
+        words."""
         tokens = TOKEN.findall(text.lower())
         cache = self.cache
         read = list(map(cache.get, tokens))
@@ -139,15 +157,16 @@ class Scorer:
             b = hit
             while b < len(read) and read[b][0] != STOP:
                 b += 1
-            done, state, score = b, START, 0.0
+            done, state, score, held = b, START, 0.0, SEED_WEIGHT
             for kind, weight in read[a:b]:
-                state, factor = GRAMMAR[state][kind]
-                if kind == INSULT or kind == THREAT:
-                    score += weight * factor
+                state, output = GRAMMAR[state][kind]
+                if weight:  # a target after it puts out a share of the last insult or threat
+                    held = weight
+                score += held * output
             total += score
             largest = max(largest, score)
         n = len(tokens)
-        return float(bool(hits)), math.log1p(total), largest, 100 * total / (n + 20), math.log1p(n)
+        return float(total > 0), math.log1p(total), largest, 100 * total / (n + 20), math.log1p(n)
 
 
 FEATURES = ["f0", "f1", "f2", "f3", "f4"]
@@ -207,6 +226,8 @@ def _features(docs: DataFrame, stems: dict[str, float], keep: list[str]) -> Data
         scorer = Scorer(stems)
         for texts in parts:
             yield pd.DataFrame([scorer.features(t) for t in texts], columns=FEATURES, dtype=float)
+        del scorer
+        settled()
 
     return docs.select(*keep, read(F.coalesce("text", F.lit(""))).alias("f")).select(*keep, "f.*")
 

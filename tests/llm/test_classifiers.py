@@ -56,6 +56,21 @@ def test_grammar():
     assert total("not an idiot") < total("an idiot")
     assert total("not there. an idiot") == pytest.approx(total("an idiot"))
     assert total("a kind word") == 0
+    # a target after the insult is worth as much as before it; a threat needs a target
+    assert total("idiot you") == pytest.approx(total("you idiot"))
+    assert total("they burn wood") > total("wood will burn") == 0
+    assert total("burn them") == pytest.approx(total("they burn"))
+    assert total("he said burn them") < total("burn them")
+
+
+def test_other_columns_do_not_clash(docs, spark, labels):
+    """Columns of documents that bear the operators' working names."""
+    from pyspark.sql import functions as F
+
+    own = docs(["you idiot", "calm words", None]).withColumns({c: F.lit(9) for c in ("y", "_id", "quality", "toxic", "x", "f0", "held_out", "predicted")})
+    for scores in (toxicity.scores, quality_classifier.scores):
+        assert scores(own, labels).count() == 3
+    assert toxicity.without_toxic(own, labels).columns == own.columns
 
 
 def test_toxic_documents_go(docs, spark):
