@@ -1,206 +1,201 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
-Texts become templates: a number is <num>, a unit of measure is <unit>, a capitalised word inside
-a sentence is <name>, any other word is itself in lower case without its outer punctuation. A
-benchmark item is known by its windows of WINDOW template tokens (an item with fewer tokens, but
-SHORTEST at least, by one window of them all). A document's windows are joined by hash with the
-items' windows, and a match counts only if the slots are consistent: the values behind the
-placeholders repeat in the same places on both sides, so one value always stands for one other.
-Windows with fewer than LITERAL of their tokens literal say too little and are not used.
-
-A document is contaminated by an item if it matches REQUIRED different windows of it (all, if the
-item has fewer). clean() also finds what stands elsewhere in a text: an item's first word is typed
-both as a literal and, if capitalised, as the <name> it becomes after words without a full stop,
-and items without a telling window are known by the windows of their very words, of any number, so
-that no verbatim copy is missed. contamination() stays without both, as its SQL is. The items' windows are broadcast only when a count shows at most BROADCAST_ROWS
-of them; otherwise the same join shuffles by hash.
-
-Rows: a null or empty text matches nothing. Repeated rows and ids give a row each (windows of
-rows with one id count together). A null doc_id matches nothing. Null item texts are left out.
+Texts become templates: a number is <num>, a unit of measure is <unit>, a capitalised word is
+<name> (unless it is one of OPENERS, the words that often begin a sentence), any other word is
+itself in lower case without its outer punctuation. What a word becomes does not depend on the
+words beside it, so a passage has the same template wherever it stands.
+
+A benchmark item is known by its windows of WINDOW template tokens (an item with fewer tokens, but
+SHORTEST at least, by one window of them all). Windows with fewer than LITERAL of their tokens
+literal say too little and are not used; an item that is left without windows is known by the
+windows of its very words, of any number. All windows of a text are joined by hash with those of
+the items. For texts that are hit the tokens are compared, and the slots of all windows at one
+alignment of a text with an item must have one binding: each of the item's values stands for one
+value of the text and the other way round. A window whose values break the binding speaks against
+the alignment, however many others fit.
+
+A text is contaminated by an item if an alignment has a binding and REQUIRED different windows of
+the item (all, if it has fewer). The items' windows are broadcast only when a count shows at most
+BROADCAST_ROWS of them; otherwise the same join shuffles by hash.
+
+Rows: a null or empty text matches nothing. Repeated rows and ids give a row each, judged by its
+own text. A null doc_id matches nothing. Null item texts are left out, repeated items count each.
 Empty tables give an empty or an all-clean result. Other columns are ignored, or kept by clean().
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.llm.runtime import written
+
 WINDOW, SHORTEST, REQUIRED = 8, 4, 4
 LITERAL = 0.6
 BROADCAST_ROWS = 200_000
-# fixed values: what is cut from a token's ends, and units of measure
+# fixed values: what is cut from a token's ends, units of measure, and words that begin sentences
 OUTER = ".,;:!?\"'()[]{}«»“”„…"
-UNITS = "mm cm m km mg g kg t ml l kb mb gb tb ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds ton tons gallon gallons percent degree degrees dollar dollars euro euros cent cents usd eur gbp meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres watt watts volt volts".split()
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+UNITS = "mm cm m km mg kg g t ml l kb mb gb tb ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds ton tons gallon gallons percent degree degrees dollar dollars euro euros cent cents usd eur gbp meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres watt watts volt volts".split()
+OPENERS = "a add all an and are as at but by calculate can consider could did do does each every explain find for from given he her his how i if in is it its let my name not of on one or our she should some suppose that the their then there these they this those to two under was we were what when where which while who whom whose why will with would write you your das der die ein eine es für ich im in ist mit sie und von was wenn wer wie wo zu ce cette de des elle en est et il la le les où par pour que quel quelle qui si un une con cuál cuando cómo del donde el en es la las los no para por qué se su una y".split()
 
 
 def _words(text: Column) -> Column:
-    """Words; the end of a line counts as the end of a sentence."""
-    return F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(".\n")), r"[ \t-\r]+"), lambda w: w != "")
-
-
-def _slot(words: Column, core: Column, i: Column) -> Column:
-    """'<num>', '<unit>', '<name>' or null for a literal; core is the i-th word without its outer
-    punctuation."""
-    first, head, tail = F.ascii(core), F.left(core, F.lit(1)), F.substr(core, F.lit(2))
-    inside = (i > 0) & ~F.right(F.element_at(words, F.greatest(i, F.lit(1))), F.lit(1)).isin(".", "!", "?")
-    name = (head != F.lower(head)) & inside & (F.char_length(core) > 1) & (tail == F.lower(tail))
-    return F.when((first >= 48) & (first <= 57), F.lit("<num>")).when(name, F.lit("<name>")).when(F.lower(core).isin(*UNITS), F.lit("<unit>"))
-
-
-def templates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tokens, slots): template tokens, and the lower-case values of slots (null elsewhere)."""
-    words = df.select(F.col(key), _words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    cores = words.select(key, "w", F.transform("w", lambda w: F.btrim(w, F.lit(OUTER))).alias("c"))
-    typed = F.transform("c", lambda c, i: F.struct(_slot(F.col("w"), c, i).alias("t"), F.lower(c).alias("v")))
-    # words of punctuation alone are no tokens
-    rows = cores.select(key, F.filter(typed, lambda x: x["v"] != "").alias("z"))
-    return rows.select(
-        key,
-        F.transform("z", lambda x: F.coalesce(x["t"], x["v"])).alias("tokens"),
-        F.transform("z", lambda x: F.when(x["t"].isNotNull(), x["v"])).alias("slots"),
-    )
-
-
-def _pattern(slots: Column) -> Column:
-    """Where the slots' values repeat: each as the place of its first occurrence."""
-    return let(F.filter(slots, lambda s: s.isNotNull()), lambda own: F.array_join(F.transform(own, lambda s: F.array_position(own, s).cast("string")), ","))
+    return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
 
-def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, size, h, p) for templates(): a row for each window of each of the sizes."""
-    hashed = df.select(key, F.transform("tokens", lambda t: F.xxhash64(t)).alias("hs"), "slots", F.exists("slots", lambda s: s.isNotNull()).alias("has"))
-    parts = [hashed.select(key, F.inline(_windows_of(size))).select(key, F.lit(size).alias("size"), "h", "p") for size in sizes]
-    return functools.reduce(DataFrame.unionByName, parts)
+def _slot(core: Column) -> Column:
+    """'<num>', '<unit>', '<name>' or null for a literal; core has no outer punctuation."""
+    first, low = F.ascii(core), F.lower(core)
+    capital = (F.left(core, F.lit(1)) != F.left(low, F.lit(1))) & (F.char_length(core) > 1) & (F.substr(core, F.lit(2)) == F.substr(low, F.lit(2)))
+    return F.when((first >= 48) & (first <= 57), F.lit("<num>")).when(capital & ~low.isin(*OPENERS), F.lit("<name>")).when(low.isin(*UNITS), F.lit("<unit>"))
 
 
-def _windows_of(size: int) -> Column:
-    starts = F.when(F.size("hs") >= size, F.sequence(F.lit(1), F.size("hs") - (size - 1))).otherwise(F.array().cast("array<int>"))
+def templates(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The keys, tokens and slots: template tokens, and the lower-case values of slots (null
+    elsewhere). Words of punctuation alone are no tokens."""
+    cores = F.filter(F.transform(_words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.btrim(w, F.lit(OUTER))), lambda c: c != "")
+    typed = df.select(*keys, F.transform(cores, lambda c: F.struct(_slot(c).alias("t"), F.lower(c).alias("v"))).alias("z"))
+    return typed.select(
+        *keys,
+        F.transform("z", lambda x: F.coalesce(x["t"], x["v"])).alias("tokens"),
+        F.transform("z", lambda x: F.when(x["t"].isNotNull(), x["v"])).alias("slots"),
+    )
 
-    def window(i: Column) -> Column:
-        places = F.when(F.col("has"), _pattern(F.slice("slots", i, size))).otherwise(F.lit(""))
-        return F.struct(F.xxhash64(F.slice("hs", i, size)).alias("h"), places.alias("p"))
 
-    return F.transform(starts, window)
+def _values() -> Column:
+    return F.transform(F.arrays_zip("tokens", "slots"), lambda z: F.coalesce(z["slots"], z["tokens"]))
 
 
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, size, h, p, needed): the items' telling windows and how many a match needs."""
-    items = templates(benchmark.where(F.col(text_col).isNotNull()), id_col, text_col)
-    size = F.least(F.lit(WINDOW), F.size("tokens"))
-    items = items.where(F.size("tokens") >= SHORTEST).withColumn("size", size)
-    place = F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)).alias("i")
-    cut = items.select(F.col(id_col).alias("item_id"), "size", "tokens", "slots", place)
-    part = cut.select("item_id", "size", F.slice("tokens", F.col("i"), F.col("size")).alias("tokens"), F.slice("slots", F.col("i"), F.col("size")).alias("slots"))
-    literal = F.size(F.filter("slots", lambda s: s.isNull()))
-    told = part.where(literal >= LITERAL * F.col("size")).select("item_id", "size", F.xxhash64(F.transform("tokens", lambda t: F.xxhash64(t))).alias("h"), _pattern(F.col("slots")).alias("p")).distinct()
-    needed = told.groupBy("item_id").agg(F.least(F.lit(REQUIRED), F.count_distinct("h")).alias("needed"))
-    return told.join(needed, "item_id")
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def _cuts(items: DataFrame) -> DataFrame:
-    """(item_id, size, i, tokens, slots) for each window of items (item_id, tokens, slots), i from 1."""
-    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("tokens")))
-    cut = items.select("*", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)).alias("i"))
-    return cut.select("item_id", "size", "i", *(F.slice(c, F.col("i"), F.col("size")).alias(c) for c in ("tokens", "slots")))
+def windows(texts: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """The keys, size, i and h for templates(): a row for each window of each of the sizes, i from
+    1. Negative sizes are windows of that many very words."""
+    verbatim = _hashes(_values()) if min(sizes) < 0 else F.lit(None).cast("array<bigint>")
+    hashed = texts.select(*keys, _hashes(F.col("tokens")).alias("hs"), verbatim.alias("vs"))
 
+    def of(size: int) -> Column:
+        own, n = F.col("hs" if size > 0 else "vs"), abs(size)
+        starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("i"), F.xxhash64(F.slice(own, i, n)).alias("h")))
 
-def _hashed(tokens: str) -> Column:
-    return F.xxhash64(F.transform(tokens, lambda t: F.xxhash64(t)))
+    parts = [of(size) for size in sizes]
+    return hashed.select(*keys, F.inline(parts[0] if len(parts) == 1 else F.concat(*parts)))
 
 
-def verbatim(rows: DataFrame) -> DataFrame:
-    """templates() with every token a literal: the words themselves."""
-    values = F.transform(F.arrays_zip("tokens", "slots"), lambda z: F.coalesce(z["slots"], z["tokens"]))
-    return rows.withColumn("tokens", values).withColumn("slots", F.transform("slots", lambda s: F.lit(None).cast("string")))
+def items_and_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(item_id, want, values, slots, needed): the items' tokens, and how many different windows a
+    match needs; and (item_id, size, at, h): their telling windows, from token at on. Items without
+    any have windows of their very words, of negative sizes."""
+    texts = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    items = templates(texts, ["item_id"], "text").where(F.size("tokens") > 0).withColumn("size", F.least(F.lit(WINDOW), F.size("tokens")))
+    # rows, not ids: an id may stand there twice
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")
 
+    def cut(rows: DataFrame) -> DataFrame:
+        place = F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)).alias("at")
+        return rows.select("item", "size", "tokens", "slots", place).select("item", "size", "at", *(F.slice(c, F.col("at"), F.col("size")).alias(c) for c in ("tokens", "slots")))
 
-def anywhere_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_windows() for items that stand anywhere in a text, with w, which is one for both forms
-    of a window. The sizes of windows of very words are negative."""
-    texts = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    items = templates(texts, "item_id", "text").where(F.size("tokens") > 0)
-    cuts = _cuts(items.where(F.size("tokens") >= SHORTEST)).where(F.size(F.filter("slots", lambda s: s.isNull())) >= LITERAL * F.col("size"))
-    told = cuts.select("item_id", "size", _hashed("tokens").alias("h"), _pattern(F.col("slots")).alias("p"), _hashed("tokens").alias("w")).distinct()
-    word = F.btrim(F.get(_words(F.col("text")), 0), F.lit(OUTER))
-    capital = (F.left(word, F.lit(1)) != F.lower(F.left(word, F.lit(1)))) & (F.char_length(word) > 1) & (F.substr(word, F.lit(2)) == F.lower(F.substr(word, F.lit(2))))
-    heads = texts.where(capital).select("item_id", F.lower(word).alias("word")).distinct()
-    inside = cuts.where("i = 1").join(heads, "item_id").where(F.coalesce(F.element_at("slots", 1), F.element_at("tokens", 1)) == F.col("word"))
-    rest = lambda c, n: F.slice(c, F.lit(2), F.greatest(n, F.lit(0)))
-    inside = inside.withColumn("w", _hashed("tokens")).withColumn("tokens", F.concat(F.array(F.lit("<name>")), rest("tokens", F.col("size") - 1))).withColumn("slots", F.concat(F.array("word"), rest("slots", F.col("size") - 1)))
-    told = told.union(inside.select("item_id", "size", _hashed("tokens").alias("h"), _pattern(F.col("slots")).alias("p"), "w").distinct())
-    mute = _cuts(verbatim(items.join(told.select("item_id").distinct(), "item_id", "left_anti")))
-    told = told.union(mute.select("item_id", -F.col("size"), _hashed("tokens").alias("h"), F.lit("").alias("p"), _hashed("tokens").alias("w")).distinct())
-    needed = told.groupBy("item_id").agg(F.least(F.lit(REQUIRED), F.count_distinct("w")).alias("needed"))
-    return told.join(needed, "item_id")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, anywhere: bool = False) -> DataFrame:
-    """(doc_id, item_id, n_windows) for each item that contaminates a document."""
-    known = (anywhere_windows(benchmark) if anywhere else item_windows(benchmark).withColumn("w", F.col("h"))).persist()
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most WINDOW
-    if known.count() <= BROADCAST_ROWS:
-        side = F.broadcast(known)
-    else:
-        side = known
-    texts = templates(docs.where("doc_id is not null"), "doc_id", "text")
-    own = windows(texts, "doc_id", [n for n in sizes if n > 0] or [WINDOW])
-    if words := [-n for n in sizes if n < 0]:
-        own = own.union(windows(verbatim(texts), "doc_id", words).withColumn("size", -F.col("size")))
-    same = own.withColumnRenamed("p", "q").join(side, ["size", "h"]).where("p = q")
-    counted = same.groupBy("doc_id", "item_id").agg(F.count_distinct("w").alias("n_windows"), F.first("needed").alias("needed"))
-    return counted.where("n_windows >= needed").select("doc_id", "item_id", "n_windows")
+    literal = F.size(F.filter("slots", lambda s: s.isNull()))
+    told = cut(items.where(F.size("tokens") >= SHORTEST)).where(literal >= LITERAL * F.col("size"))
+    mute = cut(items.withColumn("tokens", _values()).join(told.select("item").distinct(), "item", "left_anti")).withColumn("size", -F.col("size"))
+    known = written(told.unionByName(mute).select("item", "size", "at", F.xxhash64(_hashes(F.col("tokens"))).alias("h")), "item-windows")
+    needed = known.groupBy("item").agg(F.least(F.lit(REQUIRED), F.count_distinct("h")).alias("needed"))
+    return items.join(needed, "item").select("item", "item_id", F.col("tokens").alias("want"), _values().alias("said"), F.col("slots").alias("from"), "needed"), known
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, dk, item_id, n_windows) for each item that contaminates a text; dk is its hash."""
+    keys = ["doc_id", "dk"]
+    items, known = items_and_windows(benchmark)
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect()) or [WINDOW]  # at most 2 * WINDOW
+    small = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    texts = docs.where("doc_id is not null").select("doc_id", _text_key().alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
+    hits = windows(templates(texts, keys, "text"), keys, sizes).join(small, ["size", "h"])
+    # an alignment has no more windows than its item
+    windows_at = F.collect_set(F.struct("size", "at", "h")).alias("windows")
+    aligned = written(hits.groupBy(*keys, "item", (F.col("i") - F.col("at")).alias("place")).agg(windows_at), "aligned")
+    aligned = aligned.join(items, "item").where(F.size(F.array_distinct(F.col("windows.h"))) >= F.col("needed"))
+    # the few texts that are hit, once more with their tokens
+    again = templates(texts.join(aligned.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys), keys, "text")
+    both = aligned.join(again.withColumn("values", _values()), keys)
+
+    def equal(w: Column) -> Column:
+        own = lambda name: F.slice(name, w["at"] + F.col("place"), F.abs(w["size"]))
+        of = lambda name: F.slice(name, w["at"], F.abs(w["size"]))
+        return F.when(w["size"] > 0, own("tokens") == of("want")).otherwise(own("values") == of("said"))
+
+    def stands_for(value: Column, i: Column) -> Column:
+        there = F.get("tokens", F.col("place") + i) == F.get("want", i)
+        return F.when(value.isNotNull() & there, F.struct(value.alias("a"), F.get("values", F.col("place") + i).alias("b")))
+
+    bound = F.array_distinct(F.filter(F.transform("from", stands_for), lambda x: x.isNotNull()))
+    per = both.select(*keys, "item", "item_id", "needed", F.size(F.array_distinct(F.transform(F.filter("windows", equal), lambda w: w["h"]))).alias("n"), bound.alias("bound"))
+    side = lambda name: F.size(F.array_distinct(F.transform("bound", lambda x: x[name])))
+    one = (side("a") == F.size("bound")) & (side("b") == F.size("bound"))
+    return per.where(one & (F.col("n") >= F.col("needed"))).groupBy(*keys, "item", "item_id").agg(F.max("n").alias("n_windows")).drop("item")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_items, n_windows (of those items), contaminated."""
-    per = matches(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows"))
+    per = matches(docs, benchmark).groupBy("doc_id", "dk").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows"))
     zero = F.lit(0).cast("long")
-    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("n_items", zero).alias("n_items"), F.coalesce("n_windows", zero).alias("n_windows"), F.col("n_items").isNotNull().alias("contaminated"))
+    rows = docs.select("doc_id", _text_key().alias("dk")).join(per, ["doc_id", "dk"], "left")
+    return rows.select("doc_id", F.coalesce("n_items", zero).alias("n_items"), F.coalesce("n_windows", zero).alias("n_windows"), F.col("n_items").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no benchmark item contaminates, all columns kept."""
-    return docs.join(matches(docs, benchmark, anywhere=True).select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id") == F.col("_hit"), "left_anti")
-
-
-_OUTER = OUTER.replace("'", "''")
-_TEMPLATE = """
-  SELECT {key} AS k, list_transform(z, lambda x: coalesce(x.t, x.v)) AS tokens,
-         list_transform(z, lambda x: CASE WHEN x.t IS NOT NULL THEN x.v END) AS slots
-  FROM (SELECT {key}, list_filter(list_transform(range(1, len(w) + 1), lambda i: struct_pack(
-          t := CASE WHEN c[i] ~ '^[0-9]' THEN '<num>'
-                    WHEN length(c[i]) > 1 AND c[i][1] <> lower(c[i][1]) AND c[i][2:] = lower(c[i][2:])
-                         AND i > 1 AND NOT (right(w[greatest(i - 1, 1)], 1) IN ('.', '!', '?')) THEN '<name>'
-                    WHEN list_contains([{units}], lower(c[i])) THEN '<unit>' END,
-          v := lower(c[i]))), lambda x: x.v <> '') AS z
-        FROM (SELECT {key}, w, list_transform(w, lambda x: trim(x, '{outer}')) AS c
-              FROM (SELECT {key}, list_filter(regexp_split_to_array(replace(coalesce({text}, ''), chr(10), '.' || chr(10)), '[ \\t-\\r]+'), lambda x: x <> '') AS w
-                    FROM {table} WHERE {key} IS NOT NULL)))
+    hit = matches(docs, benchmark).select(F.col("doc_id").alias("_hit"), F.col("dk").alias("_dk")).distinct()
+    return docs.join(hit, (F.col("doc_id") == F.col("_hit")) & (_text_key() == F.col("_dk")), "left_anti")
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _templates_sql(table: str, key: str, where: str) -> str:
+    return f"""
+  SELECT k, list_transform(z, lambda x: coalesce(x.t, x.v)) AS tokens, list_transform(z, lambda x: x.v) AS vals,
+         list_transform(z, lambda x: x.t IS NOT NULL) AS slot
+  FROM (SELECT k, list_transform(list_filter(list_transform(w, lambda x: trim(x, '{OUTER.replace("'", "''")}')), lambda c: c <> ''), lambda c: struct_pack(
+          t := CASE WHEN c ~ '^[0-9]' THEN '<num>'
+                    WHEN length(c) > 1 AND c[1] <> lower(c[1]) AND c[2:] = lower(c[2:]) AND NOT list_contains([{_quoted(OPENERS)}], lower(c)) THEN '<name>'
+                    WHEN list_contains([{_quoted(UNITS)}], lower(c)) THEN '<unit>' END,
+          v := lower(c))) AS z
+        FROM (SELECT {key} AS k, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM {table} WHERE {where}))
 """
-_FILL = {"outer": _OUTER, "units": ", ".join(f"'{u}'" for u in UNITS)}
-_PATTERN_SQL = "array_to_string(list_transform(list_filter(s, lambda x: x IS NOT NULL), lambda y: list_position(list_filter(s, lambda x: x IS NOT NULL), y)), ',')"
+
+
 SQL = f"""
-WITH items AS (SELECT *, least({WINDOW}, len(tokens)) AS size FROM ({_TEMPLATE.format(key="item_id", text="text", table="benchmark", **_FILL)}) WHERE len(tokens) >= {SHORTEST}),
-texts AS ({_TEMPLATE.format(key="doc_id", text="text", table="documents", **_FILL)}),
-cut AS (SELECT k, size, tokens[i:i + size - 1] AS w, slots[i:i + size - 1] AS s
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+bench AS (SELECT row_number() OVER () AS item, text FROM benchmark),
+texts AS ({_templates_sql("d", "r", "doc_id IS NOT NULL")}),
+items AS (SELECT *, least({WINDOW}, len(tokens)) AS size FROM ({_templates_sql("bench", "item", "text IS NOT NULL")}) WHERE len(tokens) > 0),
+cut AS (SELECT k AS item, size, i, len(tokens) AS n, tokens[i:i + size - 1] AS w, vals[i:i + size - 1] AS v, slot[i:i + size - 1] AS s
         FROM (SELECT *, unnest(range(1, len(tokens) - size + 2)) AS i FROM items)),
-told AS (SELECT DISTINCT k AS item_id, size, array_to_string(w, ' ') AS h, {_PATTERN_SQL} AS p
-         FROM cut WHERE len(list_filter(s, lambda x: x IS NULL)) >= {LITERAL} * size),
-known AS (SELECT *, least({REQUIRED}, count(DISTINCT h) OVER (PARTITION BY item_id)) AS needed FROM told),
-own AS (SELECT k AS doc_id, array_to_string(tokens[i:i + size - 1], ' ') AS h, size, slots[i:i + size - 1] AS s
-        FROM (SELECT *, unnest(range(1, len(tokens) - size + 2)) AS i
-              FROM texts, (SELECT DISTINCT size FROM known) WHERE len(tokens) >= size)),
-hit AS (SELECT doc_id, item_id, count(DISTINCT h) AS n FROM own JOIN known USING (size, h)
-        WHERE {_PATTERN_SQL} = p GROUP BY doc_id, item_id HAVING count(DISTINCT h) >= max(needed)),
-per AS (SELECT doc_id, count(*) AS n_items, sum(n) AS n_windows FROM hit GROUP BY doc_id)
+told AS (SELECT item, size, i, array_to_string(w, ' ') AS h FROM cut
+         WHERE n >= {SHORTEST} AND len(list_filter(s, lambda x: NOT x)) >= {LITERAL} * size),
+known AS (SELECT * FROM told UNION ALL
+          SELECT item, -size, i, array_to_string(v, ' ') FROM cut WHERE item NOT IN (SELECT item FROM told)),
+needs AS (SELECT item, least({REQUIRED}, count(DISTINCT h)) AS needed FROM known GROUP BY item),
+own AS (SELECT k AS r, size, j, array_to_string(CASE WHEN size > 0 THEN tokens[j:j + size - 1] ELSE vals[j:j - size - 1] END, ' ') AS h
+        FROM (SELECT *, unnest(range(1, len(tokens) - abs(size) + 2)) AS j
+              FROM texts, (SELECT DISTINCT size FROM known) WHERE len(tokens) >= abs(size))),
+hit AS (SELECT r, item, j - i AS place, count(DISTINCT h) AS n FROM own JOIN known USING (size, h) GROUP BY r, item, place),
+fit AS (SELECT r, item, n, list_distinct(list_filter(list_transform(range(1, len(b.tokens) + 1), lambda q: CASE WHEN b.slot[q] AND place + q >= 1 AND t.tokens[place + q] = b.tokens[q]
+          THEN struct_pack(a := b.vals[q], b := t.vals[place + q]) END), lambda q: q IS NOT NULL)) AS b
+        FROM hit JOIN needs USING (item) JOIN texts t ON t.k = r JOIN items b ON b.k = item WHERE n >= needed),
+per AS (SELECT r, item, max(n) AS n FROM fit
+        WHERE len(list_distinct(list_transform(b, lambda q: q.a))) = len(b) AND len(list_distinct(list_transform(b, lambda q: q.b))) = len(b)
+        GROUP BY r, item),
+told_rows AS (SELECT r, count(*) AS n_items, sum(n) AS n_windows FROM per GROUP BY r)
 SELECT doc_id, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(n_windows, 0)::BIGINT AS n_windows, n_items IS NOT NULL AS contaminated
-FROM documents LEFT JOIN per USING (doc_id)
+FROM d LEFT JOIN told_rows USING (r)
 """

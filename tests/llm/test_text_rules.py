@@ -45,6 +45,22 @@ def test_broadcast_and_shuffle_agree(docs, bench, monkeypatch):
     assert sorted(one) == sorted(decontamination.contamination(docs(texts), bench).collect())
 
 
+def test_sql_agrees_on_bindings_and_very_words(docs, bench, spark):
+    items = [*(tuple(r) for r in bench.collect()), (7, "3 km 4 km 5 km 6 km 7 km"), (8, "Who ran?"), (9, "Rome beat Pisa by 3 and Rome beat Bari by 4 in the cup that year .")]
+    own = spark.createDataFrame(items, "item_id long, text string")
+    said = "{} beat {} by 8 and {} beat {} by 9 in the cup that year ."
+    texts = [*(x[1] for x in items), said.format("Ulm", "Hof", "Ulm", "Jena"), said.format("Ulm", "Hof", "Hof", "Jena"), said.format("Ulm", "Jena", "Ulm", "Jena"), "so who ran away, 3 km 4 km 5 km 6 km 7 km", "", None]
+    table = docs([*texts, (3, texts[0]), (3, texts[0]), (None, texts[0])])
+    got = sorted(map(tuple, decontamination.contamination(table, own).collect()), key=str)
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    con.register("benchmark", own.toPandas())
+    assert got == sorted(con.execute(decontamination.SQL).fetchall(), key=str)
+    hit = {r[0] for r in got if r[3]}
+    n = len(items)
+    assert {n, n + 3} <= hit and not {n + 1, n + 2, None} & hit  # one binding for all windows
+
+
 def test_empty_tables(docs, bench, spark):
     assert decontamination.contamination(docs([]), bench).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
