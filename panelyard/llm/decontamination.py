@@ -119,7 +119,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     aligned = written(hits.groupBy(*keys, "item", (F.col("i") - F.col("at")).alias("place")).agg(windows_at), "aligned")
     aligned = aligned.join(items, "item").where(F.size(F.array_distinct(F.col("windows.h"))) >= F.col("needed"))
     # the few texts that are hit, once more with their tokens
-    again = templates(texts.join(aligned.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys), keys, "text")
+    which = written(aligned.select(*keys).distinct(), "hit")
+    again = templates(texts.join(which, keys, "left_semi").dropDuplicates(keys), keys, "text")
     both = aligned.join(again.withColumn("values", _values()), keys)
 
     def equal(w: Column) -> Column:
@@ -138,13 +139,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return per.where(one & (F.col("n") >= F.col("needed"))).groupBy(*keys, "item", "item_id").agg(F.max("n").alias("n_windows")).drop("item")
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def _text_key(text: Column | str = "text") -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_items, n_windows (of those items), contaminated."""
-    per = matches(docs, benchmark).groupBy("doc_id", "dk").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows"))
+    per = written(matches(docs, benchmark).groupBy("doc_id", "dk").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows")), "contaminated")
     zero = F.lit(0).cast("long")
     rows = docs.select("doc_id", _text_key().alias("dk")).join(per, ["doc_id", "dk"], "left")
     return rows.select("doc_id", F.coalesce("n_items", zero).alias("n_items"), F.coalesce("n_windows", zero).alias("n_windows"), F.col("n_items").isNotNull().alias("contaminated"))
@@ -152,8 +153,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no benchmark item contaminates, all columns kept."""
-    hit = matches(docs, benchmark).select(F.col("doc_id").alias("_hit"), F.col("dk").alias("_dk")).distinct()
-    return docs.join(hit, (F.col("doc_id") == F.col("_hit")) & (_text_key() == F.col("_dk")), "left_anti")
+    # written, so that Spark knows its size and deals the documents only where it is large
+    hit = written(matches(docs, benchmark).select(F.col("doc_id").alias("_hit"), F.col("dk").alias("_dk")).distinct(), "contaminated")
+    return docs.join(hit, (docs["doc_id"] == hit["_hit"]) & (_text_key(docs["text"]) == hit["_dk"]), "left_anti")
 
 
 def _quoted(words: list[str]) -> str:

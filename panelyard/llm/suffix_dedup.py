@@ -380,10 +380,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def rest(texts: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
         return pd.Series([kept(t.encode(), *runs_of(s, c)).decode("utf-8", "ignore") for t, s, c in zip(texts, starts, counts)])
 
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_dk"))
-    both = docs.join(spans, same, "left").withColumn("_rest", F.when(F.col("_starts").isNotNull(), rest(F.coalesce("text", F.lit("")), "_starts", "_counts")))
-    both = both.where(F.col("_rest").isNull() | (F.trim(F.col("_rest"), F.lit(" \t\r\n")) != ""))
-    columns = {"text": F.coalesce("_rest", "text")}
+    text = F.coalesce(docs["text"], F.lit(""))
+    same = (docs["doc_id"].cast("long") == spans["_id"]) & (F.xxhash64(text) == spans["_dk"])
+    left = F.when(spans["_starts"].isNotNull(), rest(text, spans["_starts"], spans["_counts"])).alias("__rest")
+    both = docs.join(spans, same, "left").select(*(docs[c] for c in docs.columns), left)
+    both = both.where(F.col("__rest").isNull() | (F.trim(F.col("__rest"), F.lit(" \t\r\n")) != ""))
+    columns = {"text": F.coalesce("__rest", "text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_rest").isNotNull(), F.char_length("_rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(F.col("__rest").isNotNull(), F.char_length("__rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return both.withColumns(columns).select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.folds import held_out, prior_shift, training_rows
-from panelyard.llm.runtime import bounded_batches, settled
+from panelyard.llm.runtime import bounded_batches, settled, written
 
 PER_CLASS = 4000
 STEM, LONGEST = 3, 12
@@ -252,4 +252,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, all columns kept. Rows that share a doc_id go
     only if each is predicted toxic; rows with a null id stay."""
     toxic = scores(docs, labels).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("predicted").alias("_toxic")).where("_toxic = 1")
-    return docs.join(toxic, F.col("doc_id") == F.col("_id"), "left_anti")
+    # written, so that Spark knows its size and deals the documents only where it is large
+    toxic = written(toxic.select("_id"), "toxic")
+    return docs.join(toxic, docs["doc_id"] == toxic["_id"], "left_anti")

@@ -20,3 +20,14 @@ def test_stages_keep_columns_and_clean_rows(spark, data, docs):
 
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_stages_keep_columns_that_bear_their_working_names(spark, data, docs):
+    from pyspark.sql import functions as F
+
+    names = ["y", "_id", "_dk", "dk", "_hit", "_node", "node", "_keep", "_shared", "_starts", "starts", "item_id", "size", "h", "row", "length", "key"]
+    own = docs(["a clean text of its own kind", None, "", "another text that is fine"]).withColumns({c: F.lit(c) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, data)
+        assert out.columns == own.columns and out.where("_node = '_node' AND y = 'y'").count() == out.count() >= 2
+    assert corpus_pipeline.packing(spark, own, data).count() == 4
