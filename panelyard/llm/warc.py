@@ -3,14 +3,16 @@
 Writing: each page becomes one record, its payload the html. Of equal payloads of min_payload
 bytes or more the row with the smallest page_id is stored as a response, the others as revisits
 that refer to it. Records are sorted by URL key and time within each task, and Spark writes them
-as gzipped WARC files of at most FILE_RECORDS records (a record ends in a blank line, so files are
-text with that separator).
+as gzipped WARC files with a member for each record (several for one of PART bytes or more), so a
+reader can seek to any of them. Files hold at most FILE_RECORDS records of LARGE bytes, larger
+payloads stand in files of LARGE_RECORDS.
 
-Reading: files are parsed by their Content-Length, and stored digests are checked against the
-payloads. Each file is a sorted run of captures. Runs are dealt by ranges of (URL key, time, page)
-and each task merges its k runs through a loser tree, so the captures' history is in order within
-and across tasks; a hot URL is split by time. No task holds more than its range, and no file is
-larger than its records.
+Reading: files are parsed member by member, and stored digests are checked against the payloads.
+Each file is a sorted run of captures. The runs are cut by common ranges of about RANGE_ROWS
+captures, by (URL key, time, page, file, place), which no two captures share, so a hot URL or
+moment is split too. A task gets its cuts of all runs, one run after the other, and merges them
+through a loser tree; the captures' history is in order within and across tasks, and no task holds
+more than its range.
 
 Rows: null html is an empty payload, a null url an empty one. A null page_id is stored without an
 id, as a response if no row with an id has its payload, else as a revisit. Repeated rows and ids
@@ -21,18 +23,21 @@ empty result. Other columns are ignored.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm.runtime import bounded_batches, swept, table_path, width, written
+from panelyard.llm.runtime import bounded_batches, settled, swept, table_path, width, written
 
-FILE_RECORDS = 2000
-BREAK = "\r\n\r\n"
+FILE_RECORDS, LARGE, LARGE_RECORDS = 512, 1 << 20, 16
+RANGE_ROWS = 50_000
+PART = (1 << 24) - 1
+BREAK = b"\r\n\r\n"
 #: Pages without a time get one second each from here on, by page_id.
 EPOCH = 1704067200
 CAPTURES = "urlkey string, time string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, place long"
@@ -62,6 +67,14 @@ def captures(pages: DataFrame, min_payload: int = 0, time_col: str | None = None
     return both.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
+def gzipped(record: bytes) -> Iterator[bytes]:
+    """The record as gzip members of at most PART bytes. A member ends in its length as four bytes,
+    of which the last is zero for PART bytes or fewer: it is left out here, as the files' line
+    separator stands for it."""
+    for at in range(0, len(record), PART):
+        yield zlib.compress(record[at : at + PART], 6, 31)[:-1]
+
+
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -76,32 +89,62 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if revisit:
                 head += [f"WARC-Refers-To: <urn:page:{int(refers)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
             head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else size}"]
-            out.append("\r\n".join(head) + BREAK + ("" if revisit else payload))
+            record = "\r\n".join(head).encode() + BREAK + (b"" if revisit else payload.encode()) + BREAK
+            out += gzipped(record)
         yield pd.DataFrame({"value": pd.Series(out, dtype=object)})
+    settled()
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = 0, time_col: str | None = None) -> str:
     """Write the pages as WARC files into the folder path."""
     bounded_batches(pages.sparkSession)
-    rows = captures(pages, min_payload, time_col).sortWithinPartitions("urlkey", "time", "page_id")
-    records = rows.select("page_id", "url", "time", "payload", "sha1", "refers_to").mapInPandas(_records, "value string")
-    records.write.option("lineSep", BREAK).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+
+    def write(some: DataFrame, to: str, most: int) -> None:
+        rows = some.sortWithinPartitions("urlkey", "time", "page_id")
+        members = rows.select("page_id", "url", "time", "payload", "sha1", "refers_to").mapInPandas(_records, "value binary")
+        members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", most).mode("append").text(to)
+
+    rows, large = captures(pages, min_payload, time_col), F.octet_length("payload") > LARGE
+    if pages.where(F.octet_length("html") > LARGE).isEmpty():
+        write(rows, path, FILE_RECORDS)
+    else:
+        write(rows.where(~large), path, FILE_RECORDS)
+        write(rows.where(large), path, LARGE_RECORDS)
     return path
 
 
-def records_of(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, payload) of each record in a WARC file, unpacked."""
+def members(data: bytes, step: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        yield at, head, data[start:stop]
-        at = stop + 4
+        start, reader, parts = at, zlib.decompressobj(31), []
+        while not reader.eof:
+            if at >= len(data):
+                raise ValueError(f"the gzip member at byte {start} has no end")
+            parts.append(reader.decompress(data[at : at + step]))
+            at += step
+        at = min(at, len(data)) - len(reader.unused_data)
+        yield start, b"".join(parts)
+
+
+def records_of(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset of its first member, headers, payload) of each record in a WARC file."""
+    whole = members(data) if data[:2] == b"\x1f\x8b" else iter([(0, data)])
+    place, left = 0, b""
+    for offset, content in whole:
+        place, left = (place, left + content) if left else (offset, content)
+        while (end := left.find(BREAK)) >= 0:
+            lines = left[:end].decode().split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no WARC record at byte {place}")
+            head = dict(x.split(": ", 1) for x in lines[1:])
+            stop = end + len(BREAK) + int(head["Content-Length"])
+            if len(left) < stop + len(BREAK):
+                break
+            yield place, head, left[end + len(BREAK) : stop]
+            left = left[stop + len(BREAK) :]
+    if left:
+        raise ValueError(f"the record at byte {place} has no end")
 
 
 def _page(reference: str | None) -> int | None:
@@ -112,7 +155,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, data in zip(batch.path, batch.content):
             out = []
-            for at, head, payload in records_of(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for at, head, payload in records_of(data):
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 kind = head["WARC-Type"]
                 if kind == "response" and base32(hashlib.sha1(payload).digest()) != digest:
@@ -121,6 +164,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((head["WARC-Target-URI"], head["WARC-Date"], _page(head.get("WARC-Record-ID")), kind, size, digest, _page(head.get("WARC-Refers-To")), path, at))
             frame = pd.DataFrame(out, columns=["url", "time", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "file", "place"], dtype=object)
             yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+    settled()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -172,27 +216,24 @@ def _key(value) -> tuple:
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One range of all runs, run after run, as one sorted run."""
     frames = [b for b in batches if len(b)]
     if not frames:
         return
     rows = pd.concat(frames, ignore_index=True)
-    keys = list(zip(rows.urlkey, rows.time, map(_key, rows.page_id), rows.file, rows.place))
-    runs: dict[str, list[tuple]] = {}
-    for i, key in enumerate(keys):
-        runs.setdefault(key[3], []).append((*key, i))
-    for run in runs.values():  # a run's rows were fetched in blocks
-        if any(a > b for a, b in zip(run, run[1:])):
-            run.sort()
-    order = [item[-1] for item in LoserTree([iter(r) for r in runs.values()])]
-    yield rows.iloc[order]
+    keys = list(zip(rows.urlkey, rows.time, map(_key, rows.page_id), rows.file, rows.place, range(len(rows))))
+    bounds = [0, *(np.flatnonzero(rows.file.to_numpy()[1:] != rows.file.to_numpy()[:-1]) + 1).tolist(), len(rows)]
+    order = [item[-1] for item in LoserTree([iter(keys[a:b]) for a, b in zip(bounds, bounds[1:])])]
+    for at in range(0, len(order), 10_000):
+        yield rows.iloc[order[at : at + 10_000]]
 
 
 def capture_histories(records: DataFrame) -> DataFrame:
-    """The captures in global order of (urlkey, time, page_id)."""
-    spark = records.sparkSession
+    """The captures in global order of (urlkey, time, page_id), for a written table of captures."""
     names = [c.split(" ")[0] for c in CAPTURES.split(", ")]
-    dealt = records.select(*names).repartitionByRange(width(spark), "urlkey", "time", "page_id")
-    return dealt.mapInPandas(_merged, CAPTURES)
+    ranges = max(width(records.sparkSession), -(-records.count() // RANGE_ROWS))
+    dealt = records.select(*names).repartitionByRange(ranges, "urlkey", "time", F.col("page_id").asc_nulls_last(), "file", "place")
+    return dealt.sortWithinPartitions("file", "place").mapInPandas(_merged, CAPTURES)
 
 
 def archived(pages: DataFrame, path: str | None = None, min_payload: int = 0) -> DataFrame:

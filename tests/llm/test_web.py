@@ -99,3 +99,28 @@ def test_loser_tree():
         for _ in range(20):
             runs = [sorted((r.randint(0, 9),) for _ in range(r.randint(0, 6))) for _ in range(k)]
             assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(x for run in runs for x in run)
+
+
+def test_members_and_large_records(pages, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 2000)
+    rows = [(i, f"http://h{i % 3}.org/{i}", "é" * (i * 97 % 5000), "t", "s", "z") for i in range(200)]
+    out = {r.page_id: r for r in warc.archived(pages(rows)).collect()}
+    assert len(out) == 200
+    for i, _, html, *_ in rows:
+        first = min(j for j, _, other, *_ in rows if other == html)
+        assert out[i].payload_bytes == len(html.encode()) and out[i].refers_to == (None if first == i else first)
+
+
+def test_a_member_for_each_record(monkeypatch):
+    monkeypatch.setattr(warc, "PART", 100)
+    head = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {}".format
+    payloads = [b"a" * 7, b"\r\n\r\n" * 90, b"", bytes(range(256)) * 3]
+    stored = [list(warc.gzipped(head(len(p)).encode() + warc.BREAK + p + warc.BREAK)) for p in payloads]
+    data = b"".join(m + b"\0" for one in stored for m in one)
+    assert [p for _, _, p in warc.records_of(data)] == payloads
+    for at, _, payload in warc.records_of(data):  # a reader can begin at any record
+        assert next(warc.records_of(data[at:]))[2] == payload
+    plain = b"".join(head(len(p)).encode() + warc.BREAK + p + warc.BREAK for p in payloads)
+    assert [p for _, _, p in warc.records_of(plain)] == payloads
+    with pytest.raises(ValueError):
+        list(warc.records_of(data[:-5]))
