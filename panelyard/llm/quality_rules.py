@@ -4,13 +4,17 @@ Base counts come first: words, their characters, symbols, repeated lines, and wo
 windows that occur twice or more. A text fails the base rules if it has under MIN_WORDS words or
 over REPEATED % of them in repeated windows.
 
-What is left is judged by Jensen-Shannon distances (base 2) to its language's reference, which is
-the sum over all documents of that language: of character classes (other, upper case, digit,
-white space, punctuation, symbol) and of common words. Short texts are noisy, so the distances
-count only from CLASS_WORDS and COMMON_WORDS words on; the common words only for the languages
-that have a list. A text over either limit isn't kept.
-
-Rows: a null text has no words and fails. A null lang is a language of its own, without a list.
+What is left is judged by Jensen-Shannon distances (the root of the divergence, base 2) to its
+language's reference: of character classes (other, upper case, digit, white space, punctuation,
+symbol) and of common words. References are fitted from the clean rows of the languages with a
+list in COMMON: all texts that pass the base rules with COMMON_WORDS words or more and symbols in
+at most CLEAN_SYMBOLS % of their characters, whatever share of the table they are. A language
+without a list is held to the reference of all clean rows together, by character classes alone,
+so a body of junk can't be its own measure. Short texts are noisy, so the distances count only
+from CLASS_WORDS and COMMON_WORDS words on. A text over either limit isn't kept. A language in the
+list without any clean row has no reference: its texts are judged by the base rules alone.
+
+Rows: a null text has no words and fails. A null lang is a language without a list.
 Repeated rows and ids give a row each. An empty table gives an empty result. Other columns are
 ignored.
 """
@@ -24,8 +28,9 @@ from panelyard.llm.runtime import written
 
 WINDOW = 8
 MIN_WORDS, REPEATED = 20, 30
-CLASS_WORDS, CLASS_LIMIT = 20, 0.07
-COMMON_WORDS, COMMON_LIMIT = 100, 0.08
+CLASS_WORDS, CLASS_LIMIT = 20, 0.265
+COMMON_WORDS, COMMON_LIMIT = 100, 0.283
+CLEAN_SYMBOLS = 5
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes after "other"; white space follows from the words.
 CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "punctuation": r"[.,;:!?'\"()-]+", "symbol": r"[#*$%&|<>]+"}
@@ -91,7 +96,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def js_distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon divergence (base 2) of two histograms of counts."""
+    """Jensen-Shannon distance (base 2) of two histograms of counts."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("double"), lambda s, x: s + x)
 
     def side(p: Column, m: Column) -> Column:
@@ -101,28 +106,31 @@ def js_distance(counts: Column, reference: Column) -> Column:
         p, q = a / total(counts), b / total(reference)
         return (side(p, (p + q) / 2) + side(q, (p + q) / 2)) / 2
 
-    return total(F.zip_with(counts, reference, both))
+    return F.sqrt(F.greatest(total(F.zip_with(counts, reference, both)), F.lit(0.0)))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, kept, class_distance, common_distance."""
-    own = written(features(docs), "quality")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
+    key = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("")
+    own = written(features(docs).withColumns({"base_failed": failed, "key": key}), "quality")
     sums = lambda name, n: F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(n)))
-    # a row per language; Spark broadcasts it only if its statistics show that it is small
-    reference = written(own.groupBy("lang").agg(sums("classes", 1 + 1 + len(CLASSES)).alias("all_classes"), sums("common", len(_BINS)).alias("all_common")), "references")
-    both = own.join(reference.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    judged = both.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_WORDS, js_distance(F.col("classes"), F.col("all_classes")))).withColumn(
+    clean = own.where(~F.col("base_failed") & (F.col("key") != "") & (F.col("n_words") >= COMMON_WORDS) & (100 * F.col("n_symbols") <= CLEAN_SYMBOLS * F.col("word_chars")))
+    both = clean.select("classes", "common", F.explode(F.array("key", F.lit(""))).alias("_key")).groupBy("_key")
+    # a row for each list and one for all: never more than a few
+    reference = written(both.agg(sums("classes", 2 + len(CLASSES)).alias("all_classes"), sums("common", len(_BINS)).alias("all_common")), "references")
+    judged = own.join(F.broadcast(reference), F.col("key") == F.col("_key"), "left")
+    judged = judged.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_WORDS, js_distance(F.col("classes"), F.col("all_classes")))).withColumn(
         "common_distance", F.when((F.col("n_words") >= COMMON_WORDS) & F.col("common").isNotNull(), js_distance(F.col("common"), F.col("all_common")))
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("common_distance", F.lit(0.0)) > COMMON_LIMIT)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "common_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "common_distance")
 
 
 def _jsd_sql(a: str, b: str) -> str:
     zipped = f"list_transform(range(1, len({a}) + 1), lambda i: struct_pack(p := {a}[i] / list_sum({a}), q := {b}[i] / list_sum({b})))"
     term = "CASE WHEN x.{0} > 0 THEN x.{0} * log2(x.{0} / ((x.p + x.q) / 2)) ELSE 0.0 END"
-    return f"list_sum(list_transform({zipped}, lambda x: ({term.format('p')} + {term.format('q')}) / 2))"
+    return f"sqrt(greatest(list_sum(list_transform({zipped}, lambda x: ({term.format('p')} + {term.format('q')}) / 2)), 0))"
 
 
 _LISTS = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON.items())
@@ -139,11 +147,14 @@ f AS (SELECT r, doc_id, lang, len(w) AS n_words, word_chars, n_symbol AS n_symbo
       [word_chars - n_upper - n_digit - n_punctuation - n_symbol, n_upper, n_digit, length(text) - word_chars, n_punctuation, n_symbol] AS classes,
       CASE WHEN pos IS NOT NULL THEN list_transform(range(0, {len(_BINS)}), lambda k: len(list_filter(pos, lambda p: p = k))) END AS common
       FROM c LEFT JOIN rep USING (r)),
-ref AS (SELECT lang AS of, [{', '.join(f'sum(classes[{i + 1}])' for i in range(6))}] AS all_classes, [{', '.join(f'sum(common[{i + 1}])' for i in range(len(_BINS)))}] AS all_common FROM f GROUP BY lang),
-j AS (SELECT f.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEATED} * n_words AS base_failed,
+g AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEATED} * n_words AS base_failed, CASE WHEN list_contains([{', '.join(repr(k) for k in COMMON)}], lang) THEN lang ELSE '' END AS key FROM f),
+clean AS (SELECT * FROM g WHERE NOT base_failed AND key <> '' AND n_words >= {COMMON_WORDS} AND 100 * n_symbols <= {CLEAN_SYMBOLS} * word_chars),
+ref AS (SELECT k AS of, [{', '.join(f'sum(classes[{i + 1}])' for i in range(6))}] AS all_classes, [{', '.join(f'sum(common[{i + 1}])' for i in range(len(_BINS)))}] AS all_common
+        FROM (SELECT *, unnest([key, '']) AS k FROM clean) GROUP BY k),
+j AS (SELECT g.*,
       CASE WHEN n_words >= {CLASS_WORDS} THEN {_jsd_sql('classes', 'all_classes')} END AS cd,
       CASE WHEN n_words >= {COMMON_WORDS} AND common IS NOT NULL THEN {_jsd_sql('common', 'all_common')} END AS wd
-      FROM f LEFT JOIN ref ON lang IS NOT DISTINCT FROM of)
+      FROM g LEFT JOIN ref ON key = of)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        base_failed, NOT base_failed AND coalesce(cd, 0) <= {CLASS_LIMIT} AND coalesce(wd, 0) <= {COMMON_LIMIT} AS kept
 FROM j

@@ -89,3 +89,12 @@ def test_repeat_words_by_hand(docs):
     assert [x.n_repeat_words for x in sorted(rows, key=lambda x: x.doc_id)] == [16, 20, 0, 0]
     assert quality_rules.verdicts(docs([])).count() == 0
     assert quality_rules.verdicts(docs([(None, "a"), (1, "a"), (1, "a")])).count() == 3
+
+
+def test_a_language_of_junk_is_no_measure(spark):
+    r = random.Random(3)
+    prose = lambda: " ".join(r.choice("the of and to a cat dog sat ran for with on is it was river, stone. Wind".split()) for _ in range(150))
+    junk = lambda: " ".join(r.choice(["#$%", "&&|", "<*>", "%%$#"]) + r.choice("abcdefgh") + str(r.randint(0, 999)) for _ in range(60))
+    rows = [(i, prose(), "en") for i in range(20)] + [(100 + i, junk(), lang) for i in range(20) for lang in ("xx", None)] + [(200, prose(), "yy")]
+    out = {x.doc_id: x.kept for x in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i] for i in range(20)) and out[200] and not any(out[100 + i] for i in range(20))
