@@ -8,8 +8,8 @@ with the context of the whole document, and blocks labelled as main text are joi
 
 The network is trained here with a fixed seed, on page layouts that are drawn from lists of
 containers (article and content areas among menus, sidebars, adverts, notices, forms, comments,
-headers and footers) and on at most TRAINING_PAGES of the pages themselves, in order of a hash,
-where their tags name the main text. The layouts' words come from those pages too.
+headers and footers) and filled with drawn words, so it is the same for every table and no page
+goes to the driver.
 
 Rows: null html is an empty page, whose text is empty. Pages without a main block have empty text.
 Repeated rows and ids give a row each, null ids and urls stay null. An empty table gives an empty
@@ -22,7 +22,7 @@ import html as entities
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.runtime import bounded_batches
+from panelyard.llm.runtime import bounded_batches, settled
 
 PATH_DIM, WORD_DIM = 48, 16
 DIM = PATH_DIM + WORD_DIM + 6
 HIDDEN = 16
-TRAINING_PAGES, PAGE_CHARS = 128, 20_000
-LAYOUTS, EPOCHS, GROUP, RATE = 700, 24, 24, 8e-3
+LAYOUTS, EPOCHS, GROUP, RATE = 1400, 18, 24, 8e-3
+#: Blocks that are labelled together (padding counts), and steps whose inputs are made together.
+CELLS, STEPS = 1 << 14, 1 << 10
 CACHED = 50_000
 # fixed values: tags of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,22 +46,86 @@ SKIPPED = frozenset("script style noscript template svg math iframe object texta
 RAW, HEAD = frozenset("script style".split()), frozenset("base basefont bgsound link meta title script style noscript template".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset(["option"])}
 BOUNDS = frozenset("ul ol table div article section body".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Tags that tell nothing of a block's role.
+NOTHING = INLINE | frozenset("html body".split())
+CLOSES = {tag: [k for k, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
+#: Comments, tags (if their quotes don't match, up to the next angle bracket or the end), declarations.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)(?:>|\Z)|<[!?][^>]*>", re.S)
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[^\W_]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: list[str]
+    place: _Place
     text: str
     linked: int
 
 
-@dataclass
-class _Open:
-    tag: str
-    marks: list[str] = field(default_factory=list)
+class _Place:
+    """A chain of open elements by its last one: what its tags and marks add up to."""
+
+    __slots__ = ("above", "tokens", "n", "total")
+
+    def __init__(self, above: _Place | None, tokens: list[str]):
+        self.above, self.tokens = above, tokens
+        self.n = len(tokens) + (above.n if above else 0)
+        self.total: np.ndarray | None = None
+
+    def vector(self) -> np.ndarray:
+        """The sum of the hashed vectors of all tokens, remembered in every element of the chain."""
+        new, at = [], self
+        while at is not None and at.total is None:
+            new.append(at)
+            at = at.above
+        total = at.total if at is not None else np.zeros(PATH_DIM, np.float32)
+        for place in reversed(new):
+            total = place.total = total + _PATHS.sum([x.split("=", 1)[-1] for x in place.tokens]) if place.tokens else total
+        return total
+
+
+_ROOT = _Place(None, [])
+
+
+class _Stack:
+    """Open elements, with the places of each tag's, so that no tag walks the stack."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, _Place]] = []
+        self.of: dict[str, list[int]] = {}
+        self.bounds: list[int] = []
+
+    def place(self) -> _Place:
+        return self.open[-1][1] if self.open else _ROOT
+
+    def push(self, tag: str, tokens: list[str]) -> None:
+        self.of.setdefault(tag, []).append(len(self.open))
+        if tag in BOUNDS:
+            self.bounds.append(len(self.open))
+        self.open.append((tag, _Place(self.place(), tokens) if tokens else self.place()))
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            tag, _ = self.open.pop()
+            self.of[tag].pop()
+            if tag in BOUNDS:
+                self.bounds.pop()
+
+    def close(self, tag: str) -> None:
+        if self.of.get(tag):
+            self.cut(self.of[tag][-1])
+
+    def make_room(self, tag: str) -> None:
+        """Close the innermost element that the start tag ends, if no bound lies between."""
+        last = max((self.of[k][-1] for k in CLOSES.get(tag, ()) if self.of.get(k)), default=-1)
+        if last >= 0 and last > (self.bounds[-1] if self.bounds else -1):
+            self.cut(last)
+
+
+def _tag(m: re.Match) -> tuple[str, str, str]:
+    """Slash, name and the rest of a start or end tag; empty for comments and declarations."""
+    closing, tag, rest = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
+    return closing or "", (tag or "").lower(), rest or ""
 
 
 def _ends(page: str, tag: str) -> dict[int, int]:
@@ -87,25 +152,24 @@ def _after_head(page: str, at: int) -> int:
     while m := TOKEN.search(page, at):
         if page[at : m.start()].strip():
             break
-        closing, tag = m.group(1), (m.group(2) or "").lower()
+        closing, tag, rest = _tag(m)
         if closing and tag == "head":
             return m.end()
         if tag and not closing and tag not in HEAD:
             return m.start()
         at = m.end()
-        if tag in HEAD and not closing and tag in ("title", "script", "style", "noscript", "template") and not m.group(3).endswith("/"):
+        if tag in HEAD and not closing and tag in ("title", "script", "style", "noscript", "template") and not rest.endswith("/"):
             at = _after(page, tag, at) or (len(page) if tag in RAW else at)
     return at
 
 
 def blocks(page: str) -> list[Block]:
     """The page's non-empty leaf blocks in order, white space inside turned into one space."""
-    stack: list[_Open] = []
+    stack = _Stack()
     out: list[Block] = []
     parts: list[str] = []
     linked = at = 0
-    path: list[str] = []
-    depth_a = 0
+    place = _ROOT
     ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
@@ -113,19 +177,19 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(list(path), text, min(linked, len(text))))
+                out.append(Block(place, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def text(raw: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, place
         if not raw:
             return
         raw = entities.unescape(raw)
-        if not parts or not path:
-            path = [x for o in stack if o.tag not in INLINE for x in (o.tag, *o.marks)]
+        if not parts:
+            place = stack.place()
         parts.append(raw)
-        if depth_a:
+        if stack.of.get("a"):
             linked += len(raw.strip())
 
     page = page or ""
@@ -135,11 +199,11 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        closing, tag = m.group(1), (m.group(2) or "").lower()
+        closing, tag, rest = _tag(m)
         if not tag:
             continue
         if tag in SKIPPED:
-            if not closing and not m.group(3).endswith("/"):
+            if not closing and not rest.endswith("/"):
                 flush()
                 if tag in RAW:
                     at = _after(page, tag, at) or len(page)
@@ -163,25 +227,12 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if closing:
-            if any(o.tag == tag for o in stack):
-                while stack:
-                    o = stack.pop()
-                    depth_a -= o.tag == "a"
-                    if o.tag == tag:
-                        break
+            stack.close(tag)
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if tag in CLOSED_BY.get(stack[k].tag, ()):
-                for o in stack[k:]:
-                    depth_a -= o.tag == "a"
-                del stack[k:]
-                break
-            if stack[k].tag in BOUNDS:
-                break
-        marks = [f"{a.lower()}={w.lower()}" for a, *v in MARK.findall(m.group(3)) for w in re.split(r"[\s_-]+", "".join(v)) if w]
-        if not m.group(3).rstrip().endswith("/"):
-            stack.append(_Open(tag, marks))
-            depth_a += tag == "a"
+        stack.make_room(tag)
+        if not rest.rstrip().endswith("/"):
+            marks = [] if tag in NOTHING else [f"{a.lower()}={w.lower()}" for a, *v in MARK.findall(rest) for w in re.split(r"[\s_-]+", "".join(v)) if w]
+            stack.push(tag, [] if tag in NOTHING else [tag, *marks])
     flush()
     return out
 
@@ -209,20 +260,15 @@ class Hashed:
 
 
 _PATHS, _WORDS = Hashed(PATH_DIM), Hashed(WORD_DIM)
-_PATH_SUMS: dict[tuple, np.ndarray] = {}
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), DIM), np.float32)
     for i, b in enumerate(page):
-        path = tuple(b.path)
-        if (own := _PATH_SUMS.get(path)) is None:
-            if len(_PATH_SUMS) > CACHED:
-                _PATH_SUMS.clear()
-            own = _PATH_SUMS[path] = _PATHS.sum([x.split("=", 1)[-1] for x in path]) / max(1, len(path)) ** 0.5 if path else np.zeros(PATH_DIM, np.float32)
-        out[i, :PATH_DIM] = own
+        out[i, :PATH_DIM] = b.place.vector() / max(1, b.place.n) ** 0.5
         if words := WORD.findall(b.text.lower()):
-            out[i, PATH_DIM : PATH_DIM + WORD_DIM] = _WORDS.sum(words) * (0.1 / len(words) ** 0.5)
+            own = _WORDS.sum(words) * (0.1 / len(words) ** 0.5)
+            out[i, PATH_DIM : PATH_DIM + WORD_DIM] = own / max(1.0, float(np.linalg.norm(own)) / 0.3)  # runs of one word add up
         out[i, -6:] = np.log1p(len(b.text)) / 20, b.linked / len(b.text), i / len(page), 1 / (1 + i), 1 / (len(page) - i), b.text[-1:] in ".!?"
     return out
 
@@ -243,9 +289,10 @@ class BiLSTM:
         h = np.zeros((n, HIDDEN), np.float32)
         c = np.zeros((n, HIDDEN), np.float32)
         out = np.zeros((n, t, HIDDEN), np.float32)
-        given = x @ w[:DIM] + b
         for s in range(t):
-            z = given[:, s] + h @ w[DIM:]
+            if s % STEPS == 0:
+                given = x[:, s : s + STEPS] @ w[:DIM] + b
+            z = given[:, s % STEPS] + h @ w[DIM:]
             gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
             i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
@@ -299,20 +346,26 @@ class BiLSTM:
     def labels(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Probability of main text for each block of each page; pages of like length together."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for k in range(0, len(order), 64):
-            part = order[k : k + 64]
-            p = self._forward([pages[i] for i in part])[0]
-            for row, i in enumerate(part):
-                out[i] = p[row, : len(pages[i])]
+        part: list[int] = []
+        for i in [*sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i])), None]:
+            if part and (i is None or (len(part) + 1) * len(pages[i]) > CELLS):
+                p = self._forward([pages[j] for j in part])[0]
+                for row, j in enumerate(part):
+                    out[j] = p[row, : len(pages[j])]
+                part = []
+            if i is not None:
+                part.append(i)
         return out
 
     def train(self, pages: list[np.ndarray], truth: list[np.ndarray], seed: int = 13) -> None:
         rng = np.random.default_rng(seed)
         first, second, step = [p * 0 for p in self.p], [p * 0 for p in self.p], 0
-        for _ in range(EPOCHS):
-            mixed = rng.permutation(len(pages))
-            for k in range(0, len(mixed), GROUP):
+        for epoch in range(EPOCHS):
+            rate = RATE * (1 - epoch / EPOCHS)
+            # pages of like length together, so that little is padding
+            mixed = np.array(sorted(rng.permutation(len(pages)), key=lambda i: len(pages[i]) // 8))
+            starts = np.arange(0, len(mixed), GROUP)
+            for k in rng.permutation(starts):
                 part = mixed[k : k + GROUP]
                 keep: tuple[list, list] = ([], [])
                 p, x, turned, live, back, both = self._forward([pages[i] for i in part], keep)
@@ -330,7 +383,7 @@ class BiLSTM:
                     g = g / norm
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                    w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
 # fixed values: containers of main text and of the rest, as layouts use them
@@ -358,6 +411,8 @@ def layout(rng: random.Random, words: list[str]) -> tuple[str, str]:
     def prose(main: bool, lo: int = 1, hi: int = 60) -> str:
         hi = max(lo, rng.choice([3, hi // 3, hi, hi]))
         s = (mark if main else "") + said(lo, hi, rng.choice([".", ".", ".", "", "!"]))
+        if (odd := rng.random()) < 0.06:  # runs of one word, and lists in a line
+            s = (mark if main else "") + ((rng.choice(words) + " ") * rng.randint(2, 40) if odd < 0.03 else " | ".join(rng.choice(words) for _ in range(rng.randint(2, 40))))
         if rng.random() < 0.2:
             s += f' <a href="/x">{said(1, 3)}</a> {said(1, 8)}'
         return rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<li>{}</li>", "<pre>{}</pre>"] if main else ["<p>{}</p>", "<div>{}</div>", "{}", "<p><b>{}</b></p>", "<li>{}</li>"]).format(s)
@@ -365,18 +420,23 @@ def layout(rng: random.Random, words: list[str]) -> tuple[str, str]:
     def rather_not(kind: str) -> str:
         frame = rng.choice(RATHER_NOT[kind])
         if kind == "menu" or (kind in ("top", "side", "foot") and rng.random() < 0.5):
-            inner = "".join(f'<li><a href="/{i}">{said(1, 3)}</a></li>' for i in range(rng.randint(2, 9)))
-            return frame.format(f"<ul>{inner}</ul>")
+            ends = [f'<a href="/{i}">{said(1, 3)}</a>' for i in range(rng.randint(2, 9))]
+            if rng.random() < 0.25:  # links in a line
+                return rng.choice([frame, '<div id="top">{}</div>', "<div>{}</div>"]).format(rng.choice(["", " ", " | ", " &middot; "]).join(ends))
+            return frame.format("<ul>" + "".join(f"<li>{x}</li>" for x in ends) + "</ul>")
         if kind == "form":
             return frame.format(f"<label>{said(1, 4)}</label><input name=q><button>{said(1, 2)}</button>")
         n = rng.randint(1, 6 if kind == "comment" else 2)
         return frame.format("".join(prose(False, 1, 40 if kind == "comment" else 25) for _ in range(n)))
 
     body = [f"<h1>{mark}{said(2, 10)}</h1>"] if rng.random() < 0.85 else []
-    for _ in range(rng.randint(0 if body else 1, 14)):
+    for _ in range(rng.randint(0 if body else 1, rng.choice([60, 60, 240]) if rng.random() < 0.06 else 14)):
         body.append(f"<h{rng.randint(2, 4)}>{mark}{said(1, 6)}</h3>" if rng.random() < 0.1 else prose(True))
         if rng.random() < 0.06:
             body.append(rather_not(rng.choice(_WITHIN)))
+        if rng.random() < 0.15:
+            kind = rng.choice(["ul", "ul", "ol"])
+            body.append(f"<{kind}>" + "".join(f"<li>{mark}{said(1, 20, rng.choice(['', '.']))}</li>" for _ in range(rng.randint(2, 6))) + f"</{kind}>")
         if rng.random() < 0.05:
             body.append(f"<table><tr><td>{mark}{said(1, 4)}</td><td>{mark}{said(1, 4)}</td></tr></table>")
     main = rng.choice(MAIN).format("".join(body))
@@ -388,28 +448,20 @@ def layout(rng: random.Random, words: list[str]) -> tuple[str, str]:
     return f"<html><head><title>{said(1, 6)}</title></head><body>{whole}</body></html>", mark
 
 
-#: Containers by which semantic tags alone tell the blocks of a training page.
-_TELLS, _DENIES = {"article", "main"}, {"nav", "header", "footer", "aside", "form", "class=ad", "class=comment", "class=comments"}
+# fixed values: parts of the words that fill drawn layouts
+SYLLABLES = "a al an ar be ca ch con de der do e ein el en er es et ge he i in ing ion is ke la le li lo ma me mi mo na ne ni no o of on or ou pa per po que ra re ri ro sa se sh si so st ta te th ti to tra u un ur ve ver vi wa we wi zu é ä ö ñ".split()
 
 
-def told(page: list[Block]) -> np.ndarray | None:
-    """Labels of a page whose tags name its main text; None for other pages."""
-    names = [set(b.path) for b in page]
-    if not any(n & _TELLS for n in names):
-        return None
-    return np.array([bool(n & _TELLS) and not n & _DENIES for n in names], np.float32)
+def drawn_words(rng: random.Random, n: int = 3000) -> list[str]:
+    words = ["".join(rng.choice(SYLLABLES) for _ in range(rng.choice([1, 1, 2, 2, 3, 4]))) for _ in range(n)]
+    return [w.capitalize() if rng.random() < 0.1 else w + rng.choice(["", "", "", "", ",", "."]) for w in words]
 
 
-def trained(samples: list[str], seed: int = 5) -> BiLSTM:
-    """The labeller, from drawn layouts and from sample pages whose tags name their main text."""
+def trained(seed: int = 5) -> BiLSTM:
+    """The labeller, from drawn layouts."""
     rng = random.Random(seed)
-    cuts = [blocks(page) for page in samples]
-    words = sorted({w for cut in cuts for b in cut for w in b.text.split()}) or "a text of some words that stand for any page".split()
+    words = drawn_words(rng)
     pages, truth = [], []
-    for cut in cuts:
-        if cut and (y := told(cut)) is not None:
-            pages.append(vectors(cut))
-            truth.append(y)
     for _ in range(LAYOUTS):
         page, mark = layout(rng, words)
         cut = blocks(page)
@@ -422,17 +474,10 @@ def trained(samples: list[str], seed: int = 5) -> BiLSTM:
     return net
 
 
-def training_pages(pages: DataFrame) -> list[str]:
-    """At most TRAINING_PAGES pages of up to PAGE_CHARS characters, in order of a hash."""
-    some = pages.where(F.char_length("html") <= PAGE_CHARS).select("html", F.xxhash64("url", "html").alias("h"))
-    return [row["html"] for row in some.orderBy("h", "html").limit(TRAINING_PAGES).collect()]
-
-
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: the id, the url, text (main blocks joined by a line feed), n_chars."""
-    spark = pages.sparkSession
-    bounded_batches(spark)
-    net = trained(training_pages(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))))
+    bounded_batches(pages.sparkSession)
+    net = trained()
 
     @F.pandas_udf("string")
     def extracted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -440,6 +485,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             cut = [blocks(page) for page in batch]
             told = net.labels([vectors(page) for page in cut])
             yield pd.Series(["\n".join(b.text for b, p in zip(page, label) if p >= 0.5) for page, label in zip(cut, told)], dtype=object)
+        settled()
 
     text = extracted(F.coalesce(F.col(html_col), F.lit("")))
     return pages.select(F.col(id_col), F.col(url_col), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

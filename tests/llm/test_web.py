@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from panelyard.llm import html_text, warc
@@ -44,6 +45,54 @@ def test_elements_without_end_tags_keep_the_rest():
     assert own("<p>One.</p><script>var a;<p>Two.</p>") == ["One."]
 
 
+def test_broken_quotes_are_no_text():
+    own = lambda page: [b.text for b in html_text.blocks(page)]
+    assert own('<p>One <a href="x>two</a> three.</p><p>Four.</p>') == ["One two three.", "Four."]
+    assert own("<p class='a>One.</p><p>Two.</p>") == ["One.", "Two."]
+    assert own("<p>One.</p><p>Two <a href=") == ["One.", "Two"]
+    assert own("<p>if a < b and b <c then") == ["if a < b and b"] and own("<p>a <b and c < d</p>") == ["a <b and c < d"]
+    assert own("<p title='a > b'>One.</p>") == ["One."]
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    def seconds(n, tag):
+        began = time.perf_counter()
+        cut = html_text.blocks(f"<p><{tag} class='x'>x y" * n)
+        assert html_text.vectors(cut).shape[0] == len(cut) > 0
+        return time.perf_counter() - began
+
+    for tag in ("div", "b", "h1"):
+        seconds(500, tag)
+        assert seconds(16_000, tag) < 12 * max(seconds(4_000, tag), 0.02)
+
+
+def test_long_pages_among_short_ones():
+    net = html_text.trained()
+    cut = [html_text.blocks(PAGE)] * 60 + [html_text.blocks("<article>" + "<p>A sentence of the text stands here.</p>" * 20_000 + "</article>"), []]
+    told = net.labels([html_text.vectors(c) for c in cut])
+    assert [len(t) for t in told] == [len(c) for c in cut]
+    one = net.labels([html_text.vectors(cut[0])])[0]
+    assert np.allclose(told[0], one, atol=1e-4) and told[60].mean() > 0.5
+
+
+#: Pages as outside authors lay them out, with their main text marked by hand.
+OUTSIDE = [
+    ("<!doctype html><title>A</title><body><div id=top><a href=/>Home</a> | <a href=/n>News</a></div><div class='post-body entry-content'><h2>On rivers</h2>The river rose for three days.<br><br>Then it fell again, and the town was dry.</div><div id=comments><h4>2 comments</h4><p>Great post!</p></div><div class=footer>Copyright 2020</div>", "On rivers\nThe river rose for three days. Then it fell again, and the town was dry."),
+    ("<html><head><meta charset=utf-8><body><header><h1>The Daily</h1><nav><a href=1>World</a><a href=2>Sport</a></nav></header><main><article><h1>Rain is late</h1><p>Farmers wait for rain this year.</p><figure><img src=x></figure><p>Wells are low.</p></article></main><aside><h3>Most read</h3><ul><li><a href=3>One</a></li></ul></aside><footer><p>Contact us</p></footer>", "Rain is late\nFarmers wait for rain this year.\nWells are low."),
+    ("<html><body><form action=/s><input name=q><button>Search</button></form><div class='article-content'><p>First part of the text is here.</p><ul><li>One point of it.</li><li>Another point.</li></ul></div><div class='cookie-banner'><p>We use cookies.</p><button>OK</button></div></body></html>", "First part of the text is here.\nOne point of it.\nAnother point."),
+]
+
+
+def test_outside_layouts(pages):
+    rows = [(i, "u", page, "t", "s", "z") for i, (page, _) in enumerate(OUTSIDE)]
+    out = {r.page_id: r.text.split("\n") for r in html_text.main_text(pages(rows)).collect()}
+    want = {i: text.split("\n") for i, (_, text) in enumerate(OUTSIDE)}
+    right = sum(len(set(out[i]) & set(want[i])) for i in want)
+    assert right / sum(map(len, want.values())) >= 0.8 and right / sum(map(len, out.values())) >= 0.8
+
+
 def test_main_text(pages, spark):
     out = {r.page_id: r for r in html_text.main_text(pages(ROWS)).collect()}
     want = "A title & more\nFirst text here.\nSecond bold text <ok> goes on for some more words here.\npoint one is said."
@@ -54,7 +103,7 @@ def test_main_text(pages, spark):
 
 def test_labeller_on_unseen_layouts():
     words = "some words of many that a page may hold in its text today".split()
-    net = html_text.trained([])
+    net = html_text.trained()
     rng, right, total = random.Random(77), 0, 0
     for _ in range(120):
         page, mark = html_text.layout(rng, words)
