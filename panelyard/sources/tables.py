@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from panelyard.functions.expr import pct_change
 from panelyard.functions.windows import by_code
+from panelyard.sources.folders import cached
 
 BAR_SCHEMA = T.StructType([T.StructField("code", T.LongType()), T.StructField("date", T.DateType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume", "amount"))])
 
@@ -17,8 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(code, date, open, high, low, close, volume, amount) per supplier and ship date. Sums are
-    decimal, so they do not depend on the order of rows."""
+    """(code, date, open, high, low, close, volume, amount) per supplier and ship date, written
+    once for all queries over the same files."""
+    return cached(spark, "bars", [f"{sf_dir}/lineitem.parquet"], lambda: _bars(spark, sf_dir))
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums are decimal, so they do not depend on the order of rows."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     exact = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
     rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0").withColumn("unit", unit)
@@ -44,7 +50,12 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly rows of each code: close, volume, ret (trailing %), ret3, fwd (forward %), industry,
-    area. fwd is a label; nothing derives features from it."""
+    area. fwd is a label; nothing derives features from it. Written once, as bars() is."""
+    inputs = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "supplier", "nation", "region")]
+    return cached(spark, "panel", inputs, lambda: _panel(spark, sf_dir))
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = bars(spark, sf_dir)
     total = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
     month = day.groupBy("code", F.trunc("date", "month").alias("date")).agg(total("amount").alias("amount"), total("volume").alias("volume"), F.count("*").alias("days"))
@@ -62,18 +73,44 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- files ------------------------------------------------------------------------------------
 
 
-def csv_bars(spark: SparkSession, path: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Daily bars from CSV (one file, a folder or a glob, gzip by name): headers renamed, bad
-    numbers to null, rows without date or close dropped. A missing required column is an error."""
-    raw = spark.read.option("header", True).csv(path)
-    raw = raw.withColumnsRenamed({k: v for k, v in (aliases or {}).items() if k in raw.columns})
-    missing = {"date", "close"} - set(raw.columns)
-    if missing:
-        raise ValueError(f"missing columns: {sorted(missing)}")
-    day = F.coalesce(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")), F.try_to_timestamp("date", F.lit("yyyyMMdd"))).cast("date")
-    numbers = [c for c in ("open", "high", "low", "close", "volume", "amount") if c in raw.columns]
-    keep = [c for c in raw.columns if c not in {"date", *numbers}]
-    return raw.select(*keep, day.alias("date"), *(F.col(c).try_cast("double").alias(c) for c in numbers)).dropna(subset=["date", "close"])
+#: What a file of daily bars must have.
+REQUIRED = ("date", "open", "high", "low", "close", "volume", "amount")
+
+
+def csv_bars(spark: SparkSession, path: str, aliases: dict[str, str] | None = None, skip_unreadable: bool = False) -> DataFrame:
+    """Daily bars from CSV (one file, a folder or a glob, gzip by name) under one declared schema:
+    bad numbers become null, rows without date or close are dropped, and a missing required column
+    is an error. Damaged files are an error too unless skip_unreadable."""
+    read = spark.read.option("header", True).option("ignoreCorruptFiles", skip_unreadable).csv(path)
+    named = read.withColumnsRenamed(aliases or {})
+    if missing := sorted(set(REQUIRED) - set(named.columns)):
+        raise ValueError(f"missing columns: {missing}")
+    return conformed(named).dropna(subset=["date", "close"])
+
+
+def conformed(rows: DataFrame) -> DataFrame:
+    """Text columns of daily bars as their declared types; other columns stay."""
+    day = F.coalesce(*(F.try_to_timestamp("date", F.lit(form)) for form in ("yyyy-MM-dd", "yyyyMMdd"))).cast("date")
+    return rows.withColumns({"date": day} | {c: F.col(c).try_cast("double") for c in REQUIRED[1:]})
+
+
+def sharded_csv(spark: SparkSession, pattern: str) -> DataFrame:
+    """Files of one trading day each (a glob), with ts_code (such as 000001.SZ) and trade_date
+    (yyyyMMdd): code, date and the other columns as text."""
+    rows = spark.read.option("header", True).csv(pattern)
+    rest = [c for c in rows.columns if c not in ("ts_code", "trade_date")]
+    return rows.select(F.substring_index("ts_code", ".", 1).alias("code"), F.to_date("trade_date", "yyyyMMdd").alias("date"), *rest)
+
+
+def union_by_key(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The tables' rows, columns by name (null where absent); of rows with one key that of the
+    first table stays, within a table that with the least values."""
+    whole = tables[0].withColumn("_table", F.lit(0))
+    for i, df in enumerate(tables[1:], 1):
+        whole = whole.unionByName(df.withColumn("_table", F.lit(i)), allowMissingColumns=True)
+    rest = [c for c in whole.columns if c not in (*keys, "_table")]
+    first = F.min(F.struct("_table", *rest)).alias("_first")
+    return whole.groupBy(*keys).agg(first).select(*keys, *(F.col(f"_first.{c}").alias(c) for c in rest))
 
 
 def keyed_csv(spark: SparkSession, folder: str, codes: list[str] | None = None) -> DataFrame:
