@@ -18,6 +18,7 @@ result. Other columns are ignored. Long pages are read whole; sequences are cut
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import random
 import re
@@ -80,13 +81,18 @@ class _Place:
             at = at.above
         total = at.total if at is not None else np.zeros(PATH_DIM, np.float32)
         for place in reversed(new):
-            total = place.total = total + _PATHS.sum([x.split("=", 1)[-1] for x in place.tokens]) if place.tokens else total
+            total = place.total = total + _own_vector(tuple(place.tokens))
         return total
 
 
 _ROOT = _Place(None, [])
 
 
+@functools.lru_cache(CACHED)
+def _own_vector(tokens: tuple[str, ...]) -> np.ndarray:
+    return _PATHS.sum([x.split("=", 1)[-1] for x in tokens]) if tokens else np.zeros(PATH_DIM, np.float32)
+
+
 class _Stack:
     """Open elements, with the places of each tag's, so that no tag walks the stack."""
 
