@@ -1,8 +1,8 @@
 """As-of joins under explicit availability rules.
 
 Both sides are bucketed by code and matched on time with plain joins, so nothing is collected per
-code. The windowed join's range condition is bounded by expanding the short side to the days of
-its window, which makes it an equi-join.
+code. The windowed join cuts time into buckets as long as its window, so a decision looks into two
+of them at most, and a hot code is split by time.
 """
 
 from __future__ import annotations
@@ -36,11 +36,14 @@ def windowed(decisions: DataFrame, events: DataFrame, days: int, aggregates: dic
     """Per decision (code, date) the aggregates of its events with event_date in the last days and
     available_at up to 15:00 of the date, and join_status. Unmatched decisions stay.
 
-    Decisions are spread over the days of their window, so the join is on (code, day); pre-grouped
-    events (a row per code and day) keep that small."""
+    The join is on (code, bucket of days + 1 days); the window lies in a decision's bucket and the
+    one before it."""
+    bucket = lambda day: F.floor(F.unix_date(day) / (days + 1))
     keyed = decisions.select("code", "date").distinct().withColumn("close", F.col("date").cast("timestamp_ntz") + F.expr(CLOSE))
-    spread = keyed.withColumn("event_date", F.explode(F.sequence(F.date_sub("date", days), F.col("date"))))
-    found = spread.join(events, ["code", "event_date"]).where("available_at <= close")
+    both = F.array_distinct(F.array(bucket(F.date_sub("date", days)), bucket(F.col("date"))))
+    spread = keyed.withColumn("_bucket", F.explode(both))
+    inside = F.col("event_date").between(F.date_sub("date", days), F.col("date")) & (F.col("available_at") <= F.col("close"))
+    found = spread.join(events.withColumn("_bucket", bucket(F.col("event_date"))), ["code", "_bucket"]).where(inside)
     sums = found.groupBy("code", "date").agg(*(c.alias(k) for k, c in aggregates.items()), F.count("*").alias("matched"))
     codes = events.select("code").distinct().withColumn("listed", F.lit(True))
     out = decisions.join(sums, ["code", "date"], "left").join(codes, "code", "left")

@@ -105,7 +105,7 @@ def test_labels_among_features_are_refused(spark):
 
 
 def test_files_round_trip(spark, tmp_path):
-    text = "day,close,open,note\n2026-01-05,10,x,a\n20260106,11,12,b\n,9,9,c\n2026-01-07,,1,d\n"
+    text = "day,close,open,note,high,low,volume,amount\n2026-01-05,10,x,a,1,1,1,1\n20260106,11,12,b,1,1,1,1\n,9,9,c,1,1,1,1\n2026-01-07,,1,d,1,1,1,1\n"
     (tmp_path / "7.csv").write_text(text)
     out = tables.csv_bars(spark, str(tmp_path / "7.csv"), {"day": "date"})
     assert [(r.date.day, r.close, r.open) for r in out.orderBy("date").collect()] == [(5, 10.0, None), (6, 11.0, 12.0)]
@@ -121,3 +121,42 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "l.json").write_text('[{"id": 3, "tag": "c"}]')
     read = lambda n: [r.id for r in tables.json_records(spark, str(tmp_path / n), "id long, tag string").collect()]
     assert read("r.json") == [1, 2] and read("l.json") == [3]
+
+
+def test_date_shards_and_keyed_union(spark, tmp_path):
+    for day in ("20260105", "20260106"):
+        (tmp_path / f"trade_date_{day}.csv").write_text(f"ts_code,trade_date,winner_rate\n000001.SZ,{day},5\n600000.SH,{day},6\n")
+    out = tables.sharded_csv(spark, str(tmp_path / "trade_date_*.csv"))
+    assert sorted((r.code, r.date.day, r.winner_rate) for r in out.collect()) == [("000001", 5, "5"), ("000001", 6, "5"), ("600000", 5, "6"), ("600000", 6, "6")]
+    a = spark.createDataFrame([(1, "d1", 2.0), (1, "d1", 1.0)], "code long, date string, x double")
+    b = spark.createDataFrame([(1, "d1", 9.0, "t"), (2, "d1", 3.0, "u")], "code long, date string, x double, y string")
+    assert sorted(map(tuple, tables.union_by_key([a, b], ["date", "code"]).select("code", "x", "y").collect())) == [(1, 1.0, None), (2, 3.0, "u")]
+
+
+def test_cached_tables_follow_their_files(spark, tmp_path):
+    from panelyard.sources.folders import cached
+
+    built, source = [], str(tmp_path / "in")
+    build = lambda: built.append(1) or spark.read.parquet(source).selectExpr("id * 2 AS twice")
+    spark.range(3).write.parquet(source)
+    for _ in range(2):
+        assert sorted(r.twice for r in cached(spark, "t", [source], build).collect()) == [0, 2, 4]
+    assert len(built) == 1
+    spark.range(4).write.mode("overwrite").parquet(source)
+    assert cached(spark, "t", [source], build).count() == 4 and len(built) == 2
+
+
+def test_stream_leaves_late_events_out(spark, tmp_path):
+    """Several files, a batch each; the last holds an event older than the watermark allows."""
+    import datetime as dt
+
+    from panelyard.streaming import watch
+
+    at = lambda d, h=12: dt.datetime(2026, 1, d, h)
+    rows = [[(1, at(1)), (2, at(1, 13))], [(2, at(1, 13)), (3, at(2))], [(4, at(5))], [(5, at(1, 14)), (6, at(5, 13))], [(7, at(9))]]
+    folder = tmp_path / "in"
+    for i, part in enumerate(rows):
+        spark.createDataFrame([(n, t, 7, "view", 1.0, "{}") for n, t in part], watch.SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(watch.SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = {r.start.day: r.n for r in watch.appended(watch.graded(stream), "late").collect()}
+    assert out == {1: 2, 2: 1, 5: 2}
