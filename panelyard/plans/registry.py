@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelyard.plans import cross_queries, join_queries, policy_queries, search_queries, walk_queries, window_queries
+from panelyard.plans import cross_queries, join_queries, policy_queries, search_queries, single_queries, walk_queries, window_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (window_queries, cross_queries, join_queries, search_queries, policy_queries, walk_queries):
+for _part in (window_queries, cross_queries, join_queries, search_queries, policy_queries, walk_queries, single_queries):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

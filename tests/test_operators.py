@@ -160,3 +160,32 @@ def test_stream_leaves_late_events_out(spark, tmp_path):
     stream = spark.readStream.schema(watch.SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("ts", F.col("ts").cast("timestamp"))
     out = {r.start.day: r.n for r in watch.appended(watch.graded(stream), "late").collect()}
     assert out == {1: 2, 2: 1, 5: 2}
+
+
+def test_diverse_and_last_listed(spark):
+    from panelyard.operators import single
+
+    rows = spark.createDataFrame([("b", c, f"2020-01-0{d}", s) for d in (1, 2, 3) for c, s in (("x", 3.0), ("y", 2.0), ("z", 1.0))], "block string, code string, date string, score double")
+    got = sorted((r.date[-1], r.code) for r in single.diverse(rows, "score", 2).collect())
+    assert got == [("1", "x"), ("1", "y"), ("2", "x"), ("2", "z"), ("3", "x"), ("3", "y")]
+    records = spark.createDataFrame([("a", "2020-01-05", 1, 10.0), ("a", "2020-01-01", 2, 20.0), ("a", "2020-02-01", 3, 30.0)], "code string, date string, pos int, v double")
+    asked = spark.createDataFrame([("a", "2019-12-31"), ("a", "2020-01-05"), ("a", "2020-02-01"), ("b", "2020-02-01")], "code string, date string")
+    assert sorted(map(tuple, single.last_listed(asked, records, "v").collect()), key=str) == [("a", "2019-12-31", None, None), ("a", "2020-01-05", 2, 20.0), ("a", "2020-02-01", 3, 30.0), ("b", "2020-02-01", None, None)]
+
+
+def test_breakouts_and_trend_equal_plain_loops(spark):
+    import random
+
+    from panelyard.operators import single
+
+    random.seed(5)
+    days = [f"{1000 + i}" for i in range(150)]
+    data = {"a": [100 + random.uniform(-5, 5) + i / 3 for i in range(150)], "short": [random.uniform(1, 2) for _ in range(30)]}
+    bars = spark.createDataFrame([(c, d, x) for c, xs in data.items() for d, x in zip(days, xs)], "code string, date string, close double")
+    x = data["a"]
+    hits = [100 * (x[i + 20] / x[i] - 1) for i in range(20, 150 - 60) if x[i] > max(x[i - 20 : i])]
+    (row,) = single.breakouts(bars).collect()
+    assert row.code == "a" and row.n_signals == len(hits) and abs(row.mean_20d - sum(hits) / len(hits)) < 1e-9
+    got = {r.code: r for r in single.trend(bars).collect()}
+    assert got["a"].score == 4 + sum(x[-1] > sum(x[-n:]) / n for n in (20, 60, 120)) and abs(got["a"].change60 - 100 * (x[-1] / x[-60] - 1)) < 1e-9
+    assert got["short"].change60 is None and got["short"].score in (4, 5)
