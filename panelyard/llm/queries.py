@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import decontamination, quality_rules, warc
+from panelyard.llm import cross_polytope, decontamination, filter_audit, lexical_search, quality_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +71,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_html_text, op3_decontamination, op4_quality_rules, op5_toxicity, op6_warc, op7_suffix_dedup, op8_packing, op9_quality_classifier, op10_simhash)}
-SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op4_quality_rules": quality_rules.SQL, "op6_warc": warc.SQL}
+def op11_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_html_text, op3_decontamination, op4_quality_rules, op5_toxicity, op6_warc, op7_suffix_dedup, op8_packing, op9_quality_classifier, op10_simhash, op11_vector_copies, op12_filter_audit, op13_lexical_search)}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op4_quality_rules": quality_rules.SQL, "op6_warc": warc.SQL, "op11_vector_copies": cross_polytope.SQL, "op12_filter_audit": filter_audit.SQL, "op13_lexical_search": lexical_search.SQL}
