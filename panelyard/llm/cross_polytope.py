@@ -37,6 +37,7 @@ from panelyard.llm.simhash import components
 
 LEAST = 0.95
 ROUNDS = 3
+LEAST_PADDED = 64
 PROBES = 8
 ALTERNATIVES = 3
 WIDEST = 5
@@ -70,12 +71,18 @@ def units(rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def padded(length: int) -> int:
+    """A power of two; short vectors are padded to LEAST_PADDED, else there are too few rotations for
+    tables to differ."""
+    return max(LEAST_PADDED, 1 << max(0, length - 1).bit_length())
+
+
 class Hashes:
     """tables * width cross-polytope hashes for vectors of one length."""
 
     def __init__(self, length: int, width: int, tables: int):
         self.length, self.width, self.tables = length, width, tables
-        self.padded = 1 << max(0, length - 1).bit_length()
+        self.padded = padded(length)
         rng = np.random.default_rng([SEED, length])
         self.signs = rng.choice([-1.0, 1.0], (tables, width, ROUNDS, self.padded))
         self.salt = rng.integers(1, 1 << 62, (tables, width), np.int64).astype(np.uint64) | np.uint64(1)
@@ -132,8 +139,7 @@ def tables_for(length: int, width: int, least: float = LEAST, miss: float = MISS
 
 def width_for(rows: int, length: int) -> int:
     """So many hashes to a bucket that there are more buckets than probes of all rows."""
-    corners = 2 << max(0, length - 1).bit_length()
-    return min(WIDEST, max(1, math.ceil(math.log(max(2, rows * PROBES)) / math.log(corners))))
+    return min(WIDEST, max(1, math.ceil(math.log(max(2, rows * PROBES)) / math.log(2 * padded(length)))))
 
 
 def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
