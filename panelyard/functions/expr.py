@@ -74,9 +74,9 @@ def all_of(rules: list[tuple[str, str, float]]) -> Column:
     return reduce(lambda a, b: a & b, (F.coalesce(getattr(F.col(c), ops[o])(t), F.lit(False)) for c, o, t in rules), F.lit(True))
 
 
-def named(conditions: dict[str, Column]) -> Column:
-    """The names of the conditions that hold, in order, joined by +."""
-    return F.concat_ws("+", *(F.when(c, F.lit(k)) for k, c in conditions.items()))
+def named(conditions: dict[str, Column], separator: str = "+") -> Column:
+    """The names of the conditions that hold, in order, joined by a separator."""
+    return F.concat_ws(separator, *(F.when(c, F.lit(k)) for k, c in conditions.items()))
 
 
 def count_true(*conditions: Column) -> Column:

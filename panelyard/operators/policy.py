@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from panelyard.functions.expr import clip, count_true, named
 
 GAP = "financial_publish_date_missing"
+# fixed values: grades and actions, from the best down
+GRADES = ("继续深挖", "放入观察", "暂时剔除", "信息不足")
+ACTIONS = ("增加研究暴露", "保持观察", "降低研究暴露", "转入现金")
 # fixed values: sample sizes and sizes of means by which a skill is judged
 LEAST_TRAIN, LEAST_TEST, STRONG = 30, 10, 3.0
 # fixed values: linear score presets as (column, weight)
@@ -37,55 +40,8 @@ def adapted_mask(skills: list[str]) -> Column:
     return out
 
 
-def confirmations() -> Column:
-    return count_true(F.col("peer_relative_to_group_20d") > 0, F.col("peer_group_positive_breadth_20d") >= 0.5, F.col("close_above_ma200"), F.col("news_risk_event_score_30d") <= 0)
-
-
-def positives() -> Column:
-    return count_true(F.col("peer_relative_to_group_20d") > 0, F.col("peer_group_positive_breadth_20d") >= 0.55, F.col("prior_return_20d").between(-15, 25))
-
-
-def hard_conflicts() -> Column:
-    return count_true(F.col("news_risk_event_score_30d") > 0, F.col("data_gaps").contains(GAP), F.col("prior_return_20d") >= 60)
-
-
-def portfolio_gates() -> dict[str, Column]:
-    """Row gates of a portfolio, by name."""
-    breadth, gap = on(F.col("peer_group_positive_breadth_20d") >= 0.50), F.coalesce("data_gaps", F.lit("")).contains(GAP)
-    return {
-        "none": F.lit(True),
-        "peer_relative_positive": on(F.col("peer_relative_to_group_20d") > 0),
-        "peer_breadth_above_half": breadth,
-        "no_major_data_gap": ~gap,
-        "news_risk_low": zero("news_risk_event_score_30d") <= 0,
-        "peer_and_gap_safe": breadth & on(F.col("peer_relative_to_group_20d") > -3) & ~gap,
-        "cross_channel_min2": confirmations() >= 2,
-        "cross_channel_min3": confirmations() >= 3,
-        "positive_confirmation_min1_no_hard": (positives() >= 1) & (hard_conflicts() == 0),
-        "positive_confirmation_min2": positives() >= 2,
-        "positive_confirmation_min2_no_hard": (positives() >= 2) & (hard_conflicts() == 0),
-    }
-
-
-def sampler_gates() -> dict[str, Column]:
-    """Row gates of the sampler's search, by name."""
-    overheat = on(F.col("prior_return_20d") >= 60)
-    news, money = on(F.col("news_count_30d") > 0), ~F.coalesce("data_gaps", F.lit("")).contains(GAP)
-    return {
-        "none": F.lit(True),
-        "no_overheat": ~overheat,
-        "news_available": news,
-        "news_or_financial_available": news | money,
-        "peer_context_safe": on(F.col("peer_group_positive_breadth_20d") >= 0.5),
-        "kline_pullback_safe": on(F.col("prior_return_20d").between(-15, 25)),
-        "cross_channel_min2": confirmations() >= 2,
-        "cross_channel_min3": confirmations() >= 3,
-        "strict_safety": (confirmations() >= 3) & ~overheat & (zero("news_risk_event_score_30d") <= 0),
-    }
-
-
 def risk_flags(df: DataFrame) -> DataFrame:
-    """Eight flags on chips, prices and volumes, their number and their names."""
+    """Eight flags on chips, prices and volumes, their number, that of the older seven, their names."""
     c = F.col
     flags = {
         "chase_high": (c("winner_rate_pct") >= 75) & (c("chip_range_position") >= 0.85),
@@ -98,19 +54,23 @@ def risk_flags(df: DataFrame) -> DataFrame:
         "chip_loosen_rally": (c("winner_rate_pct") >= 70) & (c("kline_return_20d") >= 15),
     }
     flags = {k: on(v) for k, v in flags.items()}
-    return df.withColumns(flags).withColumns({"risk_flag_count": count_true(*(c(k) for k in flags)), "risk_flag_names": named({k: c(k) for k in flags})})
+    older = [c(k) for k in flags if k != "chip_loosen_rally"]
+    return df.withColumns(flags).withColumns({"risk_flag_count": count_true(*(c(k) for k in flags)), "risk_flag_count_baseline": count_true(*older), "risk_flag_names": named({k: c(k) for k in flags}, ";")})
 
 
 def decision(df: DataFrame) -> DataFrame:
-    """A linear confidence and the grade, action and weight it leads to."""
+    """A linear confidence and the grade, action and weight it leads to. Warnings and opportunities
+    are the larger of two scores; memory_counter is what case memory holds against the row."""
     overheat = on(F.col("rsi14") >= 70) | on(F.col("prior_return_20d") >= 12)
+    warning = F.greatest(zero("news_warning_score_30d"), zero("news_risk_event_score_30d"), F.lit(0.0))
     confidence = (
         0.30 * zero("relative_strength_rank") + 0.18 * on(F.col("close_above_ma200")).cast("double") + 0.014 * zero("counter_score") + 0.08 * (F.coalesce("triggered_skills", F.lit("")) != "").cast("double")
-        - 0.18 * F.least(F.greatest(zero("news_risk_event_score_30d"), F.lit(0.0)), F.lit(2.0)) - 0.12 * overheat.cast("double") - 0.016 * F.coalesce("data_gaps", F.lit("")).contains(GAP).cast("double")
-    )
+        + 0.08 * F.least(F.greatest(zero("news_opportunity_event_score_30d"), F.lit(0.0)), F.lit(1.0)) - 0.18 * F.least(warning, F.lit(2.0)) - 0.12 * overheat.cast("double") - 0.16 * zero("memory_counter")
+        - 0.016 * F.coalesce("data_gaps", F.lit("")).contains(GAP).cast("double")
+    )
     out = df.withColumns({"overheat_flag": overheat, "confidence_level": F.round(F.round(clip(confidence, 0, 1), 9), 4)})
     pick = lambda *v: F.when(F.col("confidence_level") >= 0.58, v[0]).when(F.col("confidence_level") >= 0.44, v[1]).when(F.col("confidence_level") >= 0.30, v[2]).otherwise(v[3])
-    return out.withColumns({"research_grade": pick("dig_deeper", "watch", "set_aside", "insufficient"), "simulated_action": pick("raise", "hold", "lower", "to_cash"), "simulated_weight_change": pick(1.0, 0.6, 0.25, 0.0)})
+    return out.withColumns({"research_grade": pick(*GRADES), "simulated_action": pick(*ACTIONS), "simulated_weight_change": pick(1.0, 0.6, 0.25, 0.0)})
 
 
 def graded(df: DataFrame, flag_limit: int = 3, critical: str = "deep_drawdown_accel") -> DataFrame:
@@ -121,19 +81,20 @@ def graded(df: DataFrame, flag_limit: int = 3, critical: str = "deep_drawdown_ac
     base = 0.25 + bonus + F.coalesce(F.greatest(F.lit(-0.15), F.least(F.lit(0.25), F.col("score") * 0.08)), F.lit(0.0)) - 0.12 * F.col("risk_flag_count") - 0.15 * F.col("regime_abstain").cast("double") - 0.2 * F.col("data_missing").cast("double")
     out = df.withColumn("confidence", F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base)), 9), 4))
     upper = tier.isin("strong", "middle")
+    dig, watch, aside, unknown = GRADES
     rules = [
-        (F.col("data_missing"), "insufficient", 0.0),
-        ((F.col("risk_flag_count") >= flag_limit) | F.col("risk_flag_names").contains(critical), "set_aside", 0.05),
-        (F.col("regime_abstain") & upper, "watch", 0.1),
-        ((tier == "strong") & (F.col("confidence") >= 0.45), "dig_deeper", 0.7),
-        (upper, "watch", 0.15),
-        (tier == "weak", "watch", 0.08),
-        ((F.col("confidence") < 0.25) | F.col("regime_abstain"), "insufficient", 0.0),
+        (F.col("data_missing"), unknown, 0.0),
+        ((F.col("risk_flag_count") >= flag_limit) | F.col("risk_flag_names").contains(critical), aside, 0.05),
+        (F.col("regime_abstain") & upper, watch, 0.1),
+        ((tier == "strong") & (F.col("confidence") >= 0.45), dig, 0.7),
+        (upper, watch, 0.15),
+        (tier == "weak", watch, 0.08),
+        ((F.col("confidence") < 0.25) | F.col("regime_abstain"), unknown, 0.0),
     ]
     grade, weight = F, F
     for when, g, w in rules:
         grade, weight = grade.when(when, g), weight.when(when, w)
-    return out.withColumns({"grade": grade.otherwise("watch"), "weight": weight.otherwise(0.05)})
+    return out.withColumns({"grade": grade.otherwise(watch), "weight": weight.otherwise(0.05)})
 
 
 def outcome_label(soft_gap: Column) -> Column:

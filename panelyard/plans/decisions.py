@@ -1,56 +1,21 @@
-"""The decision table that policies and walk-forward queries read: panel rows under the names that
-gates and rulebooks use, with its SQL counterpart."""
+"""The decision table that policies and walk-forward queries read: the signals under the names that
+gates and rulebooks use and whether a row came out well, with its SQL counterpart."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.functions.expr import rank_pct
-from panelyard.operators import calendar, cross
-from panelyard.operators.policy import GAP
-from panelyard.plans.sql import PANEL
-from panelyard.plans.sql import rank_pct as rank_sql
-from panelyard.sources.tables import panel
+from panelyard.plans.signals import SIGNALS, signals
 
 SKILLS = ["PPS-Q-017", "PPS-Q-019", "DOW-B-017"]
+COLUMNS = """code date industry area volume close time_block return_20d prior_return_20d kline_return_60d relative_strength_rank peer_relative_to_group_20d peer_group_positive_breadth_20d close_above_ma200
+atr20_pct drawdown60 news_count_30d news_risk_event_score_30d counter_score pool_excess_20d pool_return_rank_pct data_gaps triggered_skills rsi14""".split()
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cross.peers(panel(spark, sf_dir))
-    own = Window.partitionBy("code").orderBy("date").rowsBetween(-5, 0)
-    out = df.select(
-        "code", "date", "industry", "area", "volume", "close",
-        calendar.half_year().alias("time_block"),
-        F.col("fwd").alias("return_20d"),
-        F.col("ret").alias("prior_return_20d"),
-        F.col("ret3").alias("kline_return_60d"),
-        rank_pct("ret", "date").alias("relative_strength_rank"),
-        F.col("peer_relative").alias("peer_relative_to_group_20d"),
-        F.col("peer_breadth").alias("peer_group_positive_breadth_20d"),
-        (F.col("close") > F.avg("close").over(own)).alias("close_above_ma200"),
-        F.abs("ret").alias("atr20_pct"),
-        (100 * (F.col("close") / F.max("close").over(own) - 1)).alias("drawdown60"),
-        F.col("days").cast("double").alias("news_count_30d"),
-        (F.col("days") <= 3).cast("double").alias("news_risk_event_score_30d"),
-        (10 * rank_pct("volume", "date")).alias("counter_score"),
-        (F.col("fwd") - F.avg("fwd").over(Window.partitionBy("date"))).alias("pool_excess_20d"),
-        rank_pct("fwd", "date").alias("pool_return_rank_pct"),
-    )
-    skills = F.concat_ws(";", F.when(F.col("prior_return_20d") > 0, SKILLS[0]), F.when(F.col("relative_strength_rank") >= 0.5, SKILLS[1]), F.when(F.col("close_above_ma200"), SKILLS[2]), F.when(F.col("drawdown60") < -10, "REV-A-001"))
-    return out.withColumns({"data_gaps": F.when(F.col("kline_return_60d").isNull(), GAP).otherwise(""), "triggered_skills": skills, "gt_pass": F.coalesce((F.col("return_20d") > 0) & (F.col("pool_excess_20d") > 0), F.lit(False))})
-
-
-DECISIONS = f"""{PANEL},
-pe AS (SELECT *, sum(ret) OVER w AS s_, count(ret) OVER w AS k_, sum((ret > 0)::INT) OVER w AS u_ FROM panel WINDOW w AS (PARTITION BY date, industry)),
-d0 AS (SELECT code, date, industry, area, volume, close, 'H' || year(date) || '_' || CASE WHEN month(date) <= 6 THEN '1' ELSE '2' END AS time_block,
-  fwd AS return_20d, ret AS prior_return_20d, ret3 AS kline_return_60d, {rank_sql('ret', 'date')} AS relative_strength_rank,
-  ret - CASE WHEN ret IS NOT NULL AND k_ > 1 THEN (s_ - ret) / (k_ - 1) END AS peer_relative_to_group_20d,
-  CASE WHEN ret IS NOT NULL AND k_ > 1 THEN (u_ - (ret > 0)::INT) / (k_ - 1) END AS peer_group_positive_breadth_20d,
-  close > avg(close) OVER own AS close_above_ma200, abs(ret) AS atr20_pct, 100 * (close / max(close) OVER own - 1) AS drawdown60,
-  days::DOUBLE AS news_count_30d, (days <= 3)::INT::DOUBLE AS news_risk_event_score_30d, 10 * {rank_sql('volume', 'date')} AS counter_score,
-  fwd - avg(fwd) OVER (PARTITION BY date) AS pool_excess_20d, {rank_sql('fwd', 'date')} AS pool_return_rank_pct
-  FROM pe WINDOW own AS (PARTITION BY code ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
-d AS (SELECT *, CASE WHEN kline_return_60d IS NULL THEN '{GAP}' ELSE '' END AS data_gaps,
-  concat_ws(';', CASE WHEN prior_return_20d > 0 THEN '{SKILLS[0]}' END, CASE WHEN relative_strength_rank >= 0.5 THEN '{SKILLS[1]}' END, CASE WHEN close_above_ma200 THEN '{SKILLS[2]}' END, CASE WHEN drawdown60 < -10 THEN 'REV-A-001' END) AS triggered_skills,
-  coalesce(return_20d > 0 AND pool_excess_20d > 0, false) AS gt_pass FROM d0)"""
+    passed = F.coalesce((F.col("return_20d") > 0) & (F.col("pool_excess_20d") > 0), F.lit(False))
+    return signals(spark, sf_dir).select(*COLUMNS, passed.alias("gt_pass"))
+
+
+DECISIONS = f"""{SIGNALS}, d AS (SELECT {', '.join(COLUMNS)}, coalesce(return_20d > 0 AND pool_excess_20d > 0, false) AS gt_pass FROM sg)"""

@@ -179,7 +179,7 @@ _GATE_SQL = {k: " AND ".join(f"{c} {o} {t}" for c, o, t in v) or "TRUE" for k, v
 WITH {_RULES}, l AS (SELECT gate, fwd FROM rp, LATERAL (VALUES {', '.join(f"('{k}', {g})" for k, g in _GATE_SQL.items())}) v(gate, ok) WHERE ok AND fwd IS NOT NULL)
 SELECT gate, count(*) AS n, round(avg(fwd), 6) AS mean_fwd, round(avg((fwd > 0)::INT), 6) AS pos_rate, round(avg((fwd <= -5)::INT), 6) AS loss_rate FROM l GROUP BY gate
 """)
-def l_gate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def l_named_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All named gates in one pass: each row is exploded to the gates that it passes."""
     passed = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.gates().items())), lambda g: g.isNotNull())
     long = _rule_panel(spark, sf_dir).where("fwd is not null").select(F.explode(passed).alias("gate"), "fwd")

@@ -25,11 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-_CONF = """(coalesce(peer_relative_to_group_20d > 0, false)::INT + coalesce(peer_group_positive_breadth_20d >= 0.5, false)::INT + coalesce(close_above_ma200, false)::INT + coalesce(news_risk_event_score_30d <= 0, false)::INT)"""
-_POS = """(coalesce(peer_relative_to_group_20d > 0, false)::INT + coalesce(peer_group_positive_breadth_20d >= 0.55, false)::INT + coalesce(prior_return_20d BETWEEN -15 AND 25, false)::INT)"""
-_HARD = f"""(coalesce(news_risk_event_score_30d > 0, false)::INT + coalesce(contains(data_gaps, '{GAP}'), false)::INT + coalesce(prior_return_20d >= 60, false)::INT)"""
-
-
 @query(f"""
 WITH {DECISIONS} SELECT code, date, relative_strength_rank >= 0.5 AS original,
  coalesce(prior_return_20d > 0, false) AND coalesce(relative_strength_rank >= 0.67, false) AND coalesce(close_above_ma200, false)
@@ -40,76 +35,6 @@ def f_strategy_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("code", "date", (F.col("relative_strength_rank") >= 0.5).alias("original"), policy.adapted_mask(SKILLS).alias("adapted"))
 
 
-@query(f"""
-WITH {DECISIONS}, g AS (SELECT *, coalesce(peer_group_positive_breadth_20d >= 0.5, false) AS breadth, contains(data_gaps, '{GAP}') AS gap, {_CONF} AS conf, {_POS} AS pos, {_HARD} AS hard FROM d)
-SELECT code, date, true AS "none", coalesce(peer_relative_to_group_20d > 0, false) AS peer_relative_positive, breadth AS peer_breadth_above_half, NOT gap AS no_major_data_gap,
- coalesce(news_risk_event_score_30d, 0) <= 0 AS news_risk_low, breadth AND coalesce(peer_relative_to_group_20d > -3, false) AND NOT gap AS peer_and_gap_safe, conf >= 2 AS cross_channel_min2, conf >= 3 AS cross_channel_min3,
- pos >= 1 AND hard = 0 AS positive_confirmation_min1_no_hard, pos >= 2 AS positive_confirmation_min2, pos >= 2 AND hard = 0 AS positive_confirmation_min2_no_hard FROM g
-""")
-def f_portfolio_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions(spark, sf_dir).select("code", "date", *(c.alias(k) for k, c in policy.portfolio_gates().items()))
-
-
-@query(f"""
-WITH {DECISIONS}, g AS (SELECT *, coalesce(prior_return_20d >= 60, false) AS hot, coalesce(news_count_30d > 0, false) AS news, NOT contains(data_gaps, '{GAP}') AS money, {_CONF} AS conf FROM d)
-SELECT code, date, true AS "none", NOT hot AS no_overheat, news AS news_available, news OR money AS news_or_financial_available, coalesce(peer_group_positive_breadth_20d >= 0.5, false) AS peer_context_safe,
- coalesce(prior_return_20d BETWEEN -15 AND 25, false) AS kline_pullback_safe, conf >= 2 AS cross_channel_min2, conf >= 3 AS cross_channel_min3, conf >= 3 AND NOT hot AND coalesce(news_risk_event_score_30d, 0) <= 0 AS strict_safety FROM g
-""")
-def f_sampler_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions(spark, sf_dir).select("code", "date", *(c.alias(k) for k, c in policy.sampler_gates().items()))
-
-
-def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chip columns stand in for shares of ranks and ranges of the panel."""
-    df = decisions(spark, sf_dir).select("*", (100 * F.col("relative_strength_rank")).alias("winner_rate_pct"), (1 + F.col("drawdown60") / 100).alias("chip_range_position"), (F.col("counter_score") / 10).alias("cost_position"), (-F.col("drawdown60") / 100).alias("upper_overhang"), F.col("kline_return_60d").alias("kline_return_20d"), F.col("prior_return_20d").alias("kline_return_3d"), (F.col("news_count_30d") / 5).alias("kline_volatility_ratio_3_20"), F.col("drawdown60").alias("kline_drawdown_60d"), F.col("prior_return_20d").alias("kline_return_5d"), (F.col("prior_return_20d") - F.col("peer_relative_to_group_20d")).alias("corr_peer_avg_return_20d"))
-    return policy.risk_flags(df)
-
-
-_FLAGS = {
-    "chase_high": "100 * relative_strength_rank >= 75 AND 1 + drawdown60 / 100 >= 0.85",
-    "extreme_cost_high": "counter_score / 10 >= 0.92",
-    "extreme_cost_low": "counter_score / 10 <= 0.08",
-    "upper_overhang_rally": "-drawdown60 / 100 >= 0.25 AND kline_return_60d >= 10",
-    "volume_stall": "kline_return_60d >= 8 AND prior_return_20d <= 0 AND news_count_30d / 5 >= 1.3",
-    "deep_drawdown_accel": "drawdown60 <= -25 AND prior_return_20d <= -3",
-    "peer_weakness": "prior_return_20d - peer_relative_to_group_20d <= -5",
-    "chip_loosen_rally": "100 * relative_strength_rank >= 70 AND kline_return_60d >= 15",
-}
-_FLAGGED = f"""{DECISIONS}, f0 AS (SELECT *, {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _FLAGS.items())} FROM d),
-f AS (SELECT *, {' + '.join(f'{k}::INT' for k in _FLAGS)} AS risk_flag_count, concat_ws('+', {', '.join(f"CASE WHEN {k} THEN '{k}' END" for k in _FLAGS)}) AS risk_flag_names FROM f0)"""
-
-
-@query(f"WITH {_FLAGGED} SELECT code, date, {', '.join(_FLAGS)}, risk_flag_count, risk_flag_names FROM f")
-def f_risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flagged(spark, sf_dir).select("code", "date", *_FLAGS, "risk_flag_count", "risk_flag_names")
-
-
-@query(f"""
-WITH {DECISIONS}, o AS (SELECT *, coalesce(relative_strength_rank * 100 >= 70, false) OR coalesce(prior_return_20d >= 12, false) AS overheat_flag FROM d),
-c AS (SELECT *, round(CAST(greatest(0, least(1, 0.30 * coalesce(relative_strength_rank, 0) + 0.18 * coalesce(close_above_ma200, false)::INT + 0.014 * coalesce(counter_score, 0) + 0.08 * (triggered_skills <> '')::INT
- - 0.18 * least(greatest(coalesce(news_risk_event_score_30d, 0), 0), 2) - 0.12 * overheat_flag::INT - 0.016 * contains(data_gaps, '{GAP}')::INT)) AS DECIMAL(18, 9)), 4)::DOUBLE AS confidence_level FROM o),
-g AS (SELECT *, CASE WHEN confidence_level >= 0.58 THEN 0 WHEN confidence_level >= 0.44 THEN 1 WHEN confidence_level >= 0.30 THEN 2 ELSE 3 END AS i FROM c)
-SELECT code, date, overheat_flag, confidence_level, ['dig_deeper', 'watch', 'set_aside', 'insufficient'][i + 1] AS research_grade, ['raise', 'hold', 'lower', 'to_cash'][i + 1] AS simulated_action, [1.0, 0.6, 0.25, 0.0][i + 1]::DOUBLE AS simulated_weight_change FROM g
-""")
-def f_agent_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = decisions(spark, sf_dir).withColumn("rsi14", 100 * F.col("relative_strength_rank"))
-    return policy.decision(df).select("code", "date", "overheat_flag", "confidence_level", "research_grade", "simulated_action", "simulated_weight_change")
-
-
-@query(f"""
-WITH {_FLAGGED}, t AS (SELECT *, CASE WHEN relative_strength_rank >= 0.9 THEN 'strong' WHEN relative_strength_rank >= 0.7 THEN 'middle' WHEN relative_strength_rank >= 0.5 THEN 'weak' ELSE 'none' END AS tier, data_gaps <> '' AS gap, month(date) = 3 AS abstain FROM f),
-c AS (SELECT *, round(CAST(greatest(0, least(1, 0.25 + CASE tier WHEN 'strong' THEN 0.35 WHEN 'middle' THEN 0.22 WHEN 'weak' THEN 0.10 ELSE 0 END + coalesce(greatest(-0.15, least(0.25, counter_score * 0.08)), 0) - 0.12 * risk_flag_count - 0.15 * abstain::INT - 0.2 * gap::INT)) AS DECIMAL(18, 9)), 4)::DOUBLE AS confidence FROM t),
-g AS (SELECT *, CASE WHEN gap THEN 1 WHEN risk_flag_count >= 3 OR contains(risk_flag_names, 'deep_drawdown_accel') THEN 2 WHEN abstain AND tier IN ('strong', 'middle') THEN 3 WHEN tier = 'strong' AND confidence >= 0.45 THEN 4
- WHEN tier IN ('strong', 'middle') THEN 5 WHEN tier = 'weak' THEN 6 WHEN confidence < 0.25 OR abstain THEN 7 ELSE 8 END AS i FROM c)
-SELECT code, date, confidence, ['insufficient', 'set_aside', 'watch', 'dig_deeper', 'watch', 'watch', 'insufficient', 'watch'][i] AS grade, [0.0, 0.05, 0.1, 0.7, 0.15, 0.08, 0.0, 0.05][i]::DOUBLE AS weight FROM g
-""")
-def f_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.col("relative_strength_rank")
-    tier = F.when(r >= 0.9, "strong").when(r >= 0.7, "middle").when(r >= 0.5, "weak").otherwise("none")
-    df = _flagged(spark, sf_dir).withColumns({"opportunity_tier": tier, "score": F.col("counter_score"), "data_missing": F.col("data_gaps") != "", "regime_abstain": F.month("date") == 3})
-    return policy.graded(df).select("code", "date", "confidence", "grade", "weight")
-
-
 @query(f"""
 WITH {DECISIONS} SELECT code, date, CASE WHEN coalesce(return_20d > 0, false) AND coalesce(pool_excess_20d, 0) >= 2 AND coalesce(pool_return_rank_pct, 0.5) >= 0.7 THEN 'positive_support'
  WHEN coalesce(return_20d <= -5, false) OR coalesce(pool_excess_20d, 0) <= -5 THEN 'hard_counter' WHEN data_gaps <> '' AND coalesce(return_20d >= -2, false) AND coalesce(pool_excess_20d, 0) >= -1.5 THEN 'soft_gap' ELSE 'neutral' END AS label FROM d

@@ -128,50 +128,6 @@ def f_cost_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("code", "date", *(c.alias(k) for k, c in parts.items())))
 
 
-# fixed values: weights of the sampler's score profiles
-PROFILES: dict[str, list[tuple[str, float]]] = {
-    "pullback_proxy": [("rel", 0.42), ("counter", 0.20), ("above", 0.15), ("safe", 0.32), ("peer_ok", 0.18), ("overheat", -0.75), ("news_risk", -0.20)],
-    "strict_cross_channel": [("rel", 0.35), ("counter", 0.16), ("above", 0.12), ("safe", 0.20), ("peer_ok", 0.22), ("news_ok", 0.18), ("fin_ok", 0.12), ("triggered", 0.06), ("risk_gap", -0.55), ("fin_risk", -0.25)],
-    "multiscale_quality": [("rel", 0.30), ("counter", 0.15), ("medium_trend", 0.16), ("cycle_quality", 0.10), ("peer_ok", 0.16), ("overheat", -0.45), ("deep_fall", -0.35)],
-    "peer_quality": [("rel", 0.32), ("counter", 0.16), ("above", 0.10), ("peers", 0.16), ("safe", 0.14), ("overheat", -0.45), ("few_peers", -0.30)],
-    "news_financial_quality": [("rel", 0.30), ("counter", 0.12), ("above", 0.12), ("news_ok", 0.18), ("fin_ok", 0.12), ("news_opp", 0.12), ("news_risk", -0.50), ("fin_risk", -0.35), ("fin_miss", -0.20), ("overheat", -0.35)],
-    "defensive_quality": [("rel", 0.28), ("counter", 0.20), ("above", 0.12), ("safe", 0.14), ("peer_ok", 0.14), ("confirmation", 0.08), ("overheat", -0.70), ("news_risk", -0.45), ("fin_gap", -0.35)],
-}
-_PARTS = {
-    "rel": "coalesce(relative_strength_rank, 0)",
-    "counter": "coalesce(counter_score, 0) / 10",
-    "above": "cast(coalesce(close_above_ma200, false) AS int)",
-    "safe": "cast(coalesce(prior_return_20d BETWEEN -15 AND 25, false) AS int)",
-    "peer_ok": "cast(coalesce(peer_group_positive_breadth_20d >= 0.5, false) AS int)",
-    "news_ok": "cast(coalesce(news_count_30d > 0 AND news_risk_event_score_30d <= 0, false) AS int)",
-    "fin_ok": "cast(data_gaps = '' AS int)",
-    "fin_gap": "cast(data_gaps <> '' AS int)",
-    "triggered": "cast(triggered_skills <> '' AS int)",
-    "overheat": "cast(coalesce(prior_return_20d >= 60, false) AS int)",
-    "news_risk": "cast(coalesce(news_risk_event_score_30d > 0, false) AS int)",
-    "risk_gap": "cast(coalesce(news_risk_event_score_30d > 0, false) AS int) + cast(data_gaps <> '' AS int)",
-    "fin_risk": "cast(coalesce(drawdown60 <= -60, false) AS int)",
-    "fin_miss": "cast(coalesce(prior_return_20d <= -40, false) AS int)",
-    "news_opp": "coalesce(news_count_30d, 0) / 10",
-    "medium_trend": "cast(coalesce(prior_return_20d BETWEEN -12 AND 18, false) AS int) + cast(coalesce(kline_return_60d > -18, false) AS int) + cast(coalesce(drawdown60 > -25, false) AS int)",
-    "cycle_quality": "cast(coalesce(atr20_pct <= 55, false) AS int) + cast(coalesce(1 + drawdown60 / 100 BETWEEN 0.25 AND 0.85, false) AS int)",
-    "deep_fall": "cast(coalesce(kline_return_60d <= -25, false) AS int)",
-    "peers": "cast(coalesce(peer_group_positive_breadth_20d >= 0.5, false) AS int) + cast(coalesce(peer_relative_to_group_20d > -3, false) AS int)",
-    "few_peers": "cast(coalesce(peer_group_positive_breadth_20d >= 0.5, false) AS int) + cast(coalesce(peer_relative_to_group_20d > -3, false) AS int) <= 1",
-    "confirmation": "cast(coalesce(peer_relative_to_group_20d > 0, false) AS int) + cast(coalesce(peer_group_positive_breadth_20d >= 0.5, false) AS int) + cast(coalesce(close_above_ma200, false) AS int) + cast(coalesce(news_risk_event_score_30d <= 0, false) AS int)",
-}
-
-
-@query(f"""
-WITH {DECISIONS}, p AS (SELECT code, date, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in _PARTS.items())} FROM d)
-SELECT code, date, {', '.join(f"round({' + '.join(f'{c} * ({w})' for c, w in v)}, 6) AS {k}" for k, v in PROFILES.items())} FROM p
-""")
-def f_sampler_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six score profiles of each row; what the panel has no column for stands on its returns."""
-    parts = decisions(spark, sf_dir).select("code", "date", *(F.expr(v).cast("double").alias(k) for k, v in _PARTS.items()))
-    return rounded(parts.select("code", "date", *(policy.linear(v).alias(k) for k, v in PROFILES.items())))
-
-
 _MODULES = {k: 1 / 8 for k in ("fundamental_quality", "financial_safety", "valuation_pressure", "trend_structure", "news_support", "book_strategy_match", "counterevidence_risk", "data_completeness")}
 
 
