@@ -50,8 +50,8 @@ BOUNDS = frozenset("ul ol table div article section body".split())
 #: Tags that tell nothing of a block's role.
 NOTHING = INLINE | frozenset("html body".split())
 CLOSES = {tag: [k for k, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
-#: Comments, tags (if their quotes don't match, up to the next angle bracket or the end), declarations.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)(?:>|\Z)|<[!?][^>]*>", re.S)
+#: What can begin behind an angle bracket, and the plain part of a tag.
+START, PLAIN, BARE = re.compile(r"<(?:!--|(/?)([A-Za-z][A-Za-z0-9:-]*)|[!?])"), re.compile(r"[^<>\"']*"), re.compile(r"[^<>]*")
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[^\W_]+")
 
@@ -128,45 +128,92 @@ class _Stack:
             self.cut(last)
 
 
-def _tag(m: re.Match) -> tuple[str, str, str]:
-    """Slash, name and the rest of a start or end tag; empty for comments and declarations."""
-    closing, tag, rest = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
-    return closing or "", (tag or "").lower(), rest or ""
-
-
-def _ends(page: str, tag: str) -> dict[int, int]:
-    """{end of a start tag: end of its end tag}; elements that are never closed are left out."""
-    out, opened = {}, []
-    for m in re.finditer(rf"<(/?){tag}(?![\w:-])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I):
-        if not m.group(1):
-            if not m.group().endswith("/>"):
-                opened.append(m.end())
-        elif opened:
-            out[opened.pop()] = m.end()
-    return out
-
-
-def _after(page: str, tag: str, at: int) -> int | None:
-    """Behind the next end tag of an element in whose content no tags count."""
-    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-    return end.end() if end else None
-
-
-def _after_head(page: str, at: int) -> int:
-    """Where a head ends that starts before at: behind </head>, or before <body>, the first other
-    element that is no metadata or the first text outside of elements."""
-    while m := TOKEN.search(page, at):
-        if page[at : m.start()].strip():
-            break
-        closing, tag, rest = _tag(m)
-        if closing and tag == "head":
-            return m.end()
-        if tag and not closing and tag not in HEAD:
-            return m.start()
-        at = m.end()
-        if tag in HEAD and not closing and tag in ("title", "script", "style", "noscript", "template") and not rest.endswith("/"):
-            at = _after(page, tag, at) or (len(page) if tag in RAW else at)
-    return at
+@dataclass(slots=True)
+class _Token:
+    """A comment, a declaration (both without a tag) or a start or end tag, and where it stands."""
+
+    start: int
+    end: int
+    closing: str = ""
+    tag: str = ""
+    rest: str = ""
+
+
+class _Page:
+    """A page and what is known of its end, so that nothing is searched for twice in vain."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, {q: text.rfind(q) for q in "\"'>"}
+        self.closed: dict[str, dict[int, int]] = {}
+        self.open: set[str] = set()
+
+    def tag_end(self, at: int) -> tuple[int, int] | None:
+        """Ends of a tag's attributes and of the tag, from behind its name: quoted values are read to
+        their closing quote, however long. A tag whose quotes don't match ends at the next angle
+        bracket. The page's end ends a tag too; what meets another opening bracket first is none."""
+        text, first = self.text, at
+        while True:
+            at = PLAIN.match(text, at).end()
+            c = text[at : at + 1]
+            if c == ">" or not c:
+                return at, at + len(c)
+            if c == "<" or at >= self.last[c]:
+                at = BARE.match(text, first).end()
+                return None if text.startswith("<", at) else (at, at + text.startswith(">", at))
+            at = text.index(c, at + 1) + 1
+
+    def token(self, at: int) -> _Token | None:
+        """The first token from at on."""
+        while m := START.search(self.text, at):
+            at = m.end()
+            if m.group(2):
+                if ends := self.tag_end(at):
+                    return _Token(m.start(), ends[1], m.group(1), m.group(2).lower(), self.text[at : ends[0]])
+                continue
+            comment = m.group() == "<!--"
+            end = self.text.find("-->" if comment else ">", at) if at <= self.last[">"] else -1
+            if end >= 0 or comment:
+                return _Token(m.start(), end + (3 if comment else 1) if end >= 0 else len(self.text))
+        return None
+
+    def ends(self, tag: str) -> dict[int, int]:
+        """{end of a start tag: end of its end tag}; elements that are never closed are left out."""
+        if tag not in self.closed:
+            out, opened = {}, []
+            for m in re.finditer(rf"<(/?){tag}(?![\w:-])", self.text, re.I):
+                if not (ends := self.tag_end(m.end())):
+                    continue
+                if not m.group(1):
+                    if not self.text.endswith("/", m.end(), ends[0]):
+                        opened.append(ends[1])
+                elif opened:
+                    out[opened.pop()] = ends[1]
+            self.closed[tag] = out
+        return self.closed[tag]
+
+    def after(self, tag: str, at: int) -> int | None:
+        """Behind the next end tag of an element in whose content no tags count."""
+        if tag in self.open:
+            return None
+        end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(self.text, at)
+        if not end:
+            self.open.add(tag)
+        return end.end() if end else None
+
+    def after_head(self, at: int) -> int:
+        """Where a head ends that starts before at: behind </head>, or before <body>, the first other
+        element that is no metadata or the first text outside of elements."""
+        while t := self.token(at):
+            if self.text[at : t.start].strip():
+                break
+            if t.closing and t.tag == "head":
+                return t.end
+            if t.tag and not t.closing and t.tag not in HEAD:
+                return t.start
+            at = t.end
+            if t.tag in HEAD and not t.closing and t.tag in ("title", "script", "style", "noscript", "template") and not t.rest.endswith("/"):
+                at = self.after(t.tag, at) or (len(self.text) if t.tag in RAW else at)
+        return at
 
 
 def blocks(page: str) -> list[Block]:
@@ -176,7 +223,6 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = at = 0
     place = _ROOT
-    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -199,29 +245,27 @@ def blocks(page: str) -> list[Block]:
             linked += len(raw.strip())
 
     page = page or ""
+    whole = _Page(page)
     while True:
-        m = TOKEN.search(page, at)
-        text(page[at : m.start() if m else len(page)])
-        if not m:
+        token = whole.token(at)
+        text(page[at : token.start if token else len(page)])
+        if not token:
             break
-        at = m.end()
-        closing, tag, rest = _tag(m)
+        at, closing, tag, rest = token.end, token.closing, token.tag, token.rest
         if not tag:
             continue
         if tag in SKIPPED:
             if not closing and not rest.endswith("/"):
                 flush()
                 if tag in RAW:
-                    at = _after(page, tag, at) or len(page)
+                    at = whole.after(tag, at) or len(page)
                 else:  # without an end tag the element is a container like any other
-                    if tag not in ends:
-                        ends[tag] = _ends(page, tag)
-                    at = ends[tag].get(at, at)
+                    at = whole.ends(tag).get(at, at)
             continue
         if tag == "head":
             if not closing:
                 flush()
-                at = _after_head(page, at)
+                at = whole.after_head(at)
             continue
         if tag == "br":
             parts.append(" ")
