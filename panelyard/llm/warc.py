@@ -1,6 +1,7 @@
 """WARC archives with an externally merged capture index.
 
-Writing: each page becomes one record, its payload the html. Of equal payloads of min_payload
+Writing: each page becomes one record, its payload the html, its URL with blanks and control
+characters escaped. Of equal payloads of min_payload
 bytes or more the row with the smallest page_id is stored as a response, the others as revisits
 that refer to it. Records are sorted by URL key and time within each task, and Spark writes them
 as gzipped WARC files with a member for each record (several for one of PART bytes or more), so a
@@ -9,7 +10,7 @@ payloads stand in files of LARGE_RECORDS.
 
 Reading: files are parsed member by member, and stored digests are checked against the payloads.
 Each file is a sorted run of captures. The runs are cut by common ranges of about RANGE_ROWS
-captures, by (URL key, time, page, file, place), which no two captures share, so a hot URL or
+captures, by (URL key, time, page with null last, file, place), which no two captures share, so a hot URL or
 moment is split too. A task gets its cuts of all runs, one run after the other, and merges them
 through a loser tree; the captures' history is in order within and across tasks, and no task holds
 more than its range.
@@ -50,16 +51,23 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
 
 
+def escaped(url: Column) -> Column:
+    """The URL as it stands in records and keys: blanks and control characters as %XX."""
+    one = lambda c: F.when((c <= " ") | (c == "\x7f"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c == "", c).otherwise(one(c))), "")).otherwise(url)
+
+
 def base32(raw: bytes) -> str:
     return base64.b32encode(raw).decode()
 
 
 def captures(pages: DataFrame, min_payload: int = 0, time_col: str | None = None) -> DataFrame:
-    """(page_id, url, urlkey, time, payload, sha1, refers_to), refers_to null for responses."""
+    """(page_id, url, urlkey, time, payload, sha1, refers_to), refers_to null for responses; url is
+    escaped, and its key is of what is written, so that records are sorted as they are read back."""
     seconds = F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0))
     time = F.col(time_col).cast("timestamp") if time_col else F.timestamp_seconds(F.pmod(seconds, F.lit(253402300799)))
     url = F.coalesce("url", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.coalesce("html", F.lit("")).alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), escaped(url).alias("url"), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("urlkey", url_key(F.col("url"))).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
     # one row for each payload that occurs more than once; the other payloads need no join partner
     first = rows.where(F.octet_length("payload") >= min_payload).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
@@ -67,12 +75,11 @@ def captures(pages: DataFrame, min_payload: int = 0, time_col: str | None = None
     return both.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
-def gzipped(record: bytes) -> Iterator[bytes]:
-    """The record as gzip members of at most PART bytes. A member ends in its length as four bytes,
-    of which the last is zero for PART bytes or fewer: it is left out here, as the files' line
-    separator stands for it."""
-    for at in range(0, len(record), PART):
-        yield zlib.compress(record[at : at + PART], 6, 31)[:-1]
+def gzipped(record: bytes) -> bytes:
+    """The record as gzip members of at most PART bytes, without the last byte. A member ends in its
+    length as four bytes, of which the last is zero for PART bytes or fewer: the files' line
+    separator stands for that of the last member, so a record is one row and never parted."""
+    return b"".join(zlib.compress(record[at : at + PART], 6, 31) for at in range(0, len(record), PART))[:-1]
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,17 +87,16 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for page, url, time, payload, sha1, refers in zip(batch.page_id, batch.url, batch.time, batch.payload, batch.sha1, batch.refers_to):
             digest = base32(bytes.fromhex(sha1))
-            uri = "".join(c if " " < c != "\x7f" else f"%{ord(c):02X}" for c in url)
             revisit = not pd.isna(refers)
             size = len(payload.encode())
-            head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {time}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
+            head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {time}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
             if not pd.isna(page):
                 head.append(f"WARC-Record-ID: <urn:page:{int(page)}>")
             if revisit:
                 head += [f"WARC-Refers-To: <urn:page:{int(refers)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
             head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else size}"]
             record = "\r\n".join(head).encode() + BREAK + (b"" if revisit else payload.encode()) + BREAK
-            out += gzipped(record)
+            out.append(gzipped(record))
         yield pd.DataFrame({"value": pd.Series(out, dtype=object)})
     settled()
 
@@ -100,9 +106,9 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, time_col:
     bounded_batches(pages.sparkSession)
 
     def write(some: DataFrame, to: str, most: int) -> None:
-        rows = some.sortWithinPartitions("urlkey", "time", "page_id")
-        members = rows.select("page_id", "url", "time", "payload", "sha1", "refers_to").mapInPandas(_records, "value binary")
-        members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", most).mode("append").text(to)
+        rows = some.sortWithinPartitions("urlkey", "time", F.col("page_id").asc_nulls_last())
+        stored = rows.select("page_id", "url", "time", "payload", "sha1", "refers_to").mapInPandas(_records, "value binary")
+        stored.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", most).mode("append").text(to)
 
     rows, large = captures(pages, min_payload, time_col), F.octet_length("payload") > LARGE
     if pages.where(F.octet_length("html") > LARGE).isEmpty():
