@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
-Texts become templates: a number is <num>, a unit of measure is <unit>, a capitalised word is
-<name> (unless it is one of OPENERS, the words that often begin a sentence), any other word is
-itself in lower case without its outer punctuation. What a word becomes does not depend on the
+Texts become templates: a number is <num>, whether in digits (behind signs, currency marks and
+brackets, or an x, too) or in words, a unit of measure is <unit>, a capitalised word is <name>
+(unless it is one of OPENERS, the words that often begin a sentence), any other word is itself in
+lower case without its outer punctuation. What a word becomes does not depend on the
 words beside it, so a passage has the same template wherever it stands.
 
 A benchmark item is known by its windows of WINDOW template tokens (an item with fewer tokens, but
@@ -33,8 +34,11 @@ from panelyard.llm.runtime import written
 WINDOW, SHORTEST, REQUIRED = 8, 4, 4
 LITERAL = 0.6
 BROADCAST_ROWS = 200_000
-# fixed values: what is cut from a token's ends, units of measure, and words that begin sentences
+# fixed values: what is cut from a token's ends, what may stand before digits, number words, units of
+# measure, and words that begin sentences
 OUTER = ".,;:!?\"'()[]{}«»“”„…"
+DIGITS = r"^[^\p{L}0-9]*[xX]?[0-9]"
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 UNITS = "mm cm m km mg kg g t ml l kb mb gb tb ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds ton tons gallon gallons percent degree degrees dollar dollars euro euros cent cents usd eur gbp meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres watt watts volt volts".split()
 OPENERS = "a add all an and are as at but by calculate can consider could did do does each every explain find for from given he her his how i if in is it its let my name not of on one or our she should some suppose that the their then there these they this those to two under was we were what when where which while who whom whose why will with would write you your das der die ein eine es für ich im in ist mit sie und von was wenn wer wie wo zu ce cette de des elle en est et il la le les où par pour que quel quelle qui si un une con cuál cuando cómo del donde el en es la las los no para por qué se su una y".split()
 
@@ -47,7 +51,9 @@ def _slot(core: Column) -> Column:
     """'<num>', '<unit>', '<name>' or null for a literal; core has no outer punctuation."""
     first, low = F.ascii(core), F.lower(core)
     capital = (F.left(core, F.lit(1)) != F.left(low, F.lit(1))) & (F.char_length(core) > 1) & (F.substr(core, F.lit(2)) == F.substr(low, F.lit(2)))
-    return F.when((first >= 48) & (first <= 57), F.lit("<num>")).when(capital & ~low.isin(*OPENERS), F.lit("<name>")).when(low.isin(*UNITS), F.lit("<unit>"))
+    marked = ~first.between(97, 119) & ~first.between(65, 87) & core.rlike(DIGITS)  # few words come to the pattern
+    counted = low.isin(*NUMBERS) | (low.contains("-") & F.forall(F.split(low, "-"), lambda x: x.isin(*NUMBERS)))
+    return F.when(((first >= 48) & (first <= 57)) | marked | counted, F.lit("<num>")).when(capital & ~low.isin(*OPENERS), F.lit("<name>")).when(low.isin(*UNITS), F.lit("<unit>"))
 
 
 def templates(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -167,7 +173,7 @@ def _templates_sql(table: str, key: str, where: str) -> str:
   SELECT k, list_transform(z, lambda x: coalesce(x.t, x.v)) AS tokens, list_transform(z, lambda x: x.v) AS vals,
          list_transform(z, lambda x: x.t IS NOT NULL) AS slot
   FROM (SELECT k, list_transform(list_filter(list_transform(w, lambda x: trim(x, '{OUTER.replace("'", "''")}')), lambda c: c <> ''), lambda c: struct_pack(
-          t := CASE WHEN c ~ '^[0-9]' THEN '<num>'
+          t := CASE WHEN regexp_matches(c, '{DIGITS}') OR len(list_filter(string_split(lower(c), '-'), lambda x: NOT list_contains([{_quoted(NUMBERS)}], x))) = 0 THEN '<num>'
                     WHEN length(c) > 1 AND c[1] <> lower(c[1]) AND c[2:] = lower(c[2:]) AND NOT list_contains([{_quoted(OPENERS)}], lower(c)) THEN '<name>'
                     WHEN list_contains([{_quoted(UNITS)}], lower(c)) THEN '<unit>' END,
           v := lower(c))) AS z

@@ -29,6 +29,20 @@ def test_reparameterised_questions(docs, bench):
     assert kept.columns == docs(texts).columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 7}
 
 
+def test_numbers_with_marks_and_in_words(docs, spark):
+    items = ["Tom has $48 and gives his sister $20 of it before they go home again.", "She read five books in June and seven books in July but only two after that.", "The set holds twenty-five cups (x2 if you ask) and costs -3 points a day on the list."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    asked = ["Tom has $36 and gives his sister $15 of it before they go home again.", "She read nine books in June and four books in July but only three after that.", "The set holds forty-one cups (x3 if you ask) and costs -8 points a day on the list."]
+    clean = ["Tom has money and gives his sister most of it before they go home again.", "She read many books in June and more books in July but only some after that."]
+    table = docs([*asked, *clean, *items, "€5 5€ five - x", "x -- twenty-one-"])
+    got = sorted(map(tuple, decontamination.contamination(table, bench).collect()))
+    assert [r[3] for r in got] == [True] * 3 + [False] * 2 + [True] * 3 + [False] * 2
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    con.register("benchmark", bench.toPandas())
+    assert got == sorted(con.execute(decontamination.SQL).fetchall())
+
+
 def test_clean_finds_verbatim_copies_anywhere(docs, spark):
     items = ["What is the largest planet in the solar system?", "Paris is 9 km from Berlin by 2 roads and then 7 Rivers to Rome.", "Name Three Great Lakes Of Old Africa Today.", "3 km 4 km 5 km 6 km 7 km", "Who ran?", None, ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")

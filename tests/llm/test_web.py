@@ -142,6 +142,37 @@ def test_histories_are_in_global_order(pages):
     assert keys == sorted(keys) and len(keys) == 400
 
 
+def test_urls_are_escaped_before_they_are_sorted(pages):
+    urls = ["http://a/b c", "http://a/b!c", "http://a/b$c", "http://a/b\x01", "http://a/b\x7fz", "http://a/é b", "http://a/", "", None, "no scheme"]
+    rows = [(i if i % 5 else None, url, f"x{i}", "t", "s", "z") for i, url in enumerate(urls * 9)]
+    parts = warc.archived(pages(rows)).select("urlkey", "time", "page_id").rdd.glom().collect()
+    keys = [(r.urlkey, r.time, r.page_id is None, r.page_id or 0) for part in parts for r in part]
+    assert keys == sorted(keys) and len(keys) == len(rows)
+    assert not any(c in key for key, *_ in keys for c in " \x01\x7f") and any("b%20c" in key for key, *_ in keys)
+
+
+def test_a_very_large_page_beside_large_ones(pages):
+    rows = [(i, f"http://a/{i % 4}", f"{i} " + "é中 y" * 200_000, "t", "s", "z") for i in range(15)] + [(99, "http://a/0", "z" * (17 << 20) + "end", "t", "s", "z")]
+    out = {r.page_id: r for r in warc.archived(pages(rows)).collect()}
+    assert len(out) == 16
+    for i, _, html, *_ in rows:
+        assert out[i].payload_bytes == len(html.encode()) and out[i].payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+
+
+def test_quotes_of_any_length_and_open_elements():
+    for n in (4_000, 80_000, 3_000_000):
+        page = f'<p>one</p><img src="data:image/svg+xml,x<b>{"y" * n}"><p>two</p>'
+        assert [b.text for b in html_text.blocks(page)] == ["one", "two"]
+
+    def seconds(page):
+        began = time.perf_counter()
+        html_text.blocks(page)
+        return time.perf_counter() - began
+
+    for part in ("<noscript>", '<a title="x>', "<p 'q", "<!-- ", '<svg "', "<svg>", "<!", "<select><option "):
+        assert seconds("<head>" + part * 32_000) < 12 * max(seconds("<head>" + part * 8_000), 0.02), part
+
+
 def test_loser_tree():
     r = random.Random(0)
     for k in range(9):
@@ -164,8 +195,7 @@ def test_a_member_for_each_record(monkeypatch):
     monkeypatch.setattr(warc, "PART", 100)
     head = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {}".format
     payloads = [b"a" * 7, b"\r\n\r\n" * 90, b"", bytes(range(256)) * 3]
-    stored = [list(warc.gzipped(head(len(p)).encode() + warc.BREAK + p + warc.BREAK)) for p in payloads]
-    data = b"".join(m + b"\0" for one in stored for m in one)
+    data = b"".join(warc.gzipped(head(len(p)).encode() + warc.BREAK + p + warc.BREAK) + b"\0" for p in payloads)
     assert [p for _, _, p in warc.records_of(data)] == payloads
     for at, _, payload in warc.records_of(data):  # a reader can begin at any record
         assert next(warc.records_of(data[at:]))[2] == payload
