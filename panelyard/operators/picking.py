@@ -14,9 +14,15 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 
 def title_key(title: str, length: int = 40) -> Column:
+    """The start of a title without white space: with a date, a record's natural key."""
     return F.left(F.regexp_replace(F.col(title), r"\s+", ""), F.lit(length))
 
 
+def content_key(text: str) -> Column:
+    """A SHA-256 of the whole text without white space."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", "").cast("binary"), 256)
+
+
 def stable_order(*parts: str, salt: str = "") -> Column:
     """A place in a stable pseudo-random order: the first 16 hex digits of a SHA-256."""
     joined = F.concat_ws("|", F.lit(salt), *(F.col(p).cast("string") for p in parts))

@@ -38,31 +38,38 @@ def formula_grid(df: DataFrame, sizes: tuple[int, ...] = (3, 5), formulas: dict[
     return daily.groupBy("formula", "top", "part").agg(F.count("*").alias("n_dates"), F.avg("r").alias("mean_ret"), F.avg((F.col("r") > 0).cast("int")).alias("pos_rate"), (F.avg("r") - 0.5 * F.stddev_pop("r") - 10 * loss).alias("stability"))
 
 
-def candidates(df: DataFrame, features: list[str], quantiles: tuple[float, ...] = (0.2, 0.35, 0.5, 0.65, 0.8), least: int = 30) -> DataFrame:
-    """Every (feature, op, quantile) rule with its sample, mean and stability, in one aggregate over
-    the unpivoted features. The thresholds are one row a feature and quantile."""
-    long = df.where("fwd is not null").unpivot(["code", "date", "fwd"], features, "feature", "x").where("x is not null")
+def candidates(df: DataFrame, features: list[str], quantiles: tuple[float, ...] = (0.2, 0.35, 0.5, 0.65, 0.8), least: int = 30, y: str = "fwd") -> DataFrame:
+    """Every (feature, op, quantile) rule with its sample and score, in one aggregate over the
+    unpivoted features; a row at a threshold meets both >= and <=. The thresholds are one row a
+    feature and quantile; features with fewer than three values have none."""
+    long = df.where(F.col(y).isNotNull()).unpivot([F.col(y).alias("y")], [F.col(f).cast("double").alias(f) for f in features], "feature", "x").where("x is not null")
     cuts = long.groupBy("feature").agg(F.percentile("x", F.array(*map(F.lit, quantiles))).alias("t"))
-    cuts = cuts.select("feature", F.posexplode("t").alias("q", "threshold"))
-    both = long.join(F.broadcast(cuts), "feature").withColumn("op", F.when(F.col("x") >= F.col("threshold"), ">=").otherwise("<"))
-    stats = both.groupBy("feature", "q", "threshold", "op").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean_fwd"), F.avg((F.col("fwd") > 0).cast("int")).alias("pos_rate"), F.stddev_pop("fwd").alias("spread"))
-    return stats.where(F.col("n") >= least).withColumn("score", F.col("mean_fwd") - 0.5 * F.col("spread"))
+    several = long.groupBy("feature", "x").count().groupBy("feature").agg(F.count("*").alias("_values"))
+    cuts = cuts.join(several, "feature").where("_values >= 3").select("feature", F.posexplode("t").alias("q", "threshold"))
+    both = long.join(F.broadcast(cuts), "feature")
+    ops = F.array_compact(F.array(F.when(F.col("x") >= F.col("threshold"), F.lit(">=")), F.when(F.col("x") <= F.col("threshold"), F.lit("<="))))
+    r = F.col("y")
+    stats = both.select("feature", "q", "threshold", "y", F.explode(ops).alias("op")).groupBy("feature", "q", "threshold", "op").agg(
+        F.count("*").alias("n"), F.avg(r).alias("mean_fwd"), F.avg((r > 0).cast("int")).alias("pos_rate"), F.stddev_pop(r).alias("spread"), F.avg((r <= -5).cast("int")).alias("loss_rate")
+    )
+    stability = F.col("mean_fwd") - 0.5 * F.col("spread") - 10 * F.col("loss_rate")
+    return stats.where(F.col("n") >= least).withColumn("score", F.col("mean_fwd") + 10 * F.col("pos_rate") + 0.3 * stability - 0.05 * F.abs("spread"))
 
 
 def mask(rule: list[tuple[str, str, float]]) -> Column:
-    return reduce(lambda a, b: a & b, ((F.col(f) >= t) if op == ">=" else (F.col(f) < t) for f, op, t in rule), F.lit(True))
+    """Rows that meet all conditions; null meets none."""
+    return reduce(lambda a, b: a & b, (F.coalesce((F.col(f) >= t) if op == ">=" else (F.col(f) <= t), F.lit(False)) for f, op, t in rule), F.lit(True))
 
 
-def greedy(df: DataFrame, features: list[str], depth: int = 3, least: int = 30) -> list[tuple[str, str, float]]:
-    """Conditions that raise the score step by step: one job per depth, of which the driver sees
-    the best row."""
+def greedy(df: DataFrame, features: list[str], depth: int = 3, least: int = 30, y: str = "fwd") -> list[tuple[str, str, float]]:
+    """The best condition on all rows, then the best on those that are left, and so on: one job a
+    depth, of which the driver sees the best row. Equal scores go by the features' order."""
     rule: list[tuple[str, str, float]] = []
-    best = None
+    place = F.coalesce(*(F.when(F.col("feature") == f, F.lit(i)) for i, f in enumerate(features)))
     for _ in range(depth):
-        top = candidates(df.where(mask(rule)), features, least=least).orderBy(F.desc(F.round("score", 9)), "feature", "op", "q").first()
-        if top is None or (best is not None and top["score"] <= best):
+        top = candidates(df.where(mask(rule)), features, least=least, y=y).orderBy(F.desc(F.round("score", 9)), place, "q", F.desc("op")).first()
+        if top is None:
             break
-        best = top["score"]
         rule.append((top["feature"], top["op"], top["threshold"]))
     return rule
 

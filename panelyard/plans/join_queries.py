@@ -299,15 +299,16 @@ def s_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.where(major).unionByName(minor).select("event_id", "code", "date", "k", picking.content_id("event_id", "code", "event_type").alias("cid"))
 
 
-@query("""
-WITH a AS (SELECT doc_id, source, lang, left(regexp_replace(coalesce(text, ''), '\\s+', '', 'g'), 40) AS key FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang, key) AS copies FROM a)
+@query(r"""
+WITH a AS (SELECT doc_id, source, lang, sha256(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', '', 'g')) AS key FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang, key) AS copies FROM a)
 SELECT doc_id, lang, source, copies FROM r WHERE rn = 1
 """)
 def s_natural_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per language and title key, the first by id; the group's size comes from a
-    partial aggregate, so a large group of copies is not sorted in one task."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.withColumn("key", picking.title_key("text")).groupBy("lang", "key").agg(F.min(F.struct("doc_id", "source")).alias("r"), F.count("*").alias("copies")).select("r.doc_id", "lang", "r.source", "copies")
+    """One document per language and whole text without its white space, the first by id; the
+    group's size comes from a partial aggregate, so a large group of copies is not sorted in one
+    task."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", picking.content_key("text").alias("key"))
+    return docs.groupBy("lang", "key").agg(F.min(F.struct("doc_id", "source")).alias("r"), F.count("*").alias("copies")).select("r.doc_id", "lang", "r.source", "copies")
 
 
 @query("""

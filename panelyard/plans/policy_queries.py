@@ -104,13 +104,13 @@ def j_strategy_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {DECISIONS}, s AS (SELECT unnest(['original', 'adapted']) AS strategy, unnest([coalesce(relative_strength_rank >= 0.5, false), coalesce(prior_return_20d > 0 AND relative_strength_rank >= 0.67 AND close_above_ma200, false)]) AS hit, return_20d, gt_pass FROM d),
+WITH {DECISIONS}, s AS (SELECT unnest(['original', 'adapted']) AS strategy, unnest([coalesce(relative_strength_rank >= 0.5, false), coalesce(prior_return_20d > 0 AND relative_strength_rank >= 0.67 AND close_above_ma200, false){''.join(f" AND contains(';' || triggered_skills || ';', ';{s};')" for s in SKILLS)}]) AS hit, return_20d, gt_pass FROM d),
 a AS (SELECT strategy, count(*) AS n, avg(return_20d) AS r, avg(gt_pass::INT) AS p FROM s WHERE hit GROUP BY 1)
 SELECT strategy, n AS n_rows, round(r, 6) AS avg_return_20d, round(p, 6) AS gt_pass_rate, round(r - max(r) FILTER (strategy = 'original') OVER (), 6) AS return_delta, round(p - max(p) FILTER (strategy = 'original') OVER (), 6) AS pass_delta FROM a
 """)
 def a_strategy_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = decisions(spark, sf_dir)
-    names = F.array_compact(F.array(F.when(F.col("relative_strength_rank") >= 0.5, F.lit("original")), F.when(policy.adapted_mask([]), F.lit("adapted"))))
+    names = F.array_compact(F.array(F.when(F.col("relative_strength_rank") >= 0.5, F.lit("original")), F.when(policy.adapted_mask(SKILLS), F.lit("adapted"))))
     per = df.select("return_20d", "gt_pass", F.explode(names).alias("strategy")).groupBy("strategy").agg(F.count("*").alias("n_rows"), F.avg("return_20d").alias("avg_return_20d"), F.avg(F.col("gt_pass").cast("int")).alias("gt_pass_rate"))
     base = F.broadcast(per.where("strategy = 'original'").select(F.col("avg_return_20d").alias("r0"), F.col("gt_pass_rate").alias("p0")))  # one row
     return rounded(per.join(base).select("strategy", "n_rows", "avg_return_20d", "gt_pass_rate", (F.col("avg_return_20d") - F.col("r0")).alias("return_delta"), (F.col("gt_pass_rate") - F.col("p0")).alias("pass_delta")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.expr import rounded, safe_div
 from panelyard.operators import audit, calendar, cross, search, similar
+from panelyard.plans.signals import SIGNALS, signals
 from panelyard.plans.sql import EVENTS, PANEL
 from panelyard.plans.sql import rank_pct as rank_sql
 from panelyard.sources.tables import panel, stream_events, table
@@ -42,29 +43,41 @@ def l_formula_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.formula_grid(calendar.split(panel(spark, sf_dir))))
 
 
-_CANDIDATES = """l AS (SELECT fwd, unnest(['ret', 'ret3', 'volume']) AS feature, unnest([ret, ret3, volume]) AS x FROM {src} WHERE fwd IS NOT NULL),
-t AS (SELECT feature, unnest(range(0, 5)) AS q, unnest(quantile_cont(x, [0.2, 0.35, 0.5, 0.65, 0.8])) AS threshold FROM l WHERE x IS NOT NULL GROUP BY feature),
-c AS (SELECT feature, q, threshold, CASE WHEN x >= threshold THEN '>=' ELSE '<' END AS op, fwd FROM l JOIN t USING (feature) WHERE x IS NOT NULL)
-SELECT feature, q::INT AS q, round(threshold, 6) AS threshold, op, count(*) AS n, round(avg(fwd), 6) AS mean_fwd, round(avg((fwd > 0)::INT), 6) AS pos_rate, round(stddev_pop(fwd), 6) AS spread, round(avg(fwd) - 0.5 * stddev_pop(fwd), 6) AS score
-FROM c GROUP BY feature, q, threshold, op HAVING count(*) >= 30"""
+#: What rules are learned of; the order decides between equal scores.
+TREE_FEATURES = """total_score trend_score book_score counter_score prior_return_20d relative_strength_rank rsi14 volume_ratio20 drawdown60 ma200_slope20 atr20_pct news_net_materiality_30d news_risk_event_score_30d news_opportunity_score
+news_evidence_quality news_conflict_intensity_30d peer_group_avg_return_20d peer_relative_to_group_20d peer_group_positive_breadth_20d peer_group_above_ma200_rate peer_group_news_risk_avg peer_group_news_opportunity_avg""".split()
+_LEAST, _TRAIN = 80, "year(date) <= 1999"
+_LONG = f"""{SIGNALS}, gr AS (SELECT row_number() OVER (ORDER BY code, date) AS r, * FROM sg WHERE return_20d IS NOT NULL AND {_TRAIN}),
+gl AS MATERIALIZED (SELECT r, return_20d AS y, unnest([{', '.join(f"'{f}'" for f in TREE_FEATURES)}]) AS feature, unnest(range({len(TREE_FEATURES)})) AS place, unnest([{', '.join(f'{f}::DOUBLE' for f in TREE_FEATURES)}]) AS x FROM gr)"""
 
 
-@query(f"WITH {PANEL}, {_CANDIDATES.format(src='panel')}")
+def _step(k: int, rows: str) -> str:
+    """Candidates c<k> on rows, and the best of them, b<k>."""
+    return f"""l{k} AS (SELECT * FROM gl WHERE x IS NOT NULL AND r IN (SELECT r FROM {rows})),
+t{k} AS (SELECT feature, unnest(range(0, 5)) AS q, unnest(quantile_cont(x, [0.2, 0.35, 0.5, 0.65, 0.8])) AS threshold FROM l{k} GROUP BY feature HAVING count(DISTINCT x) >= 3),
+o{k} AS (SELECT l.feature, place, q, threshold, y, unnest(list_filter([CASE WHEN x >= threshold THEN '>=' END, CASE WHEN x <= threshold THEN '<=' END], lambda o: o IS NOT NULL)) AS op FROM l{k} l JOIN t{k} t ON l.feature = t.feature),
+c{k} AS (SELECT feature, place, q, threshold, op, count(*) AS n, avg(y) AS mean_fwd, avg((y > 0)::INT) AS pos_rate, stddev_pop(y) AS spread, avg(y) + 10 * avg((y > 0)::INT) + 0.3 * (avg(y) - 0.5 * stddev_pop(y) - 10 * avg((y <= -5)::INT)) - 0.05 * stddev_pop(y) AS score FROM o{k} GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= {_LEAST}),
+b{k} AS (SELECT * FROM c{k} ORDER BY round(score, 9) DESC, place, q, op DESC LIMIT 1)"""
+
+
+@query(f"WITH {_LONG}, {_step(1, 'gr')} SELECT feature, q::INT AS q, round(threshold, 6) AS threshold, op, n, round(mean_fwd, 6) AS mean_fwd, round(pos_rate, 6) AS pos_rate, round(spread, 6) AS spread, round(score, 6) AS score FROM c1")
 def l_rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.candidates(panel(spark, sf_dir), FEATURES))
+    """Every threshold rule of the training rows, both ways."""
+    out = search.candidates(signals(spark, sf_dir).where("year(date) <= 1999"), TREE_FEATURES, least=_LEAST, y="return_20d")
+    return rounded(out.select("feature", "q", "threshold", "op", "n", "mean_fwd", "pos_rate", "spread", "score"))
 
 
-def l_greedy_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The learned conjunction's result on both parts of the time split (each step depends on the
-    one before, so no SQL)."""
-    rows = calendar.split(panel(spark, sf_dir))
-    rule = search.greedy(rows.where("part = 'train'"), FEATURES)
-    name = " and ".join(f"{f} {op} {t:.4f}" for f, op, t in rule)
-    kept = rows.where(search.mask(rule)).where("fwd is not null")
-    return rounded(kept.groupBy("part").agg(F.lit(name).alias("rule"), F.count("*").alias("n"), F.avg("fwd").alias("mean_fwd"), F.avg((F.col("fwd") > 0).cast("int")).alias("pos_rate")))
+_MET = lambda k, rows: f"m{k} AS (SELECT r FROM {rows} SEMI JOIN (SELECT l.r FROM ga l JOIN b{k} b ON l.feature = b.feature AND CASE WHEN b.op = '>=' THEN l.x >= b.threshold ELSE l.x <= b.threshold END) USING (r))"
+_TREE = f"""{_LONG}, ga AS (SELECT r, feature, x FROM gl WHERE x IS NOT NULL),
+{_step(1, 'gr')}, {_MET(1, 'gr')}, {_step(2, 'm1')}, {_MET(2, 'm1')}, {_step(3, 'm2')},
+ru AS (SELECT 1 AS depth, feature, op, threshold, n, score FROM b1 UNION ALL SELECT 2, feature, op, threshold, n, score FROM b2 UNION ALL SELECT 3, feature, op, threshold, n, score FROM b3)"""
 
 
-QUERIES["l_greedy_rule"] = l_greedy_rule
+@query(f"WITH {_TREE} SELECT depth, feature, op, round(threshold, 6) AS threshold FROM ru")
+def l_greedy_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conjunction that is learned condition by condition on the training rows."""
+    rule = search.greedy(signals(spark, sf_dir).where("year(date) <= 1999"), TREE_FEATURES, least=_LEAST, y="return_20d")
+    return rounded(spark.createDataFrame([(i, *c) for i, c in enumerate(rule, 1)], "depth int, feature string, op string, threshold double"))
 
 
 @query(f"""

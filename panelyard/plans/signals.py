@@ -68,7 +68,7 @@ def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators at the last bar of each code and month."""
     w = by_code()
     back = lambda n: 100 * (F.col("close") / F.lag("close", n).over(w) - 1)
-    day = indicators.trend(bars(spark, sf_dir)).withColumns({"_r": back(1), "_step": F.col("close") - F.lag("close").over(w)})
+    day = indicators.trend(bars(spark, sf_dir)).withColumns({"_ma200": full(F.avg("close").over(last_n(200)), "close", 200), "_r": back(1), "_step": F.col("close") - F.lag("close").over(w)})
     day = day.withColumn("_turn", F.coalesce((F.signum("_step") * F.lag(F.signum("_step")).over(w) < 0).cast("int"), F.lit(0)))
     spread = lambda n: full(F.stddev_pop("_r").over(last_n(n)), "_r", n)
     path = full(F.sum(F.abs("_step")).over(last_n(20)), "_step", 20)
@@ -76,9 +76,9 @@ def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.row_number().over(Window.partitionBy("code", F.trunc("date", "month")).orderBy(F.desc("date")))
     out = day.select(
         "code", F.trunc("date", "month").alias("date"), "close", F.col("ret20").alias("prior_return_20d"), back(3).alias("kline_return_3d"), back(5).alias("kline_return_5d"), back(60).alias("kline_return_60d"), back(120).alias("kline_return_120d"), "rsi14",
-        (100 * F.col("atr20") / F.col("close")).alias("atr20_pct"), "drawdown60", (F.col("close") > full(F.avg("close").over(last_n(200)), "close", 200)).alias("close_above_ma200"),
+        (100 * F.col("atr20") / F.col("close")).alias("atr20_pct"), "drawdown60", (F.col("close") > F.col("_ma200")).alias("close_above_ma200"),
         safe_div(F.abs(F.col("close") - F.lag("close", 20).over(w)), path).alias("kline_efficiency_20d"), full(F.avg("_turn").over(last_n(20)), "_step", 20).alias("kline_reversal_rate_20d"),
-        safe_div(spread(20), spread(60)).alias("kline_volatility_ratio_20_60"), safe_div(spread(3), spread(20)).alias("kline_volatility_ratio_3_20"), around.alias("_around"), last.alias("_last"),
+        safe_div(spread(20), spread(60)).alias("kline_volatility_ratio_20_60"), safe_div(spread(3), spread(20)).alias("kline_volatility_ratio_3_20"), F.col("volume_ratio").alias("volume_ratio20"), (100 * (F.col("_ma200") / F.lag("_ma200", 20).over(w) - 1)).alias("ma200_slope20"), around.alias("_around"), last.alias("_last"),
     ).where("_last = 1")
     volume = lambda test: F.aggregate(F.filter("_around", test), F.lit(0.0), lambda a, x: a + x["volume"])
     c = F.col("close")
@@ -131,6 +131,8 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
             "area_positive_breadth_20d": breadth(region),
             "peer_group_above_ma200_rate": F.avg(F.col("close_above_ma200").cast("int")).over(g),
             "peer_group_news_risk_avg": F.avg("news_warning_score").over(g),
+            "peer_group_news_opportunity_avg": F.avg("news_opportunity_score").over(g),
+            "peer_group_avg_return_20d": x - ahead(g),
             "relative_strength_rank": rank_pct("prior_return_20d", "date"),
             "pool_excess_20d": F.col("return_20d") - F.avg("return_20d").over(Window.partitionBy("date")),
         }
@@ -147,6 +149,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "trend_score": trend,
             "counter_score": counter,
+            "book_score": 2.0 * sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0)),
             "total_score": F.round(0.5 * trend + 0.3 * counter + 2 * F.coalesce("relative_strength_rank", F.lit(0.5)), 9),
             "triggered_skills": F.concat_ws(";", *(F.when(t, F.lit(s)) for t, s in zip(tests, SKILLS))),
             "data_gaps": F.when((c("news_count_30d") == 0) & (c("financial_report_event_count") == 0), GAP).otherwise(""),
@@ -163,6 +166,10 @@ def _full(expr: str, x: str, n: int) -> str:
     return f"CASE WHEN count({x}) {w} = {n} THEN {expr} {w} END"
 
 
+#: What triggers the SKILLS, in their order.
+_TESTS = ("prior_return_20d > 0", "relative_strength_rank >= 0.5", "close_above_ma200", "news_opportunity_score >= 0.5", "drawdown60 < -10", "rsi14 < 30")
+
+
 def _fold(test: str) -> str:
     return f"coalesce(list_sum(list_transform(list_filter(around, lambda x: {test}), lambda x: x.volume)), 0.0)"
 
@@ -195,10 +202,11 @@ sb AS (SELECT *, CASE WHEN before IS NOT NULL THEN greatest(close - before, 0.0)
 sc0 AS (SELECT *, {_full('avg(up)', 'up', 14)} AS g, {_full('avg(down)', 'down', 14)} AS l, {_full('avg(reach)', 'reach', 20)} AS atr20, {_full('max(close)', 'close', 60)} AS top, {_full('avg(close)', 'close', 200)} AS ma200,
   list(struct_pack(close := close, volume := volume)) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {NEAR - 1} PRECEDING AND CURRENT ROW) AS around, row_number() OVER (PARTITION BY code, date_trunc('month', date) ORDER BY date DESC) AS last_,
   {', '.join(f'100 * (close / lag(close, {n}) OVER (PARTITION BY code ORDER BY date) - 1) AS ' + name for n, name in ((20, 'prior_return_20d'), (3, 'kline_return_3d'), (5, 'kline_return_5d'), (60, 'kline_return_60d'), (120, 'kline_return_120d')))},
-  {_full('stddev_pop(r)', 'r', 3)} AS v3, {_full('stddev_pop(r)', 'r', 20)} AS v20, {_full('stddev_pop(r)', 'r', 60)} AS v60, {_full('sum(abs(step))', 'step', 20)} AS path, {_full('avg(turn)', 'step', 20)} AS kline_reversal_rate_20d, abs(close - lag(close, 20) OVER (PARTITION BY code ORDER BY date)) AS went FROM sb),
-sc1 AS (SELECT *, {_fold('x.volume >= 0')} AS whole, list_min(list_transform(around, lambda x: x.close)) AS lo, list_max(list_transform(around, lambda x: x.close)) AS hi, list_sum(list_transform(around, lambda x: x.close * x.volume)) AS cost FROM sc0 WHERE last_ = 1),
+  {_full('stddev_pop(r)', 'r', 3)} AS v3, {_full('stddev_pop(r)', 'r', 20)} AS v20, {_full('stddev_pop(r)', 'r', 60)} AS v60, {_full('sum(abs(step))', 'step', 20)} AS path, {_full('avg(turn)', 'step', 20)} AS kline_reversal_rate_20d, volume / nullif({_full('avg(volume)', 'volume', 20)}, 0) AS volume_ratio20, abs(close - lag(close, 20) OVER (PARTITION BY code ORDER BY date)) AS went FROM sb),
+sc01 AS (SELECT *, 100 * (ma200 / lag(ma200, 20) OVER (PARTITION BY code ORDER BY date) - 1) AS ma200_slope20 FROM sc0),
+sc1 AS (SELECT *, {_fold('x.volume >= 0')} AS whole, list_min(list_transform(around, lambda x: x.close)) AS lo, list_max(list_transform(around, lambda x: x.close)) AS hi, list_sum(list_transform(around, lambda x: x.close * x.volume)) AS cost FROM sc01 WHERE last_ = 1),
 sd AS (SELECT code, date_trunc('month', date)::DATE AS date, prior_return_20d, kline_return_3d, kline_return_5d, kline_return_60d, kline_return_120d, CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) END AS rsi14, 100 * atr20 / close AS atr20_pct, 100 * (close / top - 1) AS drawdown60, close > ma200 AS close_above_ma200,
-  CASE WHEN abs(path) > 1e-12 THEN went / path END AS kline_efficiency_20d, kline_reversal_rate_20d, CASE WHEN abs(v60) > 1e-12 THEN v20 / v60 END AS kline_volatility_ratio_20_60, CASE WHEN abs(v20) > 1e-12 THEN v3 / v20 END AS kline_volatility_ratio_3_20,
+  CASE WHEN abs(path) > 1e-12 THEN went / path END AS kline_efficiency_20d, kline_reversal_rate_20d, CASE WHEN abs(v60) > 1e-12 THEN v20 / v60 END AS kline_volatility_ratio_20_60, CASE WHEN abs(v20) > 1e-12 THEN v3 / v20 END AS kline_volatility_ratio_3_20, volume_ratio20, ma200_slope20,
   {_fold('x.close > 1.1 * close')} / whole AS upper_overhang, {_fold('x.close BETWEEN 0.9 * close AND close')} / whole AS lower_support, 100 * {_fold('x.close <= close')} / whole AS winner_rate_pct, (hi - lo) / close AS cost_band_width,
   CASE WHEN abs(hi - lo) > 1e-12 THEN (close - lo) / (hi - lo) END AS chip_range_position, CASE WHEN abs(hi - lo) > 1e-12 THEN (cost / whole - lo) / (hi - lo) END AS cost_position FROM sc1),
 se0 AS (SELECT user_id AS code, date_trunc('month', to_timestamp((epoch(DATE '{BARS_FROM}') + (epoch_us(ts) / 1e6 - epoch(DATE '{EVENTS_FROM}')) * {STRETCH})::DOUBLE))::DATE AS date, event_type, CAST(value AS DECIMAL(18,4)) AS value FROM events),
@@ -214,12 +222,12 @@ sg1 AS (SELECT *, CASE WHEN prior_return_20d IS NOT NULL AND count(prior_return_
   CASE WHEN prior_return_20d IS NOT NULL AND count(prior_return_20d) OVER g > 1 THEN (sum((prior_return_20d > 0)::INT) OVER g - (prior_return_20d > 0)::INT) / (count(prior_return_20d) OVER g - 1) END AS peer_group_positive_breadth_20d,
   CASE WHEN prior_return_20d IS NOT NULL AND count(prior_return_20d) OVER a > 1 THEN prior_return_20d - (sum(prior_return_20d) OVER a - prior_return_20d) / (count(prior_return_20d) OVER a - 1) END AS area_relative_return_20d,
   CASE WHEN prior_return_20d IS NOT NULL AND count(prior_return_20d) OVER a > 1 THEN (sum((prior_return_20d > 0)::INT) OVER a - (prior_return_20d > 0)::INT) / (count(prior_return_20d) OVER a - 1) END AS area_positive_breadth_20d,
-  avg(close_above_ma200::INT) OVER g AS peer_group_above_ma200_rate, avg(news_warning_score) OVER g AS peer_group_news_risk_avg, {rank_sql('prior_return_20d', 'date')} AS relative_strength_rank, return_20d - avg(return_20d) OVER (PARTITION BY date) AS pool_excess_20d,
+  avg(close_above_ma200::INT) OVER g AS peer_group_above_ma200_rate, avg(news_warning_score) OVER g AS peer_group_news_risk_avg, avg(news_opportunity_score) OVER g AS peer_group_news_opportunity_avg, {rank_sql('prior_return_20d', 'date')} AS relative_strength_rank, return_20d - avg(return_20d) OVER (PARTITION BY date) AS pool_excess_20d,
   round(0.5 * coalesce({rank_sql('prior_return_20d', 'date')}, 0.5) + 0.3 * coalesce({rank_sql('kline_return_60d', 'date')}, 0.5) + 0.2 * coalesce({rank_sql('drawdown60', 'date')}, 0.5), 9) AS score_
  FROM sg0 WINDOW g AS (PARTITION BY date, industry), a AS (PARTITION BY date, area)),
-sg AS (SELECT * EXCLUDE (score_), round(least(1.0, greatest(0.0, 0.3 + 0.4 * coalesce(relative_strength_rank, 0.5) + 0.08 * coalesce(news_opportunity_score, 0) - 0.12 * coalesce(news_warning_score, 0) + 0.1 * coalesce(lower_support, 0))), 9) AS agent_policy_score,
+sg AS (SELECT * EXCLUDE (score_), prior_return_20d - peer_relative_to_group_20d AS peer_group_avg_return_20d, 2.0 * ({' + '.join(f'coalesce({t}, false)::INT' for t in _TESTS)}) AS book_score, round(least(1.0, greatest(0.0, 0.3 + 0.4 * coalesce(relative_strength_rank, 0.5) + 0.08 * coalesce(news_opportunity_score, 0) - 0.12 * coalesce(news_warning_score, 0) + 0.1 * coalesce(lower_support, 0))), 9) AS agent_policy_score,
   least(10.0, greatest(0.0, 5 + coalesce(kline_return_60d, 0) / 4)) AS trend_score, least(10.0, greatest(0.0, 5 + 5 * (coalesce(lower_support, 0) - coalesce(upper_overhang, 0)))) AS counter_score,
   round(0.5 * least(10.0, greatest(0.0, 5 + coalesce(kline_return_60d, 0) / 4)) + 0.3 * least(10.0, greatest(0.0, 5 + 5 * (coalesce(lower_support, 0) - coalesce(upper_overhang, 0)))) + 2 * coalesce(relative_strength_rank, 0.5), 9) AS total_score,
-  concat_ws(';', {', '.join(f"CASE WHEN {t} THEN '{s}' END" for t, s in zip(('prior_return_20d > 0', 'relative_strength_rank >= 0.5', 'close_above_ma200', 'news_opportunity_score >= 0.5', 'drawdown60 < -10', 'rsi14 < 30'), SKILLS))}) AS triggered_skills,
+  concat_ws(';', {', '.join(f"CASE WHEN {t} THEN '{s}' END" for t, s in zip(_TESTS, SKILLS))}) AS triggered_skills,
   CASE WHEN news_count_30d = 0 AND financial_report_event_count = 0 THEN '{GAP}' ELSE '' END AS data_gaps, {rank_sql('return_20d', 'date')} AS pool_return_rank_pct, CASE WHEN area = 'ASIA' THEN 'star_technology' ELSE 'other' END AS sector_group,
   {rank_sql('score_', 'date')} AS rev_chip_score_quantile, 'H' || year(date) || CASE WHEN month(date) <= 6 THEN '_1' ELSE '_2' END AS time_block FROM sg1)"""

@@ -54,8 +54,8 @@ _PRIORITY = "CASE WHEN event_type = 'error' AND value >= 90 THEN 3 ELSE 1 END"
 
 
 @query(f"""
-WITH t AS (SELECT user_id AS code, event_id AS id, ts AS at, {_PRIORITY} AS priority, value AS strength FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY code, date_trunc('week', at), priority >= 3 ORDER BY strength DESC, at, id) AS i FROM t)
+WITH t AS (SELECT user_id AS code, event_id AS id, ts AS seen, {_PRIORITY} AS priority, value AS strength FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY code, date_trunc('week', seen), priority >= 3 ORDER BY strength DESC, seen, id) AS i FROM t)
 SELECT code, id, priority, round(strength, 6) AS strength FROM r WHERE priority >= 3 OR i = 1
 """)
 def st_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,9 @@ _DAYS = 5
 
 
 @query(f"""
-WITH d AS (SELECT DISTINCT user_id AS code, unnest([TIMESTAMP '2024-01-10 12:00:00', TIMESTAMP '2024-01-20 12:00:00', TIMESTAMP '2024-01-30 12:00:00']) AS at FROM events),
-j AS (SELECT d.code, d.at, event_id FROM d LEFT JOIN events e ON e.user_id = d.code AND e.ts <= d.at AND e.ts >= d.at - INTERVAL {_DAYS} DAY)
-SELECT code, day(at) AS day, count(event_id) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM j GROUP BY 1, 2
+WITH d AS (SELECT DISTINCT user_id AS code, unnest([TIMESTAMP '2024-01-10 12:00:00', TIMESTAMP '2024-01-20 12:00:00', TIMESTAMP '2024-01-30 12:00:00']) AS seen FROM events),
+j AS (SELECT d.code, d.seen, event_id FROM d LEFT JOIN events e ON e.user_id = d.code AND e.ts <= d.seen AND e.ts >= d.seen - INTERVAL {_DAYS} DAY)
+SELECT code, day(seen) AS day, count(event_id) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM j GROUP BY 1, 2
 """)
 def st_decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions joined as a stream with the stream of events that were known in the days before."""

@@ -135,7 +135,8 @@ def a_family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = f"""{DECISIONS}, k AS (SELECT time_block, date, code, return_20d, counter_score AS score, pool_excess_20d, row_number() OVER (PARTITION BY date ORDER BY counter_score DESC NULLS LAST, code) AS r, count(*) OVER (PARTITION BY date) AS n,
   {rank_sql('counter_score', 'date')} AS rx, {rank_sql('return_20d', 'date')} AS ry FROM d WHERE return_20d IS NOT NULL AND counter_score IS NOT NULL),
 day AS (SELECT time_block, date, corr(rx, ry) AS ic, avg(return_20d) AS pool, avg(return_20d) FILTER (r <= ceil(0.1 * n)) AS top, avg(return_20d) FILTER (r > n - ceil(0.1 * n)) AS bottom, count(*) AS n_rows, count(*) FILTER (return_20d > 0) AS np, count(*) FILTER (return_20d <= -5) AS nl, count(*) FILTER (r <= ceil(0.1 * n) AND return_20d > 0) AS tp, count(*) FILTER (r <= ceil(0.1 * n)) AS nt FROM k GROUP BY 1, 2),
-blk AS (SELECT time_block, count(*) AS n_dates, sum(n_rows)::BIGINT AS n_rows, avg(ic) AS mean_rank_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg((ic > 0)::INT) AS ic_positive_rate, avg(pool) AS base_return, sum(np) / sum(n_rows) AS base_pos, sum(nl) / sum(n_rows) AS loss_gt5_rate, avg(top - bottom) AS topk_bottomk_gross, avg(top - pool) AS pool_excess_gross, avg(top - pool) - 1.5 AS pool_excess_net, sum(tp) / sum(nt) AS top_precision, avg((top > 0)::INT) AS top_positive_rate FROM day GROUP BY 1)"""
+blk AS (SELECT time_block, count(*) AS n_dates, sum(n_rows)::BIGINT AS n_rows, avg(ic) AS mean_rank_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg((ic > 0)::INT) AS ic_positive_rate, avg(pool) AS base_return, sum(np) / sum(n_rows) AS base_pos, sum(nl) / sum(n_rows) AS loss_gt5_rate, avg(top - bottom) AS topk_bottomk_gross, avg(top - pool) AS pool_excess_gross, avg(top - pool) - 1.5 AS pool_excess_net, sum(tp) / sum(nt) AS top_precision, avg((top > 0)::INT) AS top_positive_rate FROM day GROUP BY 1),
+cn AS (SELECT time_block, max(n) / sum(n) AS concentration FROM (SELECT time_block, code, count(*) AS n FROM k WHERE r <= ceil(0.1 * n) GROUP BY 1, 2) GROUP BY 1)"""
 
 
 def _block_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,15 +146,18 @@ def _block_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(w.orderBy(F.desc("score"), "code"))
     marked = df.select("*", rank_pct("score", "date").alias("rx"), rank_pct("return_20d", "date").alias("ry"), (rank <= k).alias("in_top"), (rank > F.count("*").over(w) - k).alias("in_bottom"))
     r = F.col("return_20d")
+    # how large a share of a block's picks its most frequent code has
+    share = marked.where("in_top").groupBy("time_block", "code").count().groupBy("time_block").agg((F.max("count") / F.sum("count")).alias("concentration"))
     day = marked.groupBy("time_block", "date").agg(
         F.corr("rx", "ry").alias("ic"), F.avg(r).alias("pool"), F.avg(F.when(F.col("in_top"), r)).alias("top"), F.avg(F.when(F.col("in_bottom"), r)).alias("bottom"), F.count("*").alias("n_rows"),
         F.count_if(r > 0).alias("np"), F.count_if(r <= -5).alias("nl"), F.count_if(F.col("in_top") & (r > 0)).alias("tp"), F.count_if(F.col("in_top")).alias("nt"),
     )
-    return day.groupBy("time_block").agg(
+    blocks = day.groupBy("time_block").agg(
         F.count("*").alias("n_dates"), F.sum("n_rows").alias("n_rows"), F.avg("ic").alias("mean_rank_ic"), (F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0))).alias("icir"), F.avg((F.col("ic") > 0).cast("int")).alias("ic_positive_rate"),
         F.avg("pool").alias("base_return"), (F.sum("np") / F.sum("n_rows")).alias("base_pos"), (F.sum("nl") / F.sum("n_rows")).alias("loss_gt5_rate"), F.avg(F.col("top") - F.col("bottom")).alias("topk_bottomk_gross"),
         F.avg(F.col("top") - F.col("pool")).alias("pool_excess_gross"), (F.avg(F.col("top") - F.col("pool")) - 1.5).alias("pool_excess_net"), (F.sum("tp") / F.sum("nt")).alias("top_precision"), F.avg((F.col("top") > 0).cast("int")).alias("top_positive_rate"),
     )
+    return blocks.join(share, "time_block", "left")
 
 
 _METRICS = ["mean_rank_ic", "icir", "ic_positive_rate", "base_return", "base_pos", "loss_gt5_rate", "topk_bottomk_gross", "pool_excess_gross", "pool_excess_net", "top_precision", "top_positive_rate"]
@@ -161,7 +165,7 @@ _METRICS = ["mean_rank_ic", "icir", "ic_positive_rate", "base_return", "base_pos
 
 @query(f"WITH {_BLOCKS} SELECT time_block, n_dates, n_rows, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)} FROM blk")
 def m_block_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_block_metrics(spark, sf_dir))
+    return rounded(_block_metrics(spark, sf_dir).drop("concentration"))
 
 
 @query(f"""
@@ -179,17 +183,17 @@ def a_oos_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_BLOCKS}, b AS (SELECT *, row_number() OVER (ORDER BY time_block) AS i, count(*) OVER () AS n FROM blk),
-s AS (SELECT t.time_block, t.pool_excess_net AS last_net, t.top_positive_rate AS last_pos, t.mean_rank_ic AS last_ic, (SELECT avg(p.pool_excess_net) FROM b p WHERE p.i < t.i) AS prior_net, (SELECT avg(p.top_positive_rate) FROM b p WHERE p.i < t.i) AS prior_pos, (SELECT avg(p.mean_rank_ic) FROM b p WHERE p.i < t.i) AS prior_ic FROM b t)
-SELECT time_block, round(prior_net, 6) AS prior_net, round(last_net, 6) AS last_net, CASE WHEN prior_net IS NULL OR last_net IS NULL THEN 'observe_insufficient_blocks'
- WHEN prior_net > 0 AND last_net > 0 AND prior_pos >= 0.6 AND last_pos >= 0.6 AND prior_ic >= 0.03 AND last_ic >= 0.03 THEN 'accepted_cost_recheck_candidate' WHEN last_net > 0 AND last_pos >= 0.6 AND last_ic >= 0.03 THEN 'observe_latest_positive_prior_weak'
+s AS (SELECT t.time_block, t.pool_excess_net AS last_net, t.top_positive_rate AS last_pos, t.mean_rank_ic AS last_ic, (SELECT avg(p.pool_excess_net) FROM b p WHERE p.i < t.i) AS prior_net, (SELECT avg(p.top_positive_rate) FROM b p WHERE p.i < t.i) AS prior_pos, (SELECT avg(p.mean_rank_ic) FROM b p WHERE p.i < t.i) AS prior_ic, concentration FROM b t LEFT JOIN cn USING (time_block))
+SELECT time_block, round(prior_net, 6) AS prior_net, round(last_net, 6) AS last_net, round(concentration, 6) AS concentration, CASE WHEN prior_net IS NULL OR last_net IS NULL THEN 'observe_insufficient_blocks'
+ WHEN prior_net > 0 AND last_net > 0 AND prior_pos >= 0.6 AND last_pos >= 0.6 AND prior_ic >= 0.03 AND last_ic >= 0.03 AND coalesce(concentration <= 0.25, true) THEN 'accepted_cost_recheck_candidate' WHEN last_net > 0 AND last_pos >= 0.6 AND last_ic >= 0.03 THEN 'observe_latest_positive_prior_weak'
  WHEN prior_net > 0 AND prior_pos >= 0.6 AND prior_ic >= 0.03 THEN 'observe_prior_positive_latest_weak' ELSE 'rejected_or_diagnostic_only' END AS status FROM s
 """)
 def m_promotion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each block: do the blocks before it and itself agree?"""
     past = Window.orderBy("time_block").rowsBetween(Window.unboundedPreceding, -1)  # over a few blocks
-    own = _block_metrics(spark, sf_dir).select("time_block", F.col("pool_excess_net").alias("last_net"), F.col("top_positive_rate").alias("last_pos"), F.col("mean_rank_ic").alias("last_ic"), F.avg("pool_excess_net").over(past).alias("prior_net"), F.avg("top_positive_rate").over(past).alias("prior_pos"), F.avg("mean_rank_ic").over(past).alias("prior_ic"), F.lit(None).cast("double").alias("concentration"))
+    own = _block_metrics(spark, sf_dir).select("time_block", F.col("pool_excess_net").alias("last_net"), F.col("top_positive_rate").alias("last_pos"), F.col("mean_rank_ic").alias("last_ic"), F.avg("pool_excess_net").over(past).alias("prior_net"), F.avg("top_positive_rate").over(past).alias("prior_pos"), F.avg("mean_rank_ic").over(past).alias("prior_ic"), "concentration")
     status = walkforward.turnover_status("prior_net", "last_net", "prior_pos", "last_pos", "prior_ic", "last_ic", "concentration")
-    return rounded(own.select("time_block", "prior_net", "last_net", status.alias("status")))
+    return rounded(own.select("time_block", "prior_net", "last_net", "concentration", status.alias("status")))
 
 
 @query(f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,7 +79,7 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUIRED = ("date", "open", "high", "low", "close", "volume", "amount")
 
 
-def csv_bars(spark: SparkSession, path: str, aliases: dict[str, str] | None = None, skip_unreadable: bool = False) -> DataFrame:
+def csv_bars(spark: SparkSession, path: str | list[str], aliases: dict[str, str] | None = None, skip_unreadable: bool = False) -> DataFrame:
     """Daily bars from CSV (one file, a folder or a glob, gzip by name) under one declared schema:
     bad numbers become null, rows without date or close are dropped, and a missing required column
     is an error. Damaged files are an error too unless skip_unreadable."""
@@ -113,10 +115,19 @@ def union_by_key(tables: list[DataFrame], keys: list[str]) -> DataFrame:
     return whole.groupBy(*keys).agg(first).select(*keys, *(F.col(f"_first.{c}").alias(c) for c in rest))
 
 
-def keyed_csv(spark: SparkSession, folder: str, codes: list[str] | None = None) -> DataFrame:
-    """A folder with a file per code; the code is the file's name."""
-    rows = csv_bars(spark, f"{folder}/*.csv*").withColumn("code", F.regexp_extract(F.input_file_name(), r"([^/]+?)\.csv(\.gz)?$", 1))
-    return rows.where(F.col("code").isin(codes)) if codes is not None else rows
+def keyed_csv(spark: SparkSession, folder: str, codes: list[str] | None = None, aliases: dict[str, str] | None = None, skip_unreadable: bool = False) -> DataFrame:
+    """A folder with a file per code; the code is the file's name. With codes, only the files that
+    have their names are opened; codes without a file have no rows."""
+    name = r"([^/]+?)\.csv(\.gz)?$"
+    paths = f"{folder}/*.csv*"
+    if codes is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there = [str(f.getPath()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+        found = ((re.search(name, path), path) for path in there)
+        paths = [path for m, path in found if m and m[1] in set(codes)]
+        if not paths:
+            return spark.createDataFrame([], T.StructType([*(f for f in BAR_SCHEMA if f.name != "code"), T.StructField("code", T.StringType())]))
+    return csv_bars(spark, paths, aliases, skip_unreadable).withColumn("code", F.regexp_extract(F.input_file_name(), name, 1))
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:

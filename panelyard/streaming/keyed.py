@@ -41,7 +41,7 @@ class Positions(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "target double, at timestamp")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.last.get() if self.last.exists() else None
         before, seen = (float(known[0]), pd.Timestamp(known[1])) if known else (0.0, pd.Timestamp.min)
         batch = pd.concat(list(rows)).sort_values("at", kind="stable")
@@ -59,7 +59,7 @@ class Positions(StatefulProcessor):
             self.handle.registerTimer(int((seen + pd.Timedelta(days=KEEP_DAYS)).timestamp() * 1000))
         yield pd.DataFrame(out, columns=["code", "at", "target", "action"])
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         target, at = self.last.get()
         self.last.clear()
         rows = [(key[0], pd.Timestamp(at) + pd.Timedelta(days=KEEP_DAYS), 0.0, "expired")] if target > 0 else []
@@ -83,7 +83,7 @@ class Cooldown(StatefulProcessor):
         self.handle = handle
         self.best = handle.getValueState("best", "id long, at timestamp, priority int, strength double")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         major = batch["priority"] >= MAJOR
         rest = batch[~major][["id", "at", "priority", "strength"]]
@@ -98,7 +98,7 @@ class Cooldown(StatefulProcessor):
             self.best.update((int(i), pd.Timestamp(at).to_pydatetime(), int(priority), float(strength)))
         yield batch[major].assign(code=key[0])[["code", "id", "at", "priority", "strength"]]
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         i, at, priority, strength = self.best.get()
         self.best.clear()
         yield pd.DataFrame([(key[0], i, pd.Timestamp(at), priority, strength)], columns=["code", "id", "at", "priority", "strength"])

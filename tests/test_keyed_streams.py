@@ -16,9 +16,9 @@ def test_positions_over_restarts_late_rows_and_expiry(spark):
     rows = [(1, at(1), 0.8, False), (1, at(2), 0.0, True), (1, at(3), 0.0, True), (1, at(4), 0.35, False), (1, at(5), 0.0, False), (1, at(6), 0.0, True), (2, at(1), 0.35, False), (3, at(30), 0.6, False)]
     late = [(1, at(2), 0.35, False)]
     df = spark.createDataFrame([(*r, r[1].month + 12 * (r[1].year - 2020)) for r in rows], "code long, at timestamp, first double, keeps boolean, part int")
-    df = df.unionByName(spark.createDataFrame([(*late[0], 5)], df.schema))
     out = keyed.run_in_parts([(df.drop("part"), F.lit(0))], keyed.positions, "once")  # all in one batch
     once = sorted(map(tuple, out.where("action <> 'expired'").collect()))
+    df = df.unionByName(spark.createDataFrame([(*late[0], 5)], df.schema))
     parts = df.withColumn("n", F.col("part"))
     source = [(parts.select("code", "at", "first", "keeps", "n"), F.col("n"))]
     got = sorted(map(tuple, keyed.run_in_parts(source, lambda s: keyed.positions(s.drop("n")), "parts").collect()))
@@ -29,7 +29,7 @@ def test_positions_over_restarts_late_rows_and_expiry(spark):
 
 
 def test_cooldown_passes_majors_and_the_weeks_best(spark):
-    day = lambda d, h=0: dt.datetime(2024, 1, 1 + d, h)  # noqa: E731  a Monday
+    day = lambda d, h=0: dt.datetime(2024, 1, 1, h) + dt.timedelta(days=d)  # noqa: E731  a Monday
     rows = [(1, 1, day(0), 1, 5.0), (1, 2, day(2), 1, 7.0), (1, 3, day(3), 3, 1.0), (1, 4, day(5), 1, 7.0), (1, 5, day(8), 2, 1.0), (2, 6, day(6), 1, 2.0), (2, 7, day(6), 3, 2.0), (2, 8, day(6, 1), 3, 2.0), (-1, -1, day(40), 3, 0.0)]
     df = spark.createDataFrame(rows, "code long, id long, at timestamp, priority int, strength double")
     got = keyed.run_in_parts([(df, F.date_trunc("day", "at"))], keyed.cooled, "cooldown").where("code > 0")
