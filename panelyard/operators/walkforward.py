@@ -5,10 +5,12 @@ their later ones; no row is ever repeated for each block that looks back on it."
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.functions.expr import safe_div, share
+from panelyard.functions.expr import rank_pct, safe_div, share
 
 # fixed values: thresholds of the rulebooks' statuses
 GOOD_POS, GOOD_LOSS, GOOD_LEAST_BLOCK = 0.55, 0.25, 0.40
@@ -23,6 +25,28 @@ DATE_GATES = [
     ("low_breadth_rebound", "pool_positive_breadth_20d", "<=", 0.35),
     ("high_dispersion", "pool_return_dispersion_20d", ">=", 0.70),
 ]
+# fixed values: date gates that hold where two others of their own quantiles do
+COMPOUND_GATES = [
+    ("deep_fall_low_dispersion", ("pool_avg_prior_return_20d", "<=", 0.25), ("pool_return_dispersion_20d", "<=", 0.60)),
+    ("low_breadth_low_news_risk", ("pool_positive_breadth_20d", "<=", 0.35), ("pool_avg_news_risk", "<=", 0.35)),
+]
+# fixed values: formulas as weights of the features' ranks on a date, and those for rebounds
+FORMULAS = {
+    "质量趋势防守": {"total_score": 0.35, "relative_strength_rank": 0.25, "close_above_ma200": 0.20, "news_risk_event_score_30d": -0.20},
+    "同组共振": {"relative_strength_rank": 0.25, "peer_group_positive_breadth_20d": 0.25, "peer_group_above_ma200_rate": 0.25, "news_risk_event_score_30d": -0.25},
+    "相对同组强势": {"peer_relative_to_group_20d": 0.40, "relative_strength_rank": 0.25, "total_score": 0.20, "news_risk_event_score_30d": -0.15},
+    "低风险观察": {"counter_score": 0.35, "news_risk_event_score_30d": -0.35, "news_conflict_intensity_30d": -0.15, "atr20_pct": -0.15},
+    "深跌反弹候选": {"drawdown60": -0.35, "prior_return_20d": -0.25, "counter_score": 0.20, "news_risk_event_score_30d": -0.20},
+    "深跌但同组回暖": {"drawdown60": -0.30, "prior_return_20d": -0.20, "peer_group_positive_breadth_20d": 0.25, "peer_group_above_ma200_rate": 0.15, "news_risk_event_score_30d": -0.10},
+    "公告风险回避": {"news_risk_event_score_30d": -0.45, "total_score": 0.20, "counter_score": 0.10},
+    "公告机会低风险": {"news_opportunity_score": 0.25, "news_risk_event_score_30d": -0.35, "relative_strength_rank": 0.20, "close_above_ma200": 0.20},
+    "BookSkill保守": {"book_score": 0.30, "counter_score": 0.30, "trend_score": 0.20, "news_risk_event_score_30d": -0.20},
+    "低波动趋势": {"close_above_ma200": 0.30, "ma200_slope20": 0.25, "atr20_pct": -0.25, "news_risk_event_score_30d": -0.20},
+    "反弹:同组回暖小组": {"drawdown60": -0.30, "prior_return_20d": -0.20, "peer_group_positive_breadth_20d": 0.25, "peer_group_above_ma200_rate": 0.15, "news_risk_event_score_30d": -0.10},
+    "反弹:低波动修复": {"drawdown60": -0.25, "prior_return_20d": -0.20, "atr20_pct": -0.25, "counter_score": 0.20, "news_risk_event_score_30d": -0.10},
+    "反弹:低新闻风险": {"drawdown60": -0.25, "prior_return_20d": -0.20, "news_risk_event_score_30d": -0.35, "counter_score": 0.20},
+    "反弹:趋势未破坏": {"drawdown60": -0.20, "prior_return_20d": -0.20, "close_above_ma200": 0.25, "ma200_slope20": 0.20, "news_risk_event_score_30d": -0.15},
+}
 # fixed values: targets of a formula on the search's validation dates
 TARGET_AVG, TARGET_POS, LEAST_DATES = 8.0, 0.65, 20
 
@@ -97,12 +121,31 @@ def date_features(df: DataFrame) -> DataFrame:
     )
 
 
+def formula_scores(df: DataFrame, formulas: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(date, code, return_20d, formula, score) of rows with a known return: weighted sums of the
+    features' average ranks on the date, unknown values rank as 0."""
+    formulas = formulas or FORMULAS
+    features = sorted({f for weights in formulas.values() for f in weights})
+    known = df.where("return_20d is not null").select("date", "code", "return_20d", *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
+    ranked = known.select("date", "code", "return_20d", *(rank_pct(f, "date").alias(f) for f in features))
+    of = lambda weights: F.round(sum((F.col(f) * w for f, w in weights.items()), F.lit(0.0)), 9)
+    long = ranked.select("date", "code", "return_20d", F.explode(F.array(*(F.struct(F.lit(k).alias("formula"), of(w).alias("score")) for k, w in formulas.items()))).alias("f"))
+    return long.select("date", "code", "return_20d", "f.*")
+
+
 def gated_dates(days: DataFrame, search: Column) -> DataFrame:
     """(date, gate): the dates that each gate lets pass; thresholds are quantiles of the search
     dates' features. all_dates passes every date."""
-    cuts = days.where(search).agg(*(F.percentile(f, F.lit(q)).alias(name) for name, f, _, q in DATE_GATES))  # one row
+    single = [(name, [(f, side, q)]) for name, f, side, q in DATE_GATES] + [(name, list(parts)) for name, *parts in COMPOUND_GATES]
+    tests = [(name, i, *part) for name, parts in single for i, part in enumerate(parts)]
+    cuts = days.where(search).agg(*(F.percentile(f, F.lit(q)).alias(f"{name}_{i}") for name, i, f, _, q in tests))  # one row
     both = days.join(F.broadcast(cuts))
-    passes = [F.when(F.col(f) <= F.col(name) if side == "<=" else F.col(f) >= F.col(name), F.lit(name)) for name, f, side, _ in DATE_GATES]
+
+    def holds(name: str) -> Column:
+        parts = [F.col(f) <= F.col(f"{n}_{i}") if side == "<=" else F.col(f) >= F.col(f"{n}_{i}") for n, i, f, side, _ in tests if n == name]
+        return reduce(lambda a, b: a & b, parts)
+
+    passes = [F.when(holds(name), F.lit(name)) for name, _ in single]
     return both.select("date", F.explode(F.array_compact(F.array(F.lit("all_dates"), *passes))).alias("gate"))
 
 

@@ -78,8 +78,11 @@ def l_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DAYS = """days AS (SELECT date, avg(prior_return_20d) AS pool_avg_prior_return_20d, avg(news_risk_event_score_30d) AS pool_avg_news_risk, avg((prior_return_20d > 0)::INT) AS pool_positive_breadth_20d, stddev_samp(prior_return_20d) AS pool_return_dispersion_20d FROM d GROUP BY 1)"""
-_GATED = f"""cuts AS (SELECT {', '.join(f'quantile_cont({f}, {q}) AS {name}' for name, f, _, q in walkforward.DATE_GATES)} FROM days WHERE year(date) <= 1997),
-gated AS (SELECT date, unnest(list_filter(['all_dates', {', '.join(f"CASE WHEN {f} {side} {name} THEN '{name}' END" for name, f, side, _ in walkforward.DATE_GATES)}], lambda x: x IS NOT NULL)) AS gate FROM days, cuts)"""
+_TESTS = [(name, [(f, side, q)]) for name, f, side, q in walkforward.DATE_GATES] + [(name, list(parts)) for name, *parts in walkforward.COMPOUND_GATES]
+_CUTS = ", ".join(f"quantile_cont({f}, {q}) AS {name}_{i}" for name, parts in _TESTS for i, (f, _, q) in enumerate(parts))
+_PASSED = ", ".join(f"CASE WHEN {' AND '.join(f'{f} {side} {name}_{i}' for i, (f, side, _) in enumerate(parts))} THEN '{name}' END" for name, parts in _TESTS)
+_GATED = f"""cuts AS (SELECT {_CUTS} FROM days WHERE year(date) <= 1997),
+gated AS (SELECT date, unnest(list_filter(['all_dates', {_PASSED}], lambda x: x IS NOT NULL)) AS gate FROM days, cuts)"""
 
 
 @query(f"WITH {DECISIONS}, {_DAYS}, {_GATED} SELECT date, gate FROM gated")
@@ -87,9 +90,12 @@ def l_date_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walkforward.gated_dates(walkforward.date_features(decisions(spark, sf_dir)), F.year("date") <= 1997)
 
 
-_FORMULAS = {"strength": "relative_strength_rank", "low_risk": "counter_score - 3 * news_risk_event_score_30d", "deep_fall": "-drawdown60"}
+_FEATURES = sorted({f for w in walkforward.FORMULAS.values() for f in w})
+_SCORED = ", ".join(f"round({' + '.join(f'r_{f} * {w}' for f, w in weights.items())}, 9)" for weights in walkforward.FORMULAS.values())
 _PART = "CASE WHEN year(date) <= 1997 THEN 'search' WHEN year(date) <= 1999 THEN 'valid' ELSE 'test' END"
-_GRID = f"""{DECISIONS}, {_DAYS}, {_GATED}, sc AS (SELECT date, code, return_20d, unnest(['{"', '".join(_FORMULAS)}']) AS formula, unnest([{', '.join(_FORMULAS.values())}]) AS score FROM d WHERE return_20d IS NOT NULL),
+_GRID = f"""{DECISIONS}, {_DAYS}, {_GATED}, fz AS (SELECT date, code, return_20d, {', '.join(f'coalesce({f}::DOUBLE, 0) AS {f}' for f in _FEATURES)} FROM d WHERE return_20d IS NOT NULL),
+fr AS (SELECT date, code, return_20d, {', '.join(f'{rank_sql(f, "date")} AS r_{f}' for f in _FEATURES)} FROM fz),
+sc AS (SELECT date, code, return_20d, unnest({list(walkforward.FORMULAS)}) AS formula, unnest([{_SCORED}]) AS score FROM fr),
 rk AS (SELECT *, row_number() OVER (PARTITION BY formula, date ORDER BY score DESC NULLS LAST, code) AS rank FROM sc),
 day AS (SELECT formula, top_n, date, avg(return_20d) AS day, count(*) FILTER (return_20d > 0) AS np, count(return_20d) AS n FROM rk, (SELECT unnest([3, 5, 10, 20]) AS top_n) WHERE rank <= top_n GROUP BY 1, 2, 3),
 grid AS (SELECT formula, gate, top_n, {{part}} AS part, count(*) AS decision_dates, avg(day) AS avg_return_20d, sum(np) / sum(n) AS positive_20d_rate, stddev_samp(day) AS std_return_20d, CASE WHEN stddev_samp(day) > 1e-12 THEN avg(day) / stddev_samp(day) END AS stability_score FROM day JOIN gated USING (date) GROUP BY 1, 2, 3, 4)"""
@@ -98,9 +104,7 @@ grid AS (SELECT formula, gate, top_n, {{part}} AS part, count(*) AS decision_dat
 def _grid(spark: SparkSession, sf_dir: str, part) -> DataFrame:
     df = decisions(spark, sf_dir)
     gates = walkforward.gated_dates(walkforward.date_features(df), F.year("date") <= 1997)
-    formulas = F.array(*(F.struct(F.lit(k).alias("formula"), F.expr(e).alias("score")) for k, e in _FORMULAS.items()))
-    scored = df.where("return_20d is not null").select("date", "code", "return_20d", F.explode(formulas).alias("f")).select("date", "code", "return_20d", "f.*")
-    return walkforward.grid_metrics(cross.top_n(scored, "score", 20, "formula", "date"), [3, 5, 10, 20], gates, part)
+    return walkforward.grid_metrics(cross.top_n(walkforward.formula_scores(df), "score", 20, "formula", "date"), [3, 5, 10, 20], gates, part)
 
 
 def _years():
