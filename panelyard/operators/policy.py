@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.functions.expr import clip, count_true, named
+from panelyard.functions.expr import clip, count_true, named, rank_pct
 
 GAP = "financial_publish_date_missing"
 # fixed values: grades and actions, from the best down
@@ -148,3 +148,27 @@ def defensive_not_alpha(exposure: str, invested: str, adjusted: str) -> Column:
     """A portfolio that looks good because it holds little."""
     e, i, a = F.col(exposure), F.col(invested), F.col(adjusted)
     return F.when(e.isNull(), False).when(e < 0.15, True).when(e >= 0.30, False).when(a.isNull(), False).when(i.isNull(), a > 0).otherwise(a > i + 0.25)
+
+
+def dual_mode(cards: DataFrame, cash: float, block: str = "time_block") -> DataFrame:
+    """A row for each block and task mode of cards (code, date, task_mode, w, return_20d,
+    agent_policy_score, data_gaps). Exposed are cards with a weight; turnover compares a date's
+    exposed codes with those of the mode's date before."""
+    day = Window.partitionBy("task_mode", "date")
+    r, active = F.col("return_20d"), F.col("w") > 0
+    made = F.col("w") * r + (1 - F.col("w")) * cash
+    on_ = lambda c: F.when(active, c)
+    sums = cards.groupBy(block, "task_mode").agg(
+        F.count("*").alias("decision_cards"), F.count(on_(r)).alias("exposure_cards"), F.count(r).alias("all_joined_cards"), F.avg(on_(r)).alias("avg_return_20d_exposure"), F.avg(on_((r > 0).cast("int"))).alias("positive_20d_rate_exposure"),
+        F.stddev_pop(on_(r)).alias("std_return_20d_exposure"), F.avg(made).alias("cash_adjusted_avg_return_20d"), F.avg((made > 0).cast("int")).alias("cash_adjusted_positive_20d_rate"), F.stddev_pop(made).alias("cash_adjusted_std_return_20d"), F.count_if(F.col("data_gaps") != "").alias("data_missing_flag_cards"),
+    )
+    ranked = cards.withColumns({"rx": rank_pct("agent_policy_score", "task_mode", "date"), "ry": rank_pct("return_20d", "task_mode", "date"), "pool": F.avg("return_20d").over(day)})
+    daily = ranked.groupBy(block, "task_mode", "date").agg(
+        F.corr(F.when(r.isNotNull(), F.col("rx")), "ry").alias("ic"), (F.avg(on_(r)) - F.max("pool")).alias("excess"), F.collect_list(on_(F.col("code"))).alias("codes"), (F.count_if(active) / F.count("*")).alias("exposed")
+    )
+    before = F.lag("codes").over(Window.partitionBy("task_mode").orderBy("date"))  # a row a date
+    larger = F.nullif(F.greatest(F.size("codes"), F.size("before")), F.lit(0))
+    moved = daily.withColumn("before", before).withColumn("turnover", F.when(F.col("before").isNotNull(), 1 - F.size(F.array_intersect("codes", "before")) / larger))
+    over = moved.groupBy(block, "task_mode").agg(F.avg("ic").alias("rank_ic"), F.avg("excess").alias("pool_excess_20d"), F.avg("exposed").alias("active_exposure"), F.avg("turnover").alias("turnover"))
+    out = sums.join(over, [block, "task_mode"])
+    return out.withColumn("defensive_not_alpha", F.coalesce(defensive_not_alpha("active_exposure", "avg_return_20d_exposure", "cash_adjusted_avg_return_20d"), F.lit(False)))

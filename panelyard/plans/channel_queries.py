@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.functions.expr import rounded
+from panelyard.functions.expr import rounded, zscore
 from panelyard.operators import channels, policy
 from panelyard.operators.policy import GAP
 from panelyard.plans.signals import SIGNALS, signals
+from panelyard.plans.sql import rank_pct as rank_sql
+from panelyard.plans.sql import zscore as z_sql
 
 QUERIES, SQL = {}, {}
 
@@ -185,3 +187,55 @@ def f_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = F.when(r >= 0.9, "strong").when(r >= 0.7, "middle").when(r >= 0.5, "weak").otherwise("none")
     df = _flagged(spark, sf_dir).withColumns({"opportunity_tier": tier, "score": F.col("counter_score"), "data_missing": F.col("data_gaps") != "", "regime_abstain": F.month("date") == 3})
     return policy.graded(df).select("code", "date", "confidence", "grade", "weight")
+
+
+# -- portfolio scores and the two modes' metrics -----------------------------------------------
+
+# fixed values: weights of the plain score, and what an overheated row without evidence loses
+BASE_SCORE = [("relative_strength_rank", 1.0), ("counter_score", 0.08), ("above", 0.25), ("news_count_30d", 0.03), ("news_opportunity_score", 0.12), ("peer_relative_to_group_20d", 0.05), ("news_risk_event_score_30d", -0.15), ("news_warning_score", -0.15)]
+REVERSAL, CHIPS = ("prior_return_20d", "kline_return_60d", "peer_group_avg_return_20d"), ("lower_support", "cost_band_width")
+_RET, _RSI = _Z("prior_return_20d"), _Z("rsi14")
+_BARE = "2.5 * " + _I(f"({_RET} >= 80 OR {_RSI} >= 85) AND news_count_30d <= 0 AND contains(data_gaps, '{GAP}')")
+_PLAIN = " + ".join(f"({w}) * {_I('close_above_ma200') if c == 'above' else _Z(c)}" for c, w in BASE_SCORE)
+_REL, _COUNTER, _ABOVE, _PULLBACK = _Z("relative_strength_rank"), f"{_Z('counter_score')} / 10", _I("close_above_ma200"), _I(f"{_RET} BETWEEN -15 AND 25")
+# fixed values: the presets' weights
+PRESETS = {
+    "default_score": f"{_PLAIN} - {_BARE}",
+    "balanced_momentum": f"{_PLAIN} - {_BARE} - 0.35 * {_I('atr20_pct > 12')}",
+    "pullback_recovery": f"0.55 * {_REL} + 0.20 * {_COUNTER} + 0.15 * {_ABOVE} + 0.45 * {_PULLBACK} - {_BARE}",
+    "peer_confirmed_pullback": f"0.42 * {_REL} + 0.20 * {_COUNTER} + 0.15 * {_ABOVE} + 0.32 * {_PULLBACK} + 0.18 * {_I('peer_relative_to_group_20d > 0')} + 0.18 * {_I('peer_group_positive_breadth_20d >= 0.55')} - 0.75 * {_I(f'{_RET} >= 60 OR {_RSI} >= 80')} - 0.20 * {_I('news_warning_score > 0')}",
+}
+_SCORE = lambda c: f"coalesce({z_sql(c, 'date', ddof=0, least=1)}, 0.0)"
+_SCORES = f"""{SIGNALS}, ps0 AS (SELECT *, -({' + '.join(_SCORE(c) for c in REVERSAL)}) / {len(REVERSAL)} AS reversal_ranker_v1 FROM sg),
+ps AS (SELECT *, ({_SCORE('reversal_ranker_v1')} + {' + '.join(_SCORE(c) for c in CHIPS)}) / {1 + len(CHIPS)} AS rev_plus_chip_core, {', '.join(f'{v} AS {k}' for k, v in PRESETS.items())} FROM ps0)"""
+_RANKED = [*PRESETS, "reversal_ranker_v1", "rev_plus_chip_core"]
+
+
+@query(f"WITH {_SCORES} SELECT code, date, {', '.join(f'round({k}, 6) AS {k}' for k in _RANKED)} FROM ps")
+def f_portfolio_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portfolio's six score presets: four linear ones, the reversal composite, and that with chips."""
+    score = lambda c: F.coalesce(zscore(c, "date", ddof=0, least=1), F.lit(0.0))
+    rows = signals(spark, sf_dir).withColumn("reversal_ranker_v1", -sum((score(c) for c in REVERSAL), F.lit(0.0)) / len(REVERSAL))
+    rows = rows.withColumn("rev_plus_chip_core", (score("reversal_ranker_v1") + sum((score(c) for c in CHIPS), F.lit(0.0))) / (1 + len(CHIPS)))
+    return rounded(rows.select("code", "date", *(F.expr(v).alias(k) for k, v in PRESETS.items()), "reversal_ranker_v1", "rev_plus_chip_core"))
+
+
+CASH = (1.03 ** (20 / 252) - 1) * 100
+_DUAL = f"""{SIGNALS}, du0 AS (SELECT *, CASE WHEN code % 2 = 0 THEN 'portfolio_pool' ELSE 'single_stock' END AS task_mode, CASE WHEN agent_policy_score >= 0.62 THEN 1.0 WHEN agent_policy_score >= 0.5 THEN 0.6 WHEN agent_policy_score >= 0.4 THEN 0.25 ELSE 0.0 END::DOUBLE AS w FROM sg),
+du AS (SELECT *, w > 0 AS active, {rank_sql('agent_policy_score', 'task_mode', 'date')} AS rx, {rank_sql('return_20d', 'task_mode', 'date')} AS ry, avg(return_20d) OVER (PARTITION BY task_mode, date) AS pool FROM du0),
+dd AS (SELECT time_block, task_mode, date, corr(rx, ry) FILTER (return_20d IS NOT NULL) AS ic, avg(return_20d) FILTER (active) - max(pool) AS excess, list(code ORDER BY code) FILTER (active) AS codes, count(*) FILTER (active) / count(*) AS exposed FROM du GROUP BY 1, 2, 3),
+dt AS (SELECT *, lag(codes) OVER (PARTITION BY task_mode ORDER BY date) AS before FROM dd),
+dv AS (SELECT time_block, task_mode, avg(ic) AS rank_ic, avg(excess) AS pool_excess_20d, avg(exposed) AS active_exposure, avg(CASE WHEN len(before) > 0 OR len(codes) > 0 THEN 1 - len(list_intersect(coalesce(codes, []), coalesce(before, []))) / greatest(coalesce(len(codes), 0), coalesce(len(before), 0)) END) FILTER (before IS NOT NULL) AS turnover FROM dt GROUP BY 1, 2),
+dc AS (SELECT time_block, task_mode, count(*) AS decision_cards, count(*) FILTER (active AND return_20d IS NOT NULL) AS exposure_cards, count(return_20d) AS all_joined_cards, avg(return_20d) FILTER (active) AS avg_return_20d_exposure, avg((return_20d > 0)::INT) FILTER (active) AS positive_20d_rate_exposure,
+  stddev_pop(return_20d) FILTER (active) AS std_return_20d_exposure, avg(w * return_20d + (1 - w) * {CASH!r}) AS cash_adjusted_avg_return_20d, avg((w * return_20d + (1 - w) * {CASH!r} > 0)::INT) AS cash_adjusted_positive_20d_rate, stddev_pop(w * return_20d + (1 - w) * {CASH!r}) AS cash_adjusted_std_return_20d, count(*) FILTER (data_gaps <> '') AS data_missing_flag_cards FROM du GROUP BY 1, 2)"""
+_DUALS = ["avg_return_20d_exposure", "positive_20d_rate_exposure", "std_return_20d_exposure", "cash_adjusted_avg_return_20d", "cash_adjusted_positive_20d_rate", "cash_adjusted_std_return_20d", "rank_ic", "pool_excess_20d", "active_exposure", "turnover"]
+
+
+@query(f"""WITH {_DUAL} SELECT time_block, task_mode, decision_cards, exposure_cards, all_joined_cards, data_missing_flag_cards, {', '.join(f'round({c}, 6) AS {c}' for c in _DUALS)},
+ CASE WHEN active_exposure < 0.15 THEN true WHEN active_exposure >= 0.30 THEN false WHEN avg_return_20d_exposure IS NULL THEN coalesce(cash_adjusted_avg_return_20d > 0, false) ELSE coalesce(cash_adjusted_avg_return_20d > avg_return_20d_exposure + 0.25, false) END AS defensive_not_alpha FROM dc JOIN dv USING (time_block, task_mode)""")
+def m_dual_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both modes' cards by block: returns of exposed and of cash-adjusted cards, rank correlation,
+    excess over the pool, exposure and turnover."""
+    s = F.col("agent_policy_score")
+    rows = signals(spark, sf_dir).withColumns({"task_mode": F.when(F.col("code") % 2 == 0, "portfolio_pool").otherwise("single_stock"), "w": F.when(s >= 0.62, 1.0).when(s >= 0.5, 0.6).when(s >= 0.4, 0.25).otherwise(0.0)})
+    return rounded(policy.dual_mode(rows, CASH).select("time_block", "task_mode", "decision_cards", "exposure_cards", "all_joined_cards", "data_missing_flag_cards", *_DUALS, "defensive_not_alpha"))
