@@ -23,6 +23,7 @@ BINS = ("hard_counter", "opp_strong_kline_clean", "opp_kline_clean", "opp_only_c
 FALLBACK = {
     "learned_precision_v1": (0.0, 0.45, 0.35, 0.20, 0.20, 0.15, 0.15, 0.05, 0.0, 0.05),
     "learned_loss_guard_v1": (0.0, 0.40, 0.30, 0.20, 0.20, 0.10, 0.10, 0.05, 0.0, 0.05),
+    "learned_balanced_v1": (0.0, 0.55, 0.40, 0.30, 0.30, 0.20, 0.20, 0.10, 0.05, 0.10),
     "learned_delta_guard_v1": (0.0, 0.40, 0.35, 0.20, 0.10, 0.25, 0.10, 0.05, 0.0, 0.05),
 }
 STEPS, RIDGE, INVERSE_PENALTY = 25, 1.0, 0.5
@@ -71,6 +72,7 @@ def learned_positions() -> dict[str, Column]:
     return {
         "learned_precision_v1": _first(((p >= 0.68) & (a >= 2.0) & (loss <= limit(0.22, 0)), 0.55), ((p >= 0.60) & (a >= 1.0) & (loss <= limit(0.28, 0.04)), 0.35), ((p >= 0.53) & (a >= 0.0), 0.20), ((a < 0) | (p < 0.45), 0.0), otherwise=0.10),
         "learned_loss_guard_v1": _first(((loss > limit(0.30, 0.06)) | (a < -1.0), 0.0), ((p >= 0.65) & (a >= 1.5), 0.50), ((p >= 0.57) & (a >= 0.5), 0.30), ((p >= 0.50) & (a >= -0.25), 0.15), otherwise=0.05),
+        "learned_balanced_v1": _first(((p >= 0.64) & (a >= 1.5) & (loss <= limit(0.30, 0.05)), 0.55), ((p >= 0.56) & (a >= 0.3), 0.35), ((p >= 0.48) & (a >= -0.5), 0.20), ((a < -1.0) | (p < 0.43), 0.0), otherwise=0.10),
         "learned_delta_guard_v1": F.when(weak, _first(((loss > limit(0.30, 0.04)) | (a < 0), 0.0), otherwise=0.10)).otherwise(strong),
     }
 
@@ -82,7 +84,7 @@ def position_models(records: DataFrame, least: int = LEAST_BIN) -> DataFrame:
     rules = learned_positions()
     known = records.select("target_block", "action_bin", "n_rows", F.explode(F.array(*(F.struct(F.lit(k).alias("policy_name"), v.alias("learned")) for k, v in rules.items()))).alias("m")).select("target_block", "action_bin", "n_rows", "m.*")
     defaults = spark.createDataFrame([(k, b, v) for k, values in FALLBACK.items() for b, v in zip(BINS, values)], "policy_name string, action_bin string, fallback double")
-    whole = records.select("target_block").distinct().join(F.broadcast(defaults))  # 30 rows a block
+    whole = records.select("target_block").distinct().join(F.broadcast(defaults))  # 40 rows a block
     out = whole.join(known, ["target_block", "policy_name", "action_bin"], "left")
     return out.select("target_block", "policy_name", "action_bin", F.when(F.col("n_rows") >= least, F.col("learned")).otherwise(F.col("fallback")).alias("position"), F.coalesce(F.col("n_rows") >= least, F.lit(False)).alias("is_learned"))
 

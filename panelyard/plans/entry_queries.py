@@ -146,6 +146,8 @@ md AS (SELECT w.target_block, policy_name, dflt.action_bin, coalesce(n_rows >= {
     WHEN pos_rate >= 0.53 AND avg_return >= 0 THEN 0.20 WHEN avg_return < 0 OR pos_rate < 0.45 THEN 0.0 ELSE 0.10 END
   WHEN policy_name = 'learned_loss_guard_v1' THEN CASE WHEN loss_rate > greatest(0.30, base_loss + 0.06) OR avg_return < -1 THEN 0.0 WHEN pos_rate >= 0.65 AND avg_return >= 1.5 THEN 0.50 WHEN pos_rate >= 0.57 AND avg_return >= 0.5 THEN 0.30
     WHEN pos_rate >= 0.50 AND avg_return >= -0.25 THEN 0.15 ELSE 0.05 END
+  WHEN policy_name = 'learned_balanced_v1' THEN CASE WHEN pos_rate >= 0.64 AND avg_return >= 1.5 AND loss_rate <= greatest(0.30, base_loss + 0.05) THEN 0.55 WHEN pos_rate >= 0.56 AND avg_return >= 0.3 THEN 0.35 WHEN pos_rate >= 0.48 AND avg_return >= -0.5 THEN 0.20
+    WHEN avg_return < -1 OR pos_rate < 0.43 THEN 0.0 ELSE 0.10 END
   WHEN pos_rate < base_pos OR avg_return < base_avg THEN CASE WHEN loss_rate > greatest(0.30, base_loss + 0.04) OR avg_return < 0 THEN 0.0 ELSE 0.10 END
   ELSE CASE WHEN pos_rate >= 0.72 AND avg_return >= 2 AND loss_rate <= greatest(0.20, base_loss) THEN 0.55 WHEN pos_rate >= 0.62 AND avg_return >= 1 AND loss_rate <= greatest(0.25, base_loss + 0.03) THEN 0.40 WHEN pos_rate >= 0.55 AND avg_return >= 0.5 THEN 0.25 ELSE 0.10 END END::DOUBLE AS position
  FROM (SELECT DISTINCT target_block FROM br) w CROSS JOIN dflt LEFT JOIN br ON br.target_block = w.target_block AND br.action_bin = dflt.action_bin)"""
