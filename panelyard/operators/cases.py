@@ -21,6 +21,8 @@ from panelyard.sources.folders import scratch
 
 K, RECENT, HORIZON = 20, 3, 1
 QUERY_BLOCK = 4096
+#: Cases that are compared at once.
+ROWS = 1024
 EVERYWHERE = ""
 #: Industries that have a place of their own in a context vector.
 TOP_INDUSTRIES = 12
@@ -138,8 +140,8 @@ def _scan(queries: pa.Table, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(queries, k)
         for batch in batches:
-            if batch.num_rows:
-                best.add(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                best.add(batch.slice(at, ROWS))
         if len(best.q):
             yield best.batch()
 

@@ -5,42 +5,85 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 256
+#: Queries that travel to the bank at once; more take more passes.
+BLOCK = 4096
+#: Rows of the bank that are compared at once.
+ROWS = 1024
+
+
+class _Nearest:
+    """Each query's k nearest rows of its label so far, by distance (to nine digits) and id."""
+
+    def __init__(self, queries: pa.Table, k: int, metric: str):
+        self.k, self.metric = k, metric
+        self.ids = queries.column("id").to_numpy()
+        self.v = self._scaled(queries.column("v").combine_chunks())
+        labels = np.array(queries.column("label").to_pylist(), object)
+        self.of = {x: np.flatnonzero(labels == x) for x in set(labels) if x is not None}
+        self.q, self.d, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.most = np.full(len(self.ids), np.inf)
+
+    def _scaled(self, vectors: pa.Array) -> np.ndarray:
+        m = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if self.metric == "cosine" else m
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        x, own = self._scaled(batch.column("v")), batch.column("id").to_numpy()
+        labels = np.array(batch.column("label").to_pylist(), object)
+        for label, asked in self.of.items():
+            there = np.flatnonzero(labels == label)
+            if not len(there):
+                continue
+            if self.metric == "cosine":
+                d = -(self.v[asked] @ x[there].T)
+            else:
+                step = max(1, (1 << 22) // max(1, x[there].size))
+                d = np.concatenate([np.sqrt(((self.v[asked[c : c + step]][:, None, :] - x[there][None, :, :]) ** 2).mean(axis=2)) for c in range(0, len(asked), step)])
+            d = np.round(d, 9)
+            d[self.ids[asked][:, None] == own[there][None, :]] = np.inf
+            most = self.most[asked]
+            if len(there) > self.k:
+                most = np.minimum(most, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+            i, j = np.nonzero((d <= most[:, None]) & (d < np.inf))
+            q, dist, ids = np.concatenate([self.q, asked[i]]), np.concatenate([self.d, d[i, j]]), np.concatenate([self.id, own[there[j]]])
+            order = np.lexsort((ids, dist, q))
+            q = q[order]
+            starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+            nth = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+            kept = order[nth < self.k]
+            self.q, self.d, self.id = q[nth < self.k], dist[kept], ids[kept]
+            last = nth == self.k - 1
+            self.most[q[last]] = dist[order[last]]
 
 
 def nearest(queries: DataFrame, bank: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """(query_id, id, value) of each query's k nearest rows of its label, itself excluded. Both
-    sides are (id, label, v). Queries travel in blocks of BLOCK, so a task multiplies matrices and
-    passes on k rows a query and batch, never all pairs."""
-    numbered = queries.withColumn("block", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(1 << 30) * F.ceil(F.count("*").over(Window.partitionBy("label")) / BLOCK)))
-    blocks = numbered.groupBy("label", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    sign = -1.0 if metric == "cosine" else 1.0
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for _, rows in batch.groupby(["label", "block"], dropna=False):
-                ids, q = np.asarray(rows["ids"].iloc[0]), np.array([list(x) for x in rows["vs"].iloc[0]], float)
-                x, own = np.array([list(v) for v in rows["v"]], float), rows["id"].to_numpy()
-                if metric == "cosine":
-                    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                    d = -(unit(q) @ unit(x).T)
-                else:
-                    d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).mean(axis=2))
-                d[ids[:, None] == own[None, :]] = np.inf
-                for i, row in zip(ids, d):
-                    best = np.lexsort((own, row))[:k]
-                    out += [(int(i), int(own[j]), float(row[j])) for j in best if row[j] < np.inf]
-            yield pd.DataFrame(out, columns=["query_id", "id", "d"])
-
-    parts = bank.join(blocks, "label").mapInPandas(local, "query_id long, id long, d double")
-    w = Window.partitionBy("query_id").orderBy(F.round("d", 9), "id")
+    """(query_id, id, rank, value) of each query's k nearest rows of its label, itself excluded. Both
+    sides are (id, label, v), v of one length. Queries are a stated set: they travel to the bank in
+    blocks of a counted size, and a task hands on k rows a query; the bank is neither shuffled nor
+    does a vector stand beside another."""
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK))
+    parts = queries.sparkSession.createDataFrame([], "query_id long, id long, d double")
+    for b in range(blocks if n else 0):
+        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "label", "v").toArrow()
+
+        def scan(batches: Iterator[pa.RecordBatch], block: pa.Table = block) -> Iterator[pa.RecordBatch]:
+            best = _Nearest(block, k, metric)
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    best.add(batch.slice(at, ROWS))
+            if len(best.q):
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.q]), pa.array(best.id), pa.array(best.d)], ["query_id", "id", "d"])
+
+        if block.num_rows:
+            parts = parts.unionByName(bank.select(F.col("id").cast("long").alias("id"), "label", "v").mapInArrow(scan, parts.schema))
+    w = Window.partitionBy("query_id").orderBy("d", "id")
     best = parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select("query_id", "id", "rank", (F.col("d") * sign).alias("value"))
+    return best.select("query_id", "id", "rank", (F.col("d") * (-1.0 if metric == "cosine" else 1.0)).alias("value"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
