@@ -161,15 +161,21 @@ def t_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.id AS query_id, e.id, list_distance(q.v, e.v) / sqrt(len(q.v)) AS d FROM e q JOIN e ON e.label = q.label AND e.id <> q.id WHERE q.id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank FROM p)
-SELECT query_id, count(*) AS k, round(avg(d), 6) AS mean_distance, round(avg(d) FILTER (rank <= 5) - avg(d) FILTER (rank > 5), 6) AS near_minus_far, sum(id % 7)::BIGINT AS outcome FROM r WHERE rank <= 10 GROUP BY query_id
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank FROM p),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1)
+SELECT query_id, count(*) AS k, round(avg(d), 6) AS mean_distance, round(avg(d) FILTER (rank <= 5) - avg(d) FILTER (rank > 5), 6) AS near_minus_far, count(quality) AS n_labelled, round(avg(quality), 6) AS quality_rate, round(avg(toxic), 6) AS toxic_rate,
+ round(avg(quality) FILTER (id >= query_id) - avg(quality) FILTER (id < query_id), 6) AS later_minus_earlier FROM r LEFT JOIN l ON doc_id = id WHERE rank <= 10 GROUP BY query_id
 """)
 def t_neighbour_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Euclidean (root mean square) neighbours, summed up to outcomes."""
+    """Euclidean (root mean square) neighbours and what their documents' labels say of them, also
+    of those with later ids against those with earlier ones."""
     bank = _vectors(spark, sf_dir)
     near = similar.nearest(bank.where("id % 50 = 0"), bank, metric="euclid")
     gap = F.avg(F.when(F.col("rank") <= 5, F.col("value"))) - F.avg(F.when(F.col("rank") > 5, F.col("value")))
-    return rounded(near.groupBy("query_id").agg(F.count("*").alias("k"), F.avg("value").alias("mean_distance"), gap.alias("near_minus_far"), F.sum(F.col("id") % 7).alias("outcome")))
+    known = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    later = F.col("id") >= F.col("query_id")
+    change = F.avg(F.when(later, F.col("quality"))) - F.avg(F.when(~later, F.col("quality")))
+    return rounded(near.join(known, "id", "left").groupBy("query_id").agg(F.count("*").alias("k"), F.avg("value").alias("mean_distance"), gap.alias("near_minus_far"), F.count("quality").alias("n_labelled"), F.avg("quality").alias("quality_rate"), F.avg("toxic").alias("toxic_rate"), change.alias("later_minus_earlier")))
 
 
 _TERMS = "list_distinct(regexp_extract_all(lower({0}), '([a-z0-9_]{{2,}})', 1))"
