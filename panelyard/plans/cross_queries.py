@@ -266,9 +266,9 @@ WITH {PANEL}, a AS (SELECT p.code AS a, q.code AS b, count(*) AS n, corr(p.ret,
 SELECT a, b, n, round(corr, 6) AS corr FROM a
 """)
 def j_return_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations of returns within an area: long rows joined on (date, area), so the pairs are
-    blocked by area and the correlation is one partially aggregated group."""
-    df = panel(spark, sf_dir).where("ret is not null").select("code", "date", "area", "ret")
-    p, q = df.withColumnsRenamed({"code": "a", "ret": "x"}), df.withColumnsRenamed({"code": "b", "ret": "y"})
-    out = p.join(q, ["date", "area"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
-    return rounded(out.where("n >= 24"))
+    """Correlations of returns within an area, by products of the area's matrix blocks: no row stands
+    for a date and a pair."""
+    from panelyard.operators import gram
+
+    rows = panel(spark, sf_dir).where("ret IS NOT NULL AND area IS NOT NULL").select("code", "date", F.col("area").alias("part"), F.col("ret").alias("x"))
+    return rounded(gram.correlations(rows, least=24, flat=True).select(F.col("code").alias("a"), F.col("peer").alias("b"), "n", "corr"))
