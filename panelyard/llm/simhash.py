@@ -99,19 +99,19 @@ def links(distinct: DataFrame) -> DataFrame:
     key, three = ["start", "s1", "s2"], ["start", "s1", "s2", "s3"]
     heavy = written(rows.groupBy(*key).count().where(F.col("count") > HEAVY).select(*key), "heavy")
     dense = not heavy.isEmpty()
-    without = (lambda df: df.join(heavy, key, "left_anti")) if dense else (lambda df: df)
+    without = (lambda df: df.join(heavy.hint("merge"), key, "left_anti")) if dense else (lambda df: df)
 
     def chains(exact: DataFrame, around: DataFrame, keys: list[str]) -> DataFrame:
         a, b = exact.select(*keys, F.col("fp").alias("a"), F.col("turned").alias("ta")), around.select(*keys, F.col("fp").alias("b"), F.col("turned").alias("tb"))
         differ = F.col("ta").bitwiseXOR(F.col("tb"))
         budget = F.bit_count(differ.bitwiseAND((1 << 3 * SEGMENT_BITS) - 1)) <= 2  # the chain of three
-        return a.join(b, keys).where((F.col("a") < F.col("b")) & budget & (F.bit_count(differ) <= BITS)).select("a", "b")
+        return a.join(b.hint("merge"), keys).where((F.col("a") < F.col("b")) & budget & (F.bit_count(differ) <= BITS)).select("a", "b")
 
     found = chains(without(rows), without(near), key)
     if dense:
         third = _segment(F.col("turned"), 2)
-        exact = rows.join(heavy, key, "left_semi").withColumn("s3", third)
-        around = near.join(heavy, key, "left_semi").withColumn("f", F.explode(_flips(2))).where(F.bit_count("e") + F.bit_count("f") <= 2)
+        exact = rows.join(heavy.hint("merge"), key, "left_semi").withColumn("s3", third)
+        around = near.join(heavy.hint("merge"), key, "left_semi").withColumn("f", F.explode(_flips(2))).where(F.bit_count("e") + F.bit_count("f") <= 2)
         found = found.union(chains(exact, around.withColumn("s3", third.bitwiseXOR(F.col("f"))), three))
     return found.distinct()
 
@@ -146,10 +146,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(classes.select("fp")))
-    of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # tables of a row a class are merged: as broadcasts they would pass through the driver
+    of = classes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(of.join(least.hint("merge"), "root").select("fp", "component_id"), "named")
+    return marked.join(named.hint("merge"), "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
