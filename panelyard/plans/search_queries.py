@@ -10,6 +10,7 @@ from panelyard.operators import audit, calendar, cross, search, similar
 from panelyard.plans.signals import SIGNALS, signals
 from panelyard.plans.sql import EVENTS, PANEL
 from panelyard.plans.sql import rank_pct as rank_sql
+from panelyard.sources.folders import scratch
 from panelyard.sources.tables import panel, stream_events, table
 from panelyard.streaming import watch
 
@@ -198,14 +199,11 @@ p AS (SELECT a.code AS code, b.code AS other, (a.sector = b.sector)::INT + 2 * l
 r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY round(s, 9) DESC, other) AS rank FROM p) SELECT code, other, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5
 """)
 def t_mixed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sector, shared tags and scaled differences; blocked by sector."""
-    from pyspark.sql import Window
-
+    """Sector, shared tags and scaled differences; the best lie beside a code in the order of m."""
     s = stream_events(spark, sf_dir).groupBy("code").agg(F.collect_set("event_type").alias("tags"), F.avg("k").alias("m")).withColumn("sector", F.col("code") % 3)
-    b = s.select("sector", F.col("code").alias("other"), F.col("tags").alias("tags_b"), F.col("m").alias("m_b"))
-    p = s.join(b, "sector").where("code <> other").withColumn("similarity", 1 + 2 * similar.jaccard(F.col("tags"), F.col("tags_b")) - F.abs(F.col("m") - F.col("m_b")) / 100)
-    w = Window.partitionBy("code").orderBy(F.desc(F.round("similarity", 9)), "other")
-    return rounded(p.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("code", "other", "similarity", "rank"))
+    path = scratch(spark, "tagged")
+    s.write.parquet(path)
+    return rounded(similar.mixed(spark.read.parquet(path)))
 
 
 @query("""
