@@ -1,5 +1,8 @@
 """Near copies by similarity: texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
 
+Candidates are the links that pigeonring chains find between SimHash fingerprints (simhash.py) and,
+as those are too few at 0.8, texts that share a band; an exact check of the shingle sets follows.
+
 A 64-bit SimHash can't tell such pairs apart at scale: at 0.8 they lie 10 bits apart on average and
 up to 19, and no chain of segments within such a budget is selective. Here a text has a MinHash
 signature of BANDS * ROWS values, and texts that share all ROWS values of a band are candidates: at
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.runtime import bounded_batches, removed, settled, written
-from panelyard.llm.simhash import SEED, WORD, components
+from panelyard.llm.simhash import SEED, WORD, components, fingerprint, links
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -119,10 +122,12 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, text_col: str
     return found
 
 
-def similar(docs: DataFrame, signed: DataFrame, text_col: str) -> DataFrame:
-    """Links (a, b) between nodes that share a band, for a table (node, signature, keys)."""
+def similar(docs: DataFrame, signed: DataFrame, text_col: str, close: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes whose fingerprints are close or that share a band, for a table
+    (node, signature, keys)."""
     rows = signed.select("node", F.explode("keys").alias("key"))
     pairs, heavy = _paired(rows, ["key"])
+    pairs = pairs.union(close.select(F.least("a", "b"), F.greatest("a", "b")))
     if heavy.isEmpty():
         return verified(docs, signed, written(pairs.distinct(), "pairs"), text_col)
     hot = written(rows.join(heavy.select("key", "a"), "key"), "hot")
@@ -146,23 +151,34 @@ def similar(docs: DataFrame, signed: DataFrame, text_col: str) -> DataFrame:
     return linked.union(verified(docs, signed, written(apart.select("a", "b"), "pairs"), text_col))
 
 
+def fingerprint_links(signed: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes whose fingerprints pigeonring chains find at BITS bits or fewer;
+    nodes of one fingerprint are linked to the smallest of them."""
+    ones = written(signed.groupBy("fp").agg(F.min("node").alias("a")), "ones")
+    same = signed.select("fp", F.col("node").alias("b")).join(ones.hint("merge"), "fp").where("a <> b").select("a", "b")
+    near = links(ones.select("fp"))
+    of = lambda x: ones.select(F.col("fp").alias(x), F.col("a").alias(f"node_{x}"))
+    both = near.join(of("a"), "a").join(of("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return same.union(both)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component_id) for each distinct text: the smallest id that is reachable over pairs at
     SIMILAR or more; node is the hash of the text."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("signature binary, keys array<long>")
+    @F.pandas_udf("signature binary, keys array<long>, fp long")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             values = [signature(shingles(t)) for t in texts]
             # a byte of each value is enough to tell unlike signatures
-            yield pd.DataFrame({"signature": [v.astype(np.uint8).tobytes() for v in values], "keys": [band_keys(v) for v in values]})
+            yield pd.DataFrame({"signature": [v.astype(np.uint8).tobytes() for v in values], "keys": [band_keys(v) for v in values], "fp": np.array([fingerprint(t.encode()) for t in texts], np.uint64).view(np.int64)})
         settled()
 
     own = docs.select(F.col(id_col).alias("id"), _node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     one = own.groupBy("node").agg(F.min("id").alias("first"), F.first("text").alias("text"))
     signed = written(one.select("node", "first", sign("text").alias("s")).select("node", "first", "s.*"), "signed")
-    roots = components(similar(docs, signed, text_col))
+    roots = components(similar(docs, signed, text_col, written(fingerprint_links(signed), "close")))
     of = signed.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return of.join(least, "root").select("node", "component_id")
