@@ -81,38 +81,38 @@ def _flips(up_to: int) -> Column:
     return F.array(*(F.lit(m).cast("long") for m in masks))
 
 
-def _turned(fp: Column, start: int) -> Column:
-    """The ring turned so that segment start is the lowest."""
-    k = SEGMENT_BITS * start
-    return F.shiftrightunsigned(fp, k).bitwiseOR(F.shiftleft(fp, 64 - k)) if k else fp
-
-
-def _segment(turned: Column, i: int) -> Column:
-    return F.shiftrightunsigned(turned, SEGMENT_BITS * i).bitwiseAND((1 << SEGMENT_BITS) - 1)
+def _turned(fp: str, start: str) -> str:
+    """The ring turned so that segment start is the lowest, in SQL."""
+    k = f"cast({SEGMENT_BITS} * {start} AS int)"  # a shift by 64 is one by 0
+    return f"(shiftrightunsigned({fp}, {k}) | shiftleft({fp}, 64 - {k}))"
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs (a, b) of different fingerprints of a one-column table fp at BITS bits or fewer."""
-    ring = F.explode(F.array(*(F.struct(F.lit(i).alias("start"), _turned(F.col("fp"), i).alias("turned")) for i in range(SEGMENTS))))
-    rows = distinct.select("fp", ring.alias("r")).select("fp", "r.start", "r.turned", _segment(F.col("r.turned"), 0).alias("s1"), _segment(F.col("r.turned"), 1).alias("s2"))
-    near = rows.withColumn("e", F.explode(_flips(1))).withColumn("s2", F.col("s2").bitwiseXOR(F.col("e")))
-    key, three = ["start", "s1", "s2"], ["start", "s1", "s2", "s3"]
-    heavy = written(rows.groupBy(*key).count().where(F.col("count") > HEAVY).select(*key), "heavy")
+    low = (1 << SEGMENT_BITS) - 1
+    # a key is the start, the first and the second segment in one number, so that rows are a key and a fingerprint
+    turned = F.expr(_turned("fp", "start"))
+    key = F.shiftleft("start", 2 * SEGMENT_BITS).bitwiseOR(F.shiftleft(turned.bitwiseAND(low), SEGMENT_BITS)).bitwiseOR(F.shiftrightunsigned(turned, SEGMENT_BITS).bitwiseAND(low))
+    rows = distinct.select("fp", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SEGMENTS)))).alias("start")).select("fp", key.alias("key"))
+    near = rows.select("fp", "key", F.explode(_flips(1)).alias("e")).withColumn("key", F.col("key").bitwiseXOR(F.col("e")))
+    heavy = written(rows.groupBy("key").count().where(F.col("count") > HEAVY).select("key"), "heavy")
     dense = not heavy.isEmpty()
-    without = (lambda df: df.join(heavy.hint("merge"), key, "left_anti")) if dense else (lambda df: df)
+    without = (lambda df: df.join(heavy.hint("merge"), "key", "left_anti")) if dense else (lambda df: df)
+    start = f"(key >> {2 * SEGMENT_BITS})"
 
     def chains(exact: DataFrame, around: DataFrame, keys: list[str]) -> DataFrame:
-        a, b = exact.select(*keys, F.col("fp").alias("a"), F.col("turned").alias("ta")), around.select(*keys, F.col("fp").alias("b"), F.col("turned").alias("tb"))
-        differ = F.col("ta").bitwiseXOR(F.col("tb"))
+        a, b = exact.select(*keys, F.col("fp").alias("a")), around.select(*keys, F.col("fp").alias("b"))
+        differ = F.expr(_turned("(a ^ b)", start))
         budget = F.bit_count(differ.bitwiseAND((1 << 3 * SEGMENT_BITS) - 1)) <= 2  # the chain of three
-        return a.join(b.hint("merge"), keys).where((F.col("a") < F.col("b")) & budget & (F.bit_count(differ) <= BITS)).select("a", "b")
+        return a.join(b.hint("merge"), keys).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= BITS) & budget).select("a", "b")
 
-    found = chains(without(rows), without(near), key)
+    found = chains(without(rows), without(near), ["key"])
     if dense:
-        third = _segment(F.col("turned"), 2)
-        exact = rows.join(heavy.hint("merge"), key, "left_semi").withColumn("s3", third)
-        around = near.join(heavy.hint("merge"), key, "left_semi").withColumn("f", F.explode(_flips(2))).where(F.bit_count("e") + F.bit_count("f") <= 2)
-        found = found.union(chains(exact, around.withColumn("s3", third.bitwiseXOR(F.col("f"))), three))
+        third = F.shiftrightunsigned(F.expr(_turned("fp", start)), 2 * SEGMENT_BITS).bitwiseAND(low)
+        # a variant's start is its key's: e turns bits of the second segment only
+        exact = rows.join(heavy.hint("merge"), "key", "left_semi").withColumn("s3", third)
+        around = near.join(heavy.hint("merge"), "key", "left_semi").withColumn("f", F.explode(_flips(2))).where(F.bit_count("e") + F.bit_count("f") <= 2)
+        found = found.union(chains(exact, around.withColumn("s3", third.bitwiseXOR(F.col("f"))), ["key", "s3"]))
     return found.distinct()
 
 
