@@ -45,7 +45,7 @@ K = 32
 CHUNK = 512
 BLOCK = 32
 #: Bytes that are hashed together, and the longest piece of a text that is handled as one.
-TOGETHER, LONGEST = 1 << 20, 1 << 20
+TOGETHER, LONGEST = 1 << 18, 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 PIECES_PER_TASK, HOT = 5_000, 20_000
 #: Rows that a task gathers before it hands them on.
