@@ -11,11 +11,12 @@ Each candidate pair is then checked on its exact shingle sets (first by its sign
 which lies over five standard deviations below 0.8).
 
 Hot bands: the texts of a key of more than HEAVY are first paired with its smallest node alone.
-What these pairs link is one class already, and pairs within a class need no check; a key whose
-texts are all of one class is done. Of the other heavy keys each is extended by the heavy keys
-among those of the next EXTRA bands (texts that share a light key are paired there); of extended keys that stay heavy each text is paired with the smallest and the
-largest node only, as such texts are near copies of each other. Equal texts are one node from the
-start. Links are joined into classes as those of SimHash are.
+What these pairs and those of light keys link is one class already, and pairs within a class need no
+check; a key whose texts are all of one class is done. Of the other heavy keys all pairs of different
+classes are compared on their exact shingle sets, in blocks of texts and in the first band that both
+share; only links are written. Memory is that of two blocks; a large group that stays in many classes
+costs the square of its size in comparisons. Equal texts are one node from the start. Links are joined
+into classes as those of SimHash are.
 
 Rows: null and word-less texts are one class. Repeated rows and ids give a row each. Rows with a
 null id stay only if no row of their class has an id. An empty table gives an empty result.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,10 @@ from panelyard.llm.simhash import SEED, WORD, components, fingerprint, links
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
 ROUGH = 0.6
-HEAVY, EXTRA = 32, 8
+HEAVY = 32
 BLOCK = 1 << 10
+#: Texts and shingles of a block, about.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1 << 10, 1 << 20
 
 _RANDOM = np.random.default_rng(20250611)
 _TURN = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
@@ -86,15 +90,20 @@ def _node(text: str) -> Column:
 
 def _paired(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Pairs of nodes with equal keys where at most HEAVY have them, and the keys of more with their
-    smallest and largest node. Where rows have a root, the nodes of a pair have different ones."""
+    smallest and largest node."""
     groups = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "bands")
     some = rows.join(groups.where((F.col("n") > 2) & (F.col("n") <= HEAVY)).select(*keys), keys)
-    apart = "a < b and root_a <> root_b" if "root" in rows.columns else "a < b"
-    side = lambda x: some.withColumnsRenamed({"node": x, "root": f"root_{x}"})
-    pairs = side("a").join(side("b"), keys).where(apart).select("a", "b")
+    side = lambda x: some.withColumnRenamed("node", x)
+    pairs = side("a").join(side("b"), keys).where("a < b").select("a", "b")
     return groups.where("n = 2").select("a", "b").union(pairs), groups.where(F.col("n") > HEAVY).select(*keys, "a", "b")
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """(node, text) of the nodes."""
+    texts = docs.select(_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(nodes, "node", "left_semi")
+    return texts.groupBy("node").agg(F.first("text").alias("text"))
+
+
 def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (a, b) whose exact similarity is SIMILAR or more."""
 
@@ -114,8 +123,7 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, text_col: str
     rough = pairs.join(of(own, "signature", "a"), "a").join(of(own, "signature", "b"), "b")
     rough = written(rough.where(alike("signature_a", "signature_b") >= ROUGH).select("a", "b"), "rough")
     wanted = written(rough.select(F.col("a").alias("node")).union(rough.select("b")).distinct(), "wanted")
-    texts = docs.select(_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "node", "left_semi")
-    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = written(_texts(docs, wanted, text_col), "texts")
     told = rough.join(of(texts, "text", "a"), "a").join(of(texts, "text", "b"), "b")
     found = written(told.where(exact("text_a", "text_b") >= SIMILAR).select("a", "b"), "similar")
     removed(docs.sparkSession, rough, wanted, texts)
@@ -131,24 +139,66 @@ def similar(docs: DataFrame, signed: DataFrame, text_col: str, close: DataFrame)
     if heavy.isEmpty():
         return verified(docs, signed, written(pairs.distinct(), "pairs"), text_col)
     hot = written(rows.join(heavy.select("key", "a"), "key"), "hot")
-    stars = written(hot.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
-    linked = verified(docs, signed, stars, text_col)
+    stars = hot.where("node <> a").select("a", F.col("node").alias("b"))
+    linked = verified(docs, signed, written(pairs.union(stars).distinct(), "pairs"), text_col)
     roots = written(components(linked), "roots")
-    root = F.coalesce("root", "node")
-    open_ = hot.join(roots, "node", "left").groupBy("key").agg(F.min(root).alias("least"), F.max(root).alias("most")).where("least <> most").select("key")
-    open_ = written(open_, "open")
-    own = hot.groupBy("node").agg(F.collect_set("key").alias("heavy"))  # a text has a key a band
-    place = F.posexplode("keys").alias("at", "key")
-    wide = signed.join(own, "node").select("node", "keys", "heavy", place).join(open_, "key", "left_semi")
-    later = F.array(*(F.element_at("keys", (F.col("at") + i) % BANDS + 1) for i in range(1, EXTRA + 1)))
-    wide = wide.select("node", "key", F.explode(F.array_intersect(later, "heavy")).alias("other")).join(roots, "node", "left").withColumn("root", root)
-    wide = written(wide, "wide")
-    more, still = _paired(wide, ["key", "other"])
-    starred = wide.select("node", "key", "other").join(still, ["key", "other"]).select("node", F.explode(F.array("a", "b")).alias("end")).where("node <> end")
-    pairs = pairs.union(more).union(starred.select(F.least("node", "end"), F.greatest("node", "end"))).distinct()
-    of = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    return linked.union(verified(docs, signed, written(apart.select("a", "b"), "pairs"), text_col))
+    named = hot.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = written(named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key"), "open")
+    return linked if open_.isEmpty() else linked.union(between(docs, signed, written(named.join(open_, "key", "left_semi"), "apart"), text_col))
+
+
+def _links_between(rows: pa.Table) -> pa.Table:
+    """Links that join different roots among the texts of a key, of one part or between two."""
+    rows = rows.sort_by("part").combine_chunks()
+    node, part, root = (rows.column(c).to_numpy() for c in ("node", "part", "root"))
+    root = np.unique(root, return_inverse=True)[1]
+    keys = pa.concat_arrays(rows.column("keys").chunks).flatten().to_numpy().reshape(-1, BANDS)
+    band = np.flatnonzero(keys[0] == rows.column("key")[0].as_py())[0]
+    sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start, ids = np.cumsum(size) - size, np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    inside, found = np.zeros(ids.max() + 1, bool), []
+    one, n = part[0] == part[-1], len(node)
+    second = 0 if one else np.searchsorted(part, part[-1])
+    crossed = rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py()
+    for x in range(0 if one and crossed else n if one else second):
+        y = slice(x + 1 if one else second, n)
+        apart = (root[y] != root[x]) & (np.minimum(size[y], size[x]) / np.maximum(size[y], size[x]) >= SIMILAR)
+        apart &= ~(keys[y, :band] == keys[x, :band]).any(axis=1)  # those meet in an earlier band
+        if not apart.any():
+            continue
+        own = ids[start[x] : start[x] + size[x]]
+        inside[own] = True
+        both = np.add.reduceat(inside[ids[start[y][0] :]], start[y] - start[y][0], dtype=np.int64)
+        inside[own] = False
+        for k in np.flatnonzero(apart & (both / (size[y] + size[x] - both) >= SIMILAR)) + y.start:
+            if root[k] != root[x]:
+                found.append((node[x], node[k]))
+                root[root == root[k]] = root[x]
+    if rows.nbytes > 1 << 22:
+        settled()
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def between(docs: DataFrame, signed: DataFrame, apart: DataFrame, text_col: str) -> DataFrame:
+    """Links (a, b) at SIMILAR or more that join different roots within a key, for a table (key, node,
+    root): a key's texts are dealt to parts of about a block, and every two parts meet."""
+
+    @F.pandas_udf("binary")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+        settled()
+
+    texts = _texts(docs, apart.select("node"), text_col).select("node", hashed("text").alias("shingles"))
+    sets = written(texts.join(signed.select("node", "keys"), "node"), "sets")
+    sized = apart.join(sets.select("node", (F.length("shingles") / 8).alias("size")), "node").groupBy("key")
+    parts = sized.agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    dealt = apart.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = dealt.select("key", "node", "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "root")
+    return written(dealt.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(_links_between, "a long, b long"), "between")
 
 
 def fingerprint_links(signed: DataFrame) -> DataFrame:

@@ -58,3 +58,21 @@ def test_rows(docs):
     assert sorted((x.doc_id or 0, x.text) for x in out.where("text is not null").collect()) == [(0, "alone"), (5, "a b"), (5, "a b")]
     assert out.where("text is null").count() == 1 and out.count() == 4
     assert nc.one_of_each(docs([])).count() == 0
+
+
+def test_hot_band_loses_no_link(spark, docs, monkeypatch):
+    r = random.Random(5)
+    base = words(r, 200)
+    texts = [" ".join(words(r, 200)) for _ in range(40)] + [" ".join(base), " ".join(edited(r, base, 3))]
+    rows = docs(texts).withColumn("node", nc._node("text")).orderBy("node").collect()
+    texts = [x.text for x in rows]
+    two = [i for i, t in enumerate(texts) if len(set(t.split()) & set(base)) > 100]
+    assert len(two) == 2 and not {0, 41} & set(two)  # neither the smallest nor the largest node
+    # all texts share all bands, so that no key tells the two apart
+    signed = spark.createDataFrame([(x.node, bytes(nc.BANDS * nc.ROWS), list(range(nc.BANDS))) for x in rows], "node long, signature binary, keys array<long>")
+    none = spark.createDataFrame([], "a long, b long")
+    want = [tuple(rows[i].node for i in two)]
+    for block in (nc.BLOCK_TEXTS, 5):
+        monkeypatch.setattr(nc, "BLOCK_TEXTS", block)
+        got = nc.similar(docs(texts), signed, "text", none).collect()
+        assert [tuple(sorted(x)) for x in got] == want
