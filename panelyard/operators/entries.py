@@ -148,7 +148,8 @@ def decided(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def replay(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Each chosen policy over each code's dates: target, action, reason and cash-adjusted return."""
+    """Each chosen policy over each code's dates: target, action, reason, cash-adjusted return, and
+    whether the row is the code's first in its block."""
     at, keeps = decided(rows, chosen), F.col("keeps")
     w = Window.partitionBy("variant", "code").orderBy("date")
     left = F.coalesce(F.last(F.when(~keeps, F.col("first")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -158,4 +159,5 @@ def replay(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     sparse = F.when(F.col("sparse"), F.least("wanted", "sparse_cap")).otherwise(F.col("wanted"))
     reason = F.concat(reason, F.when(sparse < F.col("wanted"), ";sparse_news_fin_cap").otherwise(""), F.when(F.col("first") < sparse, ";overheat_cap").otherwise(""))
     made = F.col("target") * F.col("return_20d") + (1 - F.col("target")) * CASH
-    return at.select("variant", "code", "date", "time_block", "target", action(before, F.col("target")).alias("action"), reason.alias("reason"), "return_20d", made.alias("strategy_return_20d"))
+    opens = ~F.lag("time_block").over(w).eqNullSafe(F.col("time_block"))  # a code's dates of a block follow each other
+    return at.select("variant", "code", "date", "time_block", "target", action(before, F.col("target")).alias("action"), reason.alias("reason"), "return_20d", made.alias("strategy_return_20d"), opens.alias("opens_block"))

@@ -102,8 +102,9 @@ def l_entry_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l_entry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replayed policies' record by block."""
     s = F.col("strategy_return_20d")
+    # a code counts by its first row of a block, so no row a code is dealt to count them
     out = _replay(spark, sf_dir).groupBy("variant", "time_block").agg(
-        F.count("*").alias("decision_count"), F.count_distinct("code").alias("unique_stocks"), F.count_distinct("date").alias("decision_dates"), F.count_if(F.col("target") >= entries.ACTIVE).alias("active_count"), F.avg("target").alias("avg_target_position"),
+        F.count("*").alias("decision_count"), F.count_if("opens_block").alias("unique_stocks"), F.count_distinct("date").alias("decision_dates"), F.count_if(F.col("target") >= entries.ACTIVE).alias("active_count"), F.avg("target").alias("avg_target_position"),
         F.avg(s).alias("strategy_avg20"), F.stddev_samp(s).alias("strategy_std20"), (F.avg(s) - F.avg("return_20d")).alias("excess_vs_hold"), F.count_if(F.col("action").isin("买入", "小仓试探")).alias("entries"),
     )
     return rounded(out)
