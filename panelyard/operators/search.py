@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions.expr import rank_pct
+from panelyard.operators.quantiles import columns, exact
 
 FORMULAS: dict[str, dict[str, float]] = {
     "momentum": {"ret": 1.0},
@@ -39,21 +43,48 @@ def formula_grid(df: DataFrame, sizes: tuple[int, ...] = (3, 5), formulas: dict[
 
 
 def candidates(df: DataFrame, features: list[str], quantiles: tuple[float, ...] = (0.2, 0.35, 0.5, 0.65, 0.8), least: int = 30, y: str = "fwd") -> DataFrame:
-    """Every (feature, op, quantile) rule with its sample and score, in one aggregate over the
-    unpivoted features; a row at a threshold meets both >= and <=. The thresholds are one row a
-    feature and quantile; features with fewer than three values have none."""
-    long = df.where(F.col(y).isNotNull()).unpivot([F.col(y).alias("y")], [F.col(f).cast("double").alias(f) for f in features], "feature", "x").where("x is not null")
-    cuts = long.groupBy("feature").agg(F.percentile("x", F.array(*map(F.lit, quantiles))).alias("t"))
-    several = long.groupBy("feature", "x").count().groupBy("feature").agg(F.count("*").alias("_values"))
-    cuts = cuts.join(several, "feature").where("_values >= 3").select("feature", F.posexplode("t").alias("q", "threshold"))
-    both = long.join(F.broadcast(cuts), "feature")
-    ops = F.array_compact(F.array(F.when(F.col("x") >= F.col("threshold"), F.lit(">=")), F.when(F.col("x") <= F.col("threshold"), F.lit("<="))))
-    r = F.col("y")
-    stats = both.select("feature", "q", "threshold", "y", F.explode(ops).alias("op")).groupBy("feature", "q", "threshold", "op").agg(
-        F.count("*").alias("n"), F.avg(r).alias("mean_fwd"), F.avg((r > 0).cast("int")).alias("pos_rate"), F.stddev_pop(r).alias("spread"), F.avg((r <= -5).cast("int")).alias("loss_rate")
+    """Every (feature, op, quantile) rule with its sample and score; a row at a threshold meets both
+    >= and <=. Features with fewer than three values have none.
+
+    Thresholds, a few a feature, are exact and found by counting. They part a feature's values into
+    zones (below, at, between, above); rows are summed up by zone, and rules are sums of zones."""
+    known = df.where(F.col(y).isNotNull()).select(F.col(y).alias("y"), *(F.col(f).cast("double").alias(f) for f in features))
+    found = exact(known.select(*features), columns(features), {i: [i] for i in range(len(features))}, list(quantiles))
+    # three values at least: one lies between the least and the greatest
+    ends = known.agg(F.avg("y").alias("y"), *(g(f).alias(f"{n}_{i}") for i, f in enumerate(features) for n, g in (("lo", F.min), ("hi", F.max)))).first()
+    between = [F.coalesce(F.bool_or((F.col(f) > ends[f"lo_{i}"]) & (F.col(f) < ends[f"hi_{i}"])), F.lit(False)).alias(f"m_{i}") for i, f in enumerate(features) if i in found]
+    several = known.agg(F.lit(0).alias("none"), *between).first()
+    cuts = {i: found[i][1] for i in found if several[f"m_{i}"]}
+    zones = {i: sorted(set(c)) for i, c in cuts.items()}
+    told = [(i, features[i], q, t, zones[i].index(t)) for i, c in cuts.items() for q, t in enumerate(c)]
+    middle = ends["y"] or 0.0
+
+    shape = pa.schema([("i", pa.int32()), ("zone", pa.int32()), *((c, pa.float64()) for c in ("n", "s", "ss", "up", "down"))])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {i: np.zeros((5, 2 * len(t) + 1)) for i, t in zones.items()}
+        for batch in batches:
+            r = batch.column("y").to_numpy(zero_copy_only=False)
+            off = r - middle
+            for i, t in zones.items():
+                x = batch.column(features[i]).to_numpy(zero_copy_only=False)
+                at = (np.searchsorted(t, x) + np.searchsorted(t, x, "right"))[~np.isnan(x)]
+                for k, w in enumerate((None, off, off * off, r > 0, r <= -5)):
+                    sums[i][k] += np.bincount(at, None if w is None else w[~np.isnan(x)], sums[i].shape[1])
+        for i, parts in sums.items():
+            n = parts.shape[1]
+            yield pa.record_batch([pa.array(np.full(n, i, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, parts)], schema=shape)
+
+    parts = known.mapInArrow(summed, "i int, zone int, n double, s double, ss double, up double, down double").groupBy("i", "zone").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss", "up", "down")))
+    rules = df.sparkSession.createDataFrame(told, "i int, feature string, q int, threshold double, place int").withColumn("op", F.explode(F.array(F.lit(">="), F.lit("<="))))
+    at = 2 * F.col("place") + 1
+    meets = ((F.col("op") == ">=") & (F.col("zone") >= at)) | ((F.col("op") == "<=") & (F.col("zone") <= at))
+    n, mean = F.sum("n"), F.sum("s") / F.sum("n")
+    stats = parts.join(F.broadcast(rules), "i").where(meets).groupBy("feature", "q", "threshold", "op").agg(
+        n.cast("long").alias("n"), (F.lit(middle) + mean).alias("mean_fwd"), (F.sum("up") / n).alias("pos_rate"), F.sqrt(F.greatest(F.sum("ss") / n - mean * mean, F.lit(0.0))).alias("spread"), (F.sum("down") / n).alias("loss_rate")
     )
     stability = F.col("mean_fwd") - 0.5 * F.col("spread") - 10 * F.col("loss_rate")
-    return stats.where(F.col("n") >= least).withColumn("score", F.col("mean_fwd") + 10 * F.col("pos_rate") + 0.3 * stability - 0.05 * F.abs("spread"))
+    return stats.where((F.col("n") >= least) & (F.col("n") > 0)).withColumn("score", F.col("mean_fwd") + 10 * F.col("pos_rate") + 0.3 * stability - 0.05 * F.abs("spread"))
 
 
 def mask(rule: list[tuple[str, str, float]]) -> Column:
