@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions.expr import clip
+from panelyard.operators.quantiles import exact
 from panelyard.operators.walkforward import block_index
 from panelyard.sources.folders import scratch
 
@@ -144,21 +145,27 @@ def ridge(sums: DataFrame, features: list[str], penalty: float = RIDGE, least: i
 def imputed(rows: DataFrame, features: list[str], label: str, block: str = "time_block") -> DataFrame:
     """(…, x): rows whose label is known with their features, unknown ones at their median over the
     blocks before theirs (0 where there is none, so no block sees its own)."""
-    order = block_index(rows, block)
-    later = order.select(F.col(block).alias("_later"), F.col("idx").alias("_k"))
-    # the median of all blocks before: values are kept as counts of distinct values, not as lists
-    long = rows.join(order, block).select("idx", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features))).alias("c")).where("c.v IS NOT NULL")
-    counts = long.groupBy("idx", "c.f", F.round("c.v", 6).alias("v")).agg(F.count("*").alias("n"))
-    past = counts.join(later, F.col("idx") < F.col("_k")).groupBy("_later", "f", "v").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("_later", "f")
-    run = past.withColumns({"up_to": F.sum("n").over(w.orderBy("v")), "all": F.sum("n").over(w)})
-    low, high = F.min(F.when(F.col("up_to") * 2 >= F.col("all"), F.col("v"))), F.min(F.when(F.col("up_to") * 2 > F.col("all"), F.col("v")))
-    medians = run.groupBy("_later").pivot("f", features).agg(((low + high) / 2).alias("m"))
+    order = [r[0] for r in block_index(rows, block).orderBy("idx").select(block).collect()]  # blocks are few
+    place, k = {b: i for i, b in enumerate(order)}, len(features)
+
+    def values(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        at = np.array([place[b] for b in batch.column("b").to_pylist()], int)
+        for j in range(k):
+            x = batch.column(f"f{j}").to_numpy(zero_copy_only=False)
+            for i in np.unique(at):
+                yield int(i) * k + j, x[at == i]
+
+    # a target for each later block and feature, which unites the blocks before it
+    known = rows.where(F.col(block).isNotNull()).select(F.col(block).alias("b"), *(F.round(F.col(f).cast("double"), 6).alias(f"f{j}") for j, f in enumerate(features)))
+    found = exact(known, values, {i * k + j: [g * k + j for g in range(i)] for i in range(1, len(order)) for j in range(k)}, [0.5])
+    table = [(b, *(found[i * k + j][1][0] if i * k + j in found else None for j in range(k))) for b, i in place.items()]
+    medians = rows.sparkSession.createDataFrame(table, ", ".join([f"_later {rows.schema[block].dataType.simpleString()}", *(f"`{f}` double" for f in features)]))
     out = rows.where(F.col(label).isNotNull()).join(F.broadcast(medians.withColumnsRenamed({f: f"_m_{f}" for f in features} | {"_later": block})), block, "left")
     return out.withColumn("x", F.array(*(F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}"), F.lit(0.0)) for f in features))).drop(*(f"_m_{f}" for f in features))
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table, for passes that read it again and again."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -167,14 +174,14 @@ def _table(df: DataFrame, name: str) -> DataFrame:
 def logistic_blocks(rows: DataFrame, label: str, block: str = "time_block", steps: int = STEPS, inverse_penalty: float = INVERSE_PENALTY, least: int = 100) -> DataFrame:
     """(valid_block, n, intercept, weights): for each block from the second on a logistic fit on all
     blocks before it, classes weighed alike, features standardized over the training rows, and a
-    penalty of 1 / inverse_penalty on the weights. rows hold x (array) and a 0/1 label.
+    penalty of 1 / inverse_penalty on the weights. rows, best written ones, hold x (array) and a 0/1 label.
 
-    Every step is one pass over the written rows for all blocks, which returns a gradient and a
+    Every step is one pass over the rows for all blocks, which returns a gradient and a
     matrix a block; only these reach the driver."""
     spark = rows.sparkSession
     order = [r[0] for r in block_index(rows, block).orderBy("idx").select(block).collect()]
     place = {b: i for i, b in enumerate(order)}
-    data = _table(rows.select(block, "x", F.col(label).cast("double").alias("y")), "fit")
+    data = rows.select(block, "x", F.col(label).cast("double").alias("y"))
     size = len(data.select("x").first()[0]) if not data.isEmpty() else 0
     parts = data.groupBy(block).agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *(F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(size)), *(F.sum(F.col("x")[i] * F.col("x")[i]).alias(f"t{i}") for i in range(size)))
     sums = {r[block]: r for r in parts.collect()}  # a row a block
@@ -241,16 +248,55 @@ def guard_scores(rows: DataFrame, models: DataFrame, block: str = "time_block")
     return out.withColumn("guard_probability", 1 / (1 + F.exp(-linear_score(F.col("x"), F.col("intercept"), F.col("weights"))))).drop("intercept", "weights")
 
 
+def _probability(x: np.ndarray, intercept: float, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-(intercept + x @ weights)))
+
+
 def thresholds(rows: DataFrame, models: DataFrame, label: str, least_share: float = LEAST_SHARE, block: str = "time_block") -> DataFrame:
     """(valid_block, threshold): of 15 quantiles of the training rows' probabilities the one whose
-    allowed rows score best by excess, precision and return, and are not too few."""
-    order = block_index(rows, block)
-    k = order.select(F.col(block).alias("valid_block"), F.col("idx").alias("_k"))
-    at = rows.join(order, block).join(F.broadcast(models.drop("n").join(k, "valid_block")), F.col("idx") < F.col("_k"))
-    at = at.withColumn("p", 1 / (1 + F.exp(-linear_score(F.col("x"), F.col("intercept"), F.col("weights"))))).select("valid_block", "p", "return_20d", "pool_excess_20d", F.col(label).cast("double").alias("y"))
-    cuts = at.groupBy("valid_block").agg(F.percentile("p", F.array(*(F.lit(round(0.20 + 0.05 * i, 2)) for i in range(15)))).alias("cuts"), F.count("*").alias("n"))
-    tried = at.join(F.broadcast(cuts), "valid_block").select("*", F.explode(F.array_distinct("cuts")).alias("threshold")).where(F.col("p") >= F.col("threshold"))
-    score = F.avg("pool_excess_20d") + 0.5 * F.avg("y") + 0.1 * F.avg("return_20d")
-    best = tried.groupBy("valid_block", "threshold").agg(score.alias("s"), (F.count("*") / F.max("n")).alias("share")).where(F.col("share") >= least_share)
-    # the smallest of equal ones, as it is met first
-    return best.groupBy("valid_block").agg(F.max_by("threshold", F.struct(F.round("s", 12), -F.col("threshold"))).alias("threshold"))
+    allowed rows score best by excess, precision and return, and are not too few. No row is repeated
+    for a model or a threshold: passes over the rows return sums a model and threshold."""
+    order = [r[0] for r in block_index(rows, block).orderBy("idx").select(block).collect()]
+    place = {b: i for i, b in enumerate(order)}
+    fits = {place[m["valid_block"]]: (m["intercept"], np.array(m["weights"])) for m in models.collect()}  # a row a block
+    data = rows.where(F.col(block).isNotNull()).select(F.col(block).alias("b"), "x", "return_20d", "pool_excess_20d", F.col(label).cast("double").alias("y"))
+
+    def scored(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        at = np.array([place[b] for b in batch.column("b").to_pylist()], int)
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for k, (intercept, weights) in fits.items():
+            if (use := at < k).any():
+                yield k, use, _probability(x[use], intercept, weights)
+
+    def values(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        return ((k, p) for k, _, p in scored(batch))
+
+    found = exact(data.select("b", "x"), values, {k: [k] for k in fits}, [round(0.20 + 0.05 * i, 2) for i in range(15)])
+    cuts = {k: np.unique(c) for k, (_, c) in found.items()}
+    names = ("n", "ny", "y", "ne", "e", "nr", "r")
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {k: np.zeros((len(names), len(c) + 1)) for k, c in cuts.items()}
+        for batch in batches:
+            told = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "pool_excess_20d", "return_20d")]
+            for k, use, p in scored(batch):
+                at = np.searchsorted(cuts[k], p, "right")
+                parts = [None, *(w for t in told for w in (~np.isnan(t[use]), np.nan_to_num(t[use])))]
+                sums[k] += [np.bincount(at, w, len(cuts[k]) + 1) for w in parts]
+        for k, s in sums.items():
+            yield pa.record_batch([pa.array(np.full(s.shape[1], k, np.int32)), pa.array(np.arange(s.shape[1], dtype=np.int32)), *map(pa.array, s)], names=["k", "at", *names])
+
+    got = data.mapInArrow(tried, "k int, at int, " + ", ".join(f"{c} double" for c in names)).groupBy("k", "at").agg(*(F.sum(c).alias(c) for c in names)).collect()
+    sums = {k: np.zeros((len(names), len(c) + 1)) for k, c in cuts.items()}
+    for r in got:
+        sums[r["k"]][:, r["at"]] = [r[c] for c in names]
+    out = []
+    for k, s in sums.items():
+        n, ny, y, ne, e, nr, r = np.cumsum(s[:, ::-1], axis=1)[:, ::-1][:, 1:]  # of the rows at each cut or above
+        with np.errstate(all="ignore"):
+            score = np.round(e / ne + 0.5 * (y / ny) + 0.1 * (r / nr), 12)
+        score = np.where(np.isnan(score), -np.inf, score)
+        fit = np.flatnonzero(n / found[k][0] >= least_share)
+        if len(fit):  # the smallest of equal ones, as it is met first
+            out.append((order[k], float(cuts[k][fit[np.argmax(score[fit])]])))
+    return rows.sparkSession.createDataFrame(out, "valid_block string, threshold double")

@@ -220,7 +220,7 @@ def guard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l_guard_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A logistic guard for each block on all blocks before it: threshold, and what it allows. SQL
     can't iterate to a fit; the tests compare it with numpy."""
-    rows = guard_rows(spark, sf_dir)
+    rows = learners.written(guard_rows(spark, sf_dir), "guard")
     models = learners.logistic_blocks(rows, "allow_raise")
     cuts = F.broadcast(learners.thresholds(rows, models, "allow_raise").withColumnRenamed("valid_block", "time_block"))
     scored = learners.guard_scores(rows, models).join(cuts, "time_block", "left").withColumn("allowed", F.col("guard_probability") >= F.coalesce("threshold", F.lit(0.5)))
