@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,6 +32,9 @@ def action(before: float, target: float) -> str:
     return "加仓" if change >= STEP else "减仓" if change <= -STEP else "持有"
 
 
+KEEP = KEEP_DAYS * 86_400_000_000
+
+
 class Positions(StatefulProcessor):
     """A code's last target. Rows are (code, at, first, keeps): a row that keeps holds the smaller
     of the last target and KEPT, any other its own first. A code without a decision for KEEP_DAYS is
@@ -39,31 +42,29 @@ class Positions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "target double, at timestamp")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get() if self.last.exists() else None
-        before, seen = (float(known[0]), pd.Timestamp(known[1])) if known else (0.0, pd.Timestamp.min)
-        batch = pd.concat(list(rows)).sort_values("at", kind="stable")
-        out = []
-        for at, first, keeps in zip(batch["at"], batch["first"], batch["keeps"]):
-            if at <= seen:
+        self.last = handle.getValueState("last", "target double, us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.last.get()
+        before, seen = known or (0.0, None)
+        new = seen
+        for us, first, keeps in sorted(((r["us"], r["first"], r["keeps"]) for r in rows), key=lambda r: r[0]):
+            if new is not None and us <= new:
                 continue  # a date that was decided on, or is earlier than one that was
             target = min(before, KEPT) if keeps else float(first)
-            out.append((key[0], at, target, action(before, target)))
-            before, seen = target, at
-        if out:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.last.update((before, seen.to_pydatetime()))
-            self.handle.registerTimer(int((seen + pd.Timedelta(days=KEEP_DAYS)).timestamp() * 1000))
-        yield pd.DataFrame(out, columns=["code", "at", "target", "action"])
+            yield Row(code=key[0], us=us, target=target, action=action(before, target))
+            before, new = target, us
+        if new != seen:
+            if known:
+                self.handle.deleteTimer((seen + KEEP) // 1000)
+            self.last.update((before, new))
+            self.handle.registerTimer((new + KEEP) // 1000)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        target, at = self.last.get()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        target, us = self.last.get()
         self.last.clear()
-        rows = [(key[0], pd.Timestamp(at) + pd.Timedelta(days=KEEP_DAYS), 0.0, "expired")] if target > 0 else []
-        yield pd.DataFrame(rows, columns=["code", "at", "target", "action"])
+        if target > 0:
+            yield Row(code=key[0], us=us + KEEP, target=0.0, action="expired")
 
     def close(self) -> None:
         pass
@@ -71,8 +72,10 @@ class Positions(StatefulProcessor):
 
 def positions(decisions: DataFrame, delay: str = "1 day") -> DataFrame:
     """(code, at, target, action) of a stream of (code, at, first, keeps)."""
-    rows = decisions.withWatermark("at", delay)
-    return rows.groupBy("code").transformWithStateInPandas(Positions(), "code long, at timestamp, target double, action string", "Append", "EventTime")
+    # times as microseconds, which know no time zone; rows, not a frame for each code
+    rows = decisions.withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
+    out = rows.groupBy("code").transformWithState(Positions(), "code long, us long, target double, action string", "Append", "EventTime")
+    return out.select("code", F.timestamp_micros("us").alias("at"), "target", "action")
 
 
 class Cooldown(StatefulProcessor):

@@ -65,3 +65,24 @@ def test_labels_agree_in_both_forms(spark):
     df = spark.createDataFrame(pairs, "a double, b double").select("a", "b", entries.action(F.col("a"), F.col("b")).alias("c"))
     assert all(r.c == keyed.action(r.a, r.b) for r in df.collect())
     assert pd.Timestamp.min < pd.Timestamp(1990, 1, 1)
+
+
+def test_positions_take_rows_and_four_calls_of_state_a_batch():
+    calls = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return (0.8, 1000)
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    positions = keyed.Positions()
+    positions.init(Handle())
+    out = list(positions.handleInputRows((7,), iter([{"us": 3000, "first": 0.0, "keeps": True}, {"us": 900, "first": 0.5, "keeps": False}, {"us": 2000, "first": 0.35, "keeps": False}]), None))
+    assert [(r.code, r.us, r.target, r.action) for r in out] == [(7, 2000, 0.35, "减仓"), (7, 3000, 0.3, "持有")]
+    assert calls == ["get", "deleteTimer", "update", "registerTimer"]
