@@ -9,7 +9,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -78,42 +77,19 @@ def positions(decisions: DataFrame, delay: str = "1 day") -> DataFrame:
     return out.select("code", F.timestamp_micros("us").alias("at"), "target", "action")
 
 
-class Cooldown(StatefulProcessor):
-    """The triggers of a code and week: major ones pass at once, of the others the strongest (then
-    the earliest, then the least id) passes when the week is over."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", "id long, at timestamp, priority int, strength double")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        major = batch["priority"] >= MAJOR
-        rest = batch[~major][["id", "at", "priority", "strength"]]
-        if len(rest):
-            known = self.best.get() if self.best.exists() else None
-            if known:
-                rest = pd.concat([rest, pd.DataFrame([known], columns=rest.columns)])
-            else:
-                self.handle.registerTimer(int((pd.Timestamp(key[1]) + pd.Timedelta(days=7)).timestamp() * 1000))
-            rest = rest.sort_values(["strength", "at", "id"], ascending=[False, True, True])
-            i, at, priority, strength = rest.iloc[0]
-            self.best.update((int(i), pd.Timestamp(at).to_pydatetime(), int(priority), float(strength)))
-        yield batch[major].assign(code=key[0])[["code", "id", "at", "priority", "strength"]]
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        i, at, priority, strength = self.best.get()
-        self.best.clear()
-        yield pd.DataFrame([(key[0], i, pd.Timestamp(at), priority, strength)], columns=["code", "id", "at", "priority", "strength"])
-
-    def close(self) -> None:
-        pass
-
-
 def cooled(triggers: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Triggers (code, id, at, priority, strength) after the cooldown, from a stream."""
-    rows = triggers.withColumn("week", F.date_trunc("week", "at")).withWatermark("at", delay)
-    return rows.groupBy("code", "week").transformWithStateInPandas(Cooldown(), "code long, id long, at timestamp, priority int, strength double", "Append", "EventTime")
+    """Triggers (code, id, at, priority, strength) after the cooldown, from a stream: major ones pass
+    at once, of the others of a code and week the strongest (then the earliest, then the least id)
+    passes when the week is over. The best so far is the state of code and week, and goes with it."""
+    zone = triggers.sparkSession.conf.get("spark.sql.session.timeZone")
+    # weeks of the session's clock; windows count from a Thursday in UTC
+    rows = triggers.withColumn("_clock", F.from_utc_timestamp("at", zone)).withWatermark("_clock", delay)
+    major = F.coalesce(F.col("priority") >= MAJOR, F.lit(False))
+    week = F.window("_clock", "7 days", "7 days", "4 days")
+    order = F.struct("strength", (-F.unix_micros("at")).alias("us"), (-F.col("id")).alias("id"), "priority")  # nulls are last
+    best = rows.where(~major).groupBy("code", week).agg(F.max(order).alias("b"))
+    rest = best.select("code", (-F.col("b.id")).alias("id"), F.timestamp_micros(-F.col("b.us")).alias("at"), "b.priority", "b.strength")
+    return rows.where(major).select("code", "id", "at", "priority", "strength").unionByName(rest)
 
 
 def matched(decisions: DataFrame, events: DataFrame, days: int = 30, delay: str = "1 day") -> DataFrame:
@@ -153,17 +129,26 @@ def with_context(stream: DataFrame, context: DailyContext, keys: list[str], path
 
 
 def with_store(spark: SparkSession, run: Callable[[], None]) -> None:
-    """Run with the state store that timers need, and leave the session as it was."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STORE)
+    """Run with the state store that timers need, and leave the session as it was. A store for each
+    partition is opened and committed in each batch at a fixed cost, so there are no more of them
+    than keep the cores busy; their rows lie outside of the heap and on disk."""
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": STORE,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a commit writes what changed
+        "spark.sql.shuffle.partitions": str(max(1, stores)),
+    }
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         run()
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:

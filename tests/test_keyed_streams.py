@@ -86,3 +86,19 @@ def test_positions_take_rows_and_four_calls_of_state_a_batch():
     out = list(positions.handleInputRows((7,), iter([{"us": 3000, "first": 0.0, "keeps": True}, {"us": 900, "first": 0.5, "keeps": False}, {"us": 2000, "first": 0.35, "keeps": False}]), None))
     assert [(r.code, r.us, r.target, r.action) for r in out] == [(7, 2000, 0.35, "减仓"), (7, 3000, 0.3, "持有")]
     assert calls == ["get", "deleteTimer", "update", "registerTimer"]
+
+
+def test_cooldown_runs_without_python_and_keeps_late_majors(spark):
+    t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rows = [(1, 1, t(0), 1, None, 0), (1, 2, t(1), 1, 4.0, 0), (2, 3, t(0), 1, None, 0), (1, 4, t(9), 1, 1.0, 1), (1, 5, t(2), 3, 1.0, 2), (None, 6, t(3), 1, 1.0, 0), (-1, -1, t(60), 3, 0.0, 3)]
+    df = spark.createDataFrame(rows, "code long, id long, at timestamp, priority int, strength double, n int")
+    plans = []
+
+    def build(stream):
+        out = keyed.cooled(stream.drop("n"))
+        plans.append(out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    got = keyed.run_in_parts([(df, F.col("n"))], build, "late").where("id > 0")
+    assert sorted(r.id for r in got.collect()) == [2, 3, 4, 5, 6]  # 5 is late, but major
+    assert "TransformWithState" not in plans[0]
