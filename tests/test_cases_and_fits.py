@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,27 @@ def test_guardrails_see_what_those_before_left(spark):
 def test_grids():
     assert len(entries.grid()) == 385 and len({p[0] for p in entries.grid()}) == 385
     assert len(gates.GATES) == 37 and len({g.name for g in gates.GATES}) == 37
+
+
+def test_every_row_of_the_panel_asks_for_its_cases(spark, data):
+    from panelyard.plans import case_queries
+    from panelyard.sources.tables import panel
+
+    rows = panel(spark, data).select("code", "date")
+    got = case_queries.t_analogues(spark, data).select("code", "date")
+    assert got.count() == rows.count() > 0 and got.exceptAll(rows).isEmpty()
+    hits = case_queries.q_analogue_leaks(spark, data).agg(F.sum("n_hits")).first()[0]
+    some = case_queries.t_analogue_hits(spark, data).count()
+    assert hits > 10 * some > 0
+    assert all("% 50" not in case_queries.SQL[q] for q in ("t_analogues", "q_analogue_leaks"))
+
+
+def test_large_blocks_of_ties_are_compared_in_parts():
+    rng = np.random.default_rng(4)
+    v = np.eye(3)[rng.integers(0, 3, 700)]
+    queries = pa.table({"query_id": np.arange(40), "date_idx": pa.array([9] * 40, pa.int32()), "v": list(v[:40]), "pool": [cases.EVERYWHERE] * 40})
+    best = cases._Best(queries, 5)
+    best.add(pa.RecordBatch.from_pydict({"code": np.arange(700), "date_idx": pa.array([3] * 700, pa.int32()), "maturity_idx": pa.array([4] * 700, pa.int32()), "v": list(v), "fwd": np.ones(700), "tags": [["a"]] * 700}))
+    got = pa.Table.from_batches(list(best.batches())).sort_by([("query_id", "ascending"), ("rank", "ascending")])
+    want = [int(c) for q in range(40) for c in np.flatnonzero((v == v[q]).all(axis=1))[:5]]
+    assert got.column("code").to_pylist() == want
